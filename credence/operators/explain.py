@@ -191,7 +191,9 @@ def explain(df: DataFrame, params: Params = DEFAULT, is_fake_col: str | None = N
     columns ``title`` and ``authors`` (missing ones count as empty).
     """
     cols = set(df.columns)
-    base = df
+    # the content record's own 'summary' field only feeds has_summary; the
+    # explanation's summary text takes its name
+    base = df.drop("summary") if "summary" in cols else df
     if "title" not in cols:
         base = base.withColumn("title", F.lit(""))
     if "authors" not in cols:

@@ -300,18 +300,24 @@ FEATURE_TYPES = {f: ("double" if f in {
 } else "int") for f in ALL_FEATURES}
 
 
+def round_half_up(c: Column, places: int) -> Column:
+    """floor(x * 10^k + 0.5) / 10^k: the same IEEE steps in every engine."""
+    m = float(10 ** places)
+    return F.floor(c * m + F.lit(0.5)) / m
+
+
 def feature_summary(df: DataFrame) -> Column:
     """M6: the one-line human summary of a feature row.
 
-    Uses Java ``%.2f``/``%.1f`` (half-up); compare on pre-rounded values.
+    Values are rounded half-up on the scaled value before formatting, so the
+    text does not depend on an engine's formatter rounding.
     """
     return F.concat_ws(
         " | ",
         F.format_string("Text length: %d words", F.col("word_count")),
         F.concat(F.lit("Sentiment: "), F.when(F.col("text_polarity") > 0, F.lit("Positive")).otherwise(F.lit("Negative"))),
-        F.format_string("Subjectivity: %.2f", F.col("text_subjectivity")),
-        F.format_string("Readability: %.1f", F.col("flesch_reading_ease")),
+        F.format_string("Subjectivity: %.2f", round_half_up(F.col("text_subjectivity"), 2)),
+        F.format_string("Readability: %.1f", round_half_up(F.col("flesch_reading_ease"), 1)),
         F.format_string("Clickbait indicators: %d", F.col("clickbait_keyword_count")),
         F.concat(F.lit("Trusted domain: "), F.when(F.col("is_trusted_domain") == 1, F.lit("Yes")).otherwise(F.lit("No"))),
     )
-

@@ -66,3 +66,203 @@ QUERIES = {
     "clickbait_features": q_clickbait_features,
     "all_features": q_all_features,
 }
+
+
+# ---------------------------------------------------------------------------
+# text primitives and intake (documents)
+# ---------------------------------------------------------------------------
+from credence.functions import text as tx  # noqa: E402
+from credence.operators import explain as ex  # noqa: E402
+from credence.operators import score as sc  # noqa: E402
+from credence.sources import tables as tb  # noqa: E402
+
+
+def _all_docs(spark, sf):
+    return pl.ensure_parallelism(tb.documents(spark, sf)).select(
+        "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def q_tokenize(spark, sf):
+    d = _all_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
+    return d.select("doc_id", F.size("w").alias("n_tokens"),
+                    F.md5(F.array_join("w", " ")).alias("tokens_md5"))
+
+
+def q_sentence_stats(spark, sf):
+    d = _all_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = d.select("doc_id", F.size("w").alias("n"), tx.sentence_count(F.col("w")).alias("s"),
+                 F.size(tx.sentence_starts(F.col("w"))).alias("n_sentence_starts"))
+    return finalize(d.select("doc_id", F.col("s").alias("sentence_count"),
+                             tx.ratio(F.col("n"), F.col("s")).alias("avg_sentence_length"),
+                             "n_sentence_starts"))
+
+
+def q_syllable_count(spark, sf):
+    d = _all_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = d.select("doc_id", F.size("w").alias("n"), F.transform("w", tx.syllables).alias("syl"))
+    total = F.aggregate("syl", F.lit(0), lambda a, x: a + x)
+    return finalize(d.select("doc_id", total.alias("total_syllables"),
+                             tx.ratio(total, F.col("n")).alias("avg_syllables_per_word"),
+                             F.array_max("syl").alias("max_word_syllables")))
+
+
+def q_keyword_hits(spark, sf):
+    c = pl.document_content(spark, sf)
+    lt, ltt = F.lower(F.col("text")), F.lower(F.col("title"))
+    return c.select("doc_id",
+                    tx.keyword_hits(lt, DEFAULT.emotional_words).alias("emotional_hits"),
+                    tx.keyword_hits(lt, DEFAULT.clickbait_keywords).alias("clickbait_hits_text"),
+                    tx.keyword_hits(ltt, DEFAULT.clickbait_keywords).alias("clickbait_hits_title"))
+
+
+def q_text_intake(spark, sf):
+    c = pl.document_content(spark, sf)
+    return c.select("doc_id", "title", F.length("text").alias("text_length"), "domain",
+                    F.size("authors").alias("author_count"), "publish_date")
+
+
+def q_combined_text(spark, sf):
+    c = pl.document_content(spark, sf)
+    comb = tb.combined_text(F.col("title"), F.col("text"))
+    return c.select("doc_id", F.length(comb).alias("combined_length"), F.md5(comb).alias("combined_md5"))
+
+
+def q_truncate_text(spark, sf):
+    c = pl.document_content(spark, sf)
+    w = sc.truncate_tokens(tx.words(tb.combined_text(F.col("title"), F.col("text"))), DEFAULT.max_tokens)
+    c = c.select("doc_id", w.alias("w"))
+    return c.select("doc_id", F.size("w").alias("n_tokens_kept"), F.md5(F.array_join("w", " ")).alias("kept_md5"))
+
+
+# ---------------------------------------------------------------------------
+# scoring, explanation (documents)
+# ---------------------------------------------------------------------------
+
+def _doc_scored(spark, sf, params=DEFAULT):
+    return pl.score(pl.document_content(spark, sf, params), params)
+
+
+def _doc_explained(spark, sf, params=DEFAULT):
+    return pl.analyse(pl.document_content(spark, sf, params), params)
+
+
+def q_rule_score(spark, sf):
+    f = _doc_features(spark, sf, None)
+    return finalize(f.select("doc_id", sc.rule_points().alias("rule_points"), sc.rule_score().alias("rule_score")))
+
+
+VERDICT_COLS = ["prediction", "confidence", "fake_probability", "real_probability", "feature_score",
+                "bert_prediction", "model_used"]
+
+
+def q_ensemble_verdict(spark, sf):
+    return finalize(_doc_scored(spark, sf).select("doc_id", *VERDICT_COLS))
+
+
+def _names(arr):
+    return F.array_join(F.transform(arr, lambda x: x["factor"]), "|")
+
+
+def _descs(arr):
+    return F.array_join(F.transform(arr, lambda x: x["description"]), "|")
+
+
+def _factor_query(df, key, pos_items, neg_items):
+    pos = F.array_compact(F.array(*pos_items)) if pos_items else F.array().cast(f"array<{ex.FACTOR_TYPE}>")
+    neg = F.array_compact(F.array(*neg_items)) if neg_items else F.array().cast(f"array<{ex.FACTOR_TYPE}>")
+    s = df.select(key, pos.alias("p"), neg.alias("n"))
+    return s.select(key, _names(F.col("p")).alias("positive"), _names(F.col("n")).alias("negative"),
+                    _descs(F.col("p")).alias("positive_descriptions"),
+                    _descs(F.col("n")).alias("negative_descriptions"))
+
+
+def _page_scored(spark, sf, params=CORPUS):
+    content = pl.page_content(spark, sf, params)
+    from credence.sources import pages as pg
+    return pl.score(pg.good_pages(content), params)
+
+
+def q_source_factors(spark, sf):
+    return _factor_query(_page_scored(spark, sf), "page_id", ex.source_factors_pos(), ex.source_factors_neg())
+
+
+def q_quality_factors(spark, sf):
+    return _factor_query(_doc_scored(spark, sf), "doc_id", ex.quality_factors_pos(), ex.quality_factors_neg())
+
+
+def q_sentiment_factors(spark, sf):
+    return _factor_query(_doc_scored(spark, sf), "doc_id", ex.sentiment_factors_pos(), ex.sentiment_factors_neg())
+
+
+def q_clickbait_factors(spark, sf):
+    return _factor_query(_doc_scored(spark, sf), "doc_id", [], ex.clickbait_factors_neg(DEFAULT))
+
+
+def _flat_explanation(df, key):
+    return df.select(
+        key, "prediction", "confidence", "credibility_score",
+        F.col("factor_count.positive").alias("n_positive"), F.col("factor_count.negative").alias("n_negative"),
+        _names(F.col("positive_factors")).alias("positive"), _names(F.col("negative_factors")).alias("negative"),
+        "summary", F.array_join("key_concerns", "|").alias("key_concerns"),
+        F.array_join("recommendations", "|").alias("recommendations"))
+
+
+def q_explanation(spark, sf):
+    return finalize(_flat_explanation(_doc_explained(spark, sf), "doc_id"))
+
+
+def q_credibility_score(spark, sf):
+    return _doc_explained(spark, sf).select("doc_id", "credibility_score")
+
+
+def q_summary_text(spark, sf):
+    return _doc_explained(spark, sf).select("doc_id", "prediction", "credibility_score", "summary")
+
+
+def q_key_concerns(spark, sf):
+    e = _doc_explained(spark, sf).select("doc_id", F.posexplode_outer("key_concerns").alias("pos", "concern"))
+    return e.where(F.col("pos").isNotNull()).select("doc_id", (F.col("pos") + 1).alias("concern_rank"), "concern")
+
+
+def q_recommendations(spark, sf):
+    e = _doc_explained(spark, sf).select("doc_id", F.posexplode_outer("recommendations").alias("pos", "recommendation"))
+    return e.where(F.col("pos").isNotNull()).select("doc_id", (F.col("pos") + 1).alias("position"), "recommendation")
+
+
+def q_factor_preview(spark, sf):
+    e = _doc_explained(spark, sf)
+    top3 = F.transform(F.slice("positive_factors", 1, 3),
+                       lambda x: F.concat(x["factor"], F.lit(": "), x["description"]))
+    return e.select("doc_id", _names(F.slice("positive_factors", 1, 5)).alias("positive_top5"),
+                    _names(F.slice("negative_factors", 1, 5)).alias("negative_top5"),
+                    F.array_join(top3, "|").alias("positive_top3"),
+                    F.substring("text", 1, 200).alias("text_preview"))
+
+
+def q_feature_summary(spark, sf):
+    f = _doc_features(spark, sf, None)
+    return f.select("doc_id", ft.feature_summary(f).alias("feature_summary"))
+
+
+QUERIES.update({
+    "tokenize": q_tokenize,
+    "sentence_stats": q_sentence_stats,
+    "syllable_count": q_syllable_count,
+    "keyword_hits": q_keyword_hits,
+    "text_intake": q_text_intake,
+    "combined_text": q_combined_text,
+    "truncate_text": q_truncate_text,
+    "rule_score": q_rule_score,
+    "ensemble_verdict": q_ensemble_verdict,
+    "source_factors": q_source_factors,
+    "quality_factors": q_quality_factors,
+    "sentiment_factors": q_sentiment_factors,
+    "clickbait_factors": q_clickbait_factors,
+    "explanation": q_explanation,
+    "credibility_score": q_credibility_score,
+    "summary_text": q_summary_text,
+    "key_concerns": q_key_concerns,
+    "recommendations": q_recommendations,
+    "factor_preview": q_factor_preview,
+    "feature_summary": q_feature_summary,
+})

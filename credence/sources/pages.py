@@ -186,11 +186,24 @@ def fallback_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def fenced_filter(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` evaluated *after* ``df``'s projection.
+
+    Catalyst pushes a filter below a deterministic projection by inlining the
+    aliased expressions, so a condition on an extracted column would run the
+    whole regex extraction twice (measured: 8x slower on the page path).  The
+    filter references a non-deterministic column (the partition id), which
+    keeps it above the projection; the column is dropped afterwards.
+    """
+    fenced = df.withColumn("_fence", F.spark_partition_id())
+    return fenced.where(cond & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def good_pages(content: DataFrame) -> DataFrame:
     """Rows that may be scored."""
-    return content.where(F.col("error").isNull() & (F.col("text") != ""))
+    return fenced_filter(content, F.col("error").isNull() & (F.col("text") != ""))
 
 
 def quarantined(content: DataFrame) -> DataFrame:
     """Rows that may not be scored."""
-    return content.where(F.col("error").isNotNull() | (F.coalesce(F.col("text"), F.lit("")) == ""))
+    return fenced_filter(content, F.col("error").isNotNull() | (F.coalesce(F.col("text"), F.lit("")) == ""))

@@ -35,3 +35,122 @@ SQL = {
     "clickbait_features": feature_group_sql(["clickbait"]),
     "all_features": feature_group_sql(list(GROUPS)),
 }
+
+
+# ---------------------------------------------------------------------------
+# text primitives and intake
+# ---------------------------------------------------------------------------
+W_ALL = "SELECT doc_id, " + sp.words("coalesce(text, '')") + " AS w FROM documents"
+SYL = ("list_transform(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), "
+       "lambda c: CASE WHEN length(c) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(c, '[aeiouy]+')) "
+       "- CASE WHEN suffix(c, 'e') THEN 1 ELSE 0 END) END)")
+CONTENT = f"content AS ({sp.doc_content()})"
+
+SQL.update({
+    "tokenize": f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM ({W_ALL})",
+    "sentence_stats": f"""SELECT doc_id, CAST(s AS INTEGER) AS sentence_count,
+  round({sp.ratio('n', 's')}, {PLACES}) AS avg_sentence_length,
+  CAST(len(list_distinct(st)) AS INTEGER) AS n_sentence_starts
+FROM (SELECT doc_id, len(w) AS n,
+             CASE WHEN len(w) = 0 THEN 0 ELSE 1 + len(list_filter(w, lambda x, i: i < len(w) AND regexp_matches(x, {sp.SE}))) END AS s,
+             list_filter(w, lambda x, i: i = 1 OR regexp_matches(w[i - 1], {sp.SE})) AS st
+      FROM ({W_ALL}))""",
+    "syllable_count": f"""SELECT doc_id, CAST(coalesce(list_sum(syl), 0) AS INTEGER) AS total_syllables,
+  round({sp.ratio('coalesce(list_sum(syl), 0)', 'len(w)')}, {PLACES}) AS avg_syllables_per_word,
+  CAST(list_max(syl) AS INTEGER) AS max_word_syllables
+FROM (SELECT doc_id, w, {SYL} AS syl FROM ({W_ALL}))""",
+    "keyword_hits": with_ctes([CONTENT], f"""SELECT doc_id,
+  CAST({sp.hits('lower(text)', DEFAULT.emotional_words)} AS INTEGER) AS emotional_hits,
+  CAST({sp.hits('lower(text)', DEFAULT.clickbait_keywords)} AS INTEGER) AS clickbait_hits_text,
+  CAST({sp.hits('lower(title)', DEFAULT.clickbait_keywords)} AS INTEGER) AS clickbait_hits_title
+FROM content"""),
+    "text_intake": with_ctes([CONTENT], """SELECT doc_id, title, CAST(length(text) AS INTEGER) AS text_length, domain,
+  CAST(len(authors) AS INTEGER) AS author_count, publish_date FROM content"""),
+    "combined_text": with_ctes([CONTENT], """SELECT doc_id, CAST(length(ct) AS INTEGER) AS combined_length, md5(ct) AS combined_md5
+FROM (SELECT doc_id, CASE WHEN title <> '' THEN title || '. ' || text ELSE text END AS ct FROM content)"""),
+    "truncate_text": with_ctes([CONTENT], f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens_kept, md5(array_to_string(w, ' ')) AS kept_md5
+FROM (SELECT doc_id, {sp.words("CASE WHEN title <> '' THEN title || '. ' || text ELSE text END")}[1:{DEFAULT.max_tokens}] AS w
+      FROM content)"""),
+})
+
+# ---------------------------------------------------------------------------
+# scoring and explanation
+# ---------------------------------------------------------------------------
+DOC_SCORED = doc_feats_ctes() + [sp.scored_cte("feats", "scored")]
+DOC_EXPL = DOC_SCORED + [sp.explained_cte("scored", "explained")]
+
+
+def page_feats_ctes(params=CORPUS):
+    return ([f"pc AS ({sp.page_content(params)})",
+             "content AS (SELECT * FROM pc WHERE error IS NULL AND text <> '')"]
+            + sp.feature_ctes("content", "page_id", params))
+
+
+PAGE_SCORED = page_feats_ctes() + [sp.scored_cte("feats", "scored", CORPUS)]
+PAGE_EXPL = PAGE_SCORED + [sp.explained_cte("scored", "explained", CORPUS)]
+
+VERDICT = ("prediction, round(confidence, 6) AS confidence, round(fake_probability, 6) AS fake_probability, "
+           "round(real_probability, 6) AS real_probability, round(feature_score, 6) AS feature_score, "
+           "bert_prediction, model_used")
+
+_POS, _NEG = sp.positive_factor_defs(), sp.negative_factor_defs(DEFAULT)
+
+
+def factor_sql(ctes, key, pos, neg):
+    return with_ctes(ctes, f"""SELECT {key},
+  array_to_string({sp.factor_list(pos) if pos else '[]'}, '|') AS positive,
+  array_to_string({sp.factor_list(neg) if neg else '[]'}, '|') AS negative,
+  array_to_string({sp.factor_list(pos, 'desc') if pos else '[]'}, '|') AS positive_descriptions,
+  array_to_string({sp.factor_list(neg, 'desc') if neg else '[]'}, '|') AS negative_descriptions
+FROM scored""")
+
+
+def key_concern_list(names="neg_names", imps="neg_imp"):
+    parts = [f"list_transform(list_filter({names}, lambda x, i: {imps}[i] = '{imp}'), lambda x: '⚠ ' || x)"
+             for imp in ("critical", "high", "medium", "low")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_concat({out}, {p})"
+    return f"{out}[1:5]"
+
+
+FLAT_EXPL = f"""prediction, round(confidence, 6) AS confidence, CAST(credibility_score AS INTEGER) AS credibility_score,
+  CAST(len(pos_names) AS INTEGER) AS n_positive, CAST(len(neg_names) AS INTEGER) AS n_negative,
+  array_to_string(pos_names, '|') AS positive, array_to_string(neg_names, '|') AS negative, summary,
+  array_to_string({key_concern_list()}, '|') AS key_concerns, array_to_string(recommendations, '|') AS recommendations"""
+
+RANK_CASE = "CASE imp WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+
+SQL.update({
+    "rule_score": with_ctes(doc_feats_ctes(), f"""SELECT doc_id, CAST({sp.rule_points_sql()} AS INTEGER) AS rule_points,
+  round(CAST(greatest(0, least(100, {sp.rule_points_sql()})) AS DOUBLE) / 100.0, 6) AS rule_score FROM feats"""),
+    "ensemble_verdict": with_ctes(DOC_SCORED, f"SELECT doc_id, {VERDICT} FROM scored"),
+    "source_factors": factor_sql(PAGE_SCORED, "page_id", _POS[0:3], sp.negative_factor_defs(CORPUS)[0:3]),
+    "quality_factors": factor_sql(DOC_SCORED, "doc_id", _POS[3:5], _NEG[3:7]),
+    "sentiment_factors": factor_sql(DOC_SCORED, "doc_id", _POS[5:6], _NEG[7:10]),
+    "clickbait_factors": factor_sql(DOC_SCORED, "doc_id", [], _NEG[10:12]),
+    "explanation": with_ctes(DOC_EXPL, f"SELECT doc_id, {FLAT_EXPL} FROM explained"),
+    "credibility_score": with_ctes(DOC_EXPL, "SELECT doc_id, CAST(credibility_score AS INTEGER) AS credibility_score FROM explained"),
+    "summary_text": with_ctes(DOC_EXPL, "SELECT doc_id, prediction, CAST(credibility_score AS INTEGER) AS credibility_score, summary FROM explained"),
+    "key_concerns": with_ctes(DOC_EXPL + [
+        "negs AS (SELECT doc_id, unnest(neg_names) AS name, unnest(neg_imp) AS imp, "
+        "unnest(generate_series(1, len(neg_names))) AS i FROM explained)"],
+        f"""SELECT doc_id, CAST(rk AS INTEGER) AS concern_rank, concern FROM (
+  SELECT doc_id, '⚠ ' || name AS concern, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK_CASE}, i) AS rk
+  FROM negs) WHERE rk <= 5"""),
+    "recommendations": with_ctes(DOC_EXPL, """SELECT doc_id, CAST(position AS INTEGER) AS position, recommendation FROM (
+  SELECT doc_id, unnest(recommendations) AS recommendation, unnest(generate_series(1, len(recommendations))) AS position
+  FROM explained)"""),
+    "factor_preview": with_ctes(DOC_EXPL, """SELECT doc_id, array_to_string(pos_names[1:5], '|') AS positive_top5,
+  array_to_string(neg_names[1:5], '|') AS negative_top5,
+  array_to_string(list_transform(pos_names[1:3], lambda x, i: x || ': ' || pos_desc[i]), '|') AS positive_top3,
+  substr(text, 1, 200) AS text_preview FROM explained"""),
+    "feature_summary": with_ctes(doc_feats_ctes(), """SELECT doc_id, concat_ws(' | ',
+  'Text length: ' || word_count || ' words',
+  'Sentiment: ' || CASE WHEN text_polarity > 0 THEN 'Positive' ELSE 'Negative' END,
+  'Subjectivity: ' || printf('%.2f', floor(text_subjectivity * 100.0 + 0.5) / 100.0),
+  'Readability: ' || printf('%.1f', floor(flesch_reading_ease * 10.0 + 0.5) / 10.0),
+  'Clickbait indicators: ' || clickbait_keyword_count,
+  'Trusted domain: ' || CASE WHEN is_trusted_domain = 1 THEN 'Yes' ELSE 'No' END) AS feature_summary
+FROM feats"""),
+})

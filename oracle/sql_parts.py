@@ -447,4 +447,4 @@ def explained_cte(src: str, out: str = "explained", params: Params = DEFAULT) ->
                {factor_list(pos)} AS pos_names, {factor_list(neg)} AS neg_names,
                {factor_list(pos, 'desc')} AS pos_desc, {factor_list(neg, 'desc')} AS neg_desc,
                {factor_list(neg, 'imp')} AS neg_imp
-        FROM {src}))"""
+        FROM (SELECT * EXCLUDE (summary) FROM {src})))"""
