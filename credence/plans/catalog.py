@@ -266,3 +266,163 @@ QUERIES.update({
     "factor_preview": q_factor_preview,
     "feature_summary": q_feature_summary,
 })
+
+
+# ---------------------------------------------------------------------------
+# pages: intake, extraction, routing
+# ---------------------------------------------------------------------------
+from credence.plans import results as rs  # noqa: E402
+from credence.sources import pages as pg  # noqa: E402
+from credence.sources import sinks as sk  # noqa: E402
+
+
+def _pages(spark, sf):
+    return pl.ensure_parallelism(tb.read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+
+
+def q_page_content(spark, sf):
+    c = pl.page_content(spark, sf, CORPUS)
+    return c.select("page_id", "domain", "title", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"),
+                    F.size("authors").alias("author_count"), "publish_date", "meta_description",
+                    F.size("images").alias("image_count"), "extraction_method", "error")
+
+
+def q_url_validation(spark, sf):
+    p = tb.read_table(spark, sf, "pages", ["page_id", "url"])
+    ok = pg.url_is_valid(F.col("url"))
+    return p.select("page_id", "url", ok.alias("is_valid"),
+                    F.when(~ok, F.lit(pg.ERROR_INVALID_URL)).alias("error"))
+
+
+def q_url_domain(spark, sf):
+    p = tb.read_table(spark, sf, "pages", ["page_id", "url"])
+    return p.select("page_id", pg.url_domain(F.col("url")).alias("domain"))
+
+
+def q_page_extract(spark, sf):
+    e = pg.fallback_extract(_pages(spark, sf))
+    return e.select("page_id", "title", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"),
+                    "meta_description", F.size("images").alias("image_count"))
+
+
+def q_extract_fallback(spark, sf):
+    p = _pages(spark, sf)
+    h = pg.clean_html(F.coalesce(F.col("html"), F.lit("")))
+    s = p.select("page_id", h.alias("h"))
+    s = s.select("page_id", pg.primary_text(F.col("h")).alias("p"), pg.fallback_text(F.col("h")).alias("f"))
+    use_p = F.length("p") > 0
+    return s.select("page_id", F.when(use_p, F.lit("paragraphs")).otherwise(F.lit("fallback")).alias("extraction_method"),
+                    F.length("p").alias("primary_length"), F.length("f").alias("fallback_length"),
+                    F.length(F.when(use_p, F.col("p")).otherwise(F.col("f"))).alias("text_length"))
+
+
+def q_size_guard(spark, sf):
+    p = tb.read_table(spark, sf, "pages", ["page_id", "html"])
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    big = size > DEFAULT.max_content_size
+    return p.select("page_id", size.alias("html_bytes"), big.alias("too_large"),
+                    F.when(big, F.lit(pg.ERROR_TOO_LARGE)).alias("error"))
+
+
+def q_quarantine(spark, sf):
+    pages = pg.quarantined(pl.page_content(spark, sf, CORPUS)).select(
+        F.lit("pages").alias("source"), F.col("page_id").alias("id"), "error")
+    docs = tb.text_rejects(tb.documents(spark, sf)).select(
+        F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "error")
+    return pages.unionByName(docs)
+
+
+def q_source_features(spark, sf):
+    c = pg.good_pages(pl.page_content(spark, sf, CORPUS))
+    return ft.extract_features(c, CORPUS, groups=["source"], keep_content=False).drop("url", "extraction_method", "error")
+
+
+def q_metadata_features(spark, sf):
+    c = pg.good_pages(pl.page_content(spark, sf, CORPUS))
+    return ft.extract_features(c, CORPUS, groups=["metadata"], keep_content=False).drop("url", "extraction_method", "error")
+
+
+def _page_explained(spark, sf, params=CORPUS):
+    return pl.analyse(pg.good_pages(pl.page_content(spark, sf, params)), params)
+
+
+def q_analysis_response(spark, sf):
+    e = _page_explained(spark, sf)
+    return finalize(e.select(
+        "page_id", F.lit(True).alias("success"), "prediction", "confidence", "credibility_score", "summary",
+        F.col("factor_count.positive").alias("n_positive"), F.col("factor_count.negative").alias("n_negative"),
+        F.array_join("key_concerns", "|").alias("key_concerns"),
+        F.array_join("recommendations", "|").alias("recommendations"),
+        "url", "domain", "title", sk.author_text(F.col("authors")).alias("author"), "publish_date",
+        "word_count", "model_used"))
+
+
+# ---------------------------------------------------------------------------
+# result table (K1-K5)
+# ---------------------------------------------------------------------------
+RUN1_TS = "2024-01-01 00:00:00"
+RUN2_TS = "2024-01-02 00:00:00"
+CACHED_COLS = ["prediction", "confidence", "credibility_score"]
+
+
+def _cache_rows(explained, ts):
+    return explained.select(rs.cache_key(F.col("url")).alias(rs.KEY), *CACHED_COLS,
+                            F.to_timestamp(F.lit(ts)).alias(rs.TS))
+
+
+def _first_run_cache(spark, sf):
+    """Results stored by an earlier run: the pages crawled then (.com hosts)."""
+    c = pg.good_pages(pl.page_content(spark, sf, DEFAULT))
+    first = c.where(F.col("domain").endswith(".com"))
+    return _cache_rows(pl.analyse(first, DEFAULT), RUN1_TS)
+
+
+def q_cache_key(spark, sf):
+    p = tb.read_table(spark, sf, "pages", ["page_id", "url"])
+    return p.select("page_id", "url", rs.cache_key(F.col("url")).alias("cache_key"))
+
+
+def q_cache_upsert(spark, sf):
+    refresh = _cache_rows(_page_explained(spark, sf, CORPUS), RUN2_TS)
+    return finalize(rs.upsert(_first_run_cache(spark, sf), refresh))
+
+
+def q_cache_lookup(spark, sf):
+    req = tb.read_table(spark, sf, "pages", ["page_id", "url"])
+    hits = rs.lookup(req, _first_run_cache(spark, sf))
+    return finalize(hits.select("page_id", "cache_key", *CACHED_COLS, "cached_at"))
+
+
+def _scored_misses(spark, sf):
+    cache = _first_run_cache(spark, sf)
+    content = pg.good_pages(pl.page_content(spark, sf, CORPUS))
+    return pl.analyse(rs.misses(content, cache).drop(rs.KEY), CORPUS)
+
+
+def q_cache_misses(spark, sf):
+    m = _scored_misses(spark, sf)
+    return finalize(m.select("page_id", rs.cache_key(F.col("url")).alias("cache_key"), *CACHED_COLS))
+
+
+def q_cache_stats(spark, sf):
+    table = _first_run_cache(spark, sf).unionByName(_cache_rows(_scored_misses(spark, sf), RUN2_TS))
+    return rs.stats(table)
+
+
+QUERIES.update({
+    "page_content": q_page_content,
+    "url_validation": q_url_validation,
+    "url_domain": q_url_domain,
+    "page_extract": q_page_extract,
+    "extract_fallback": q_extract_fallback,
+    "size_guard": q_size_guard,
+    "quarantine": q_quarantine,
+    "source_features": q_source_features,
+    "metadata_features": q_metadata_features,
+    "analysis_response": q_analysis_response,
+    "cache_key": q_cache_key,
+    "cache_upsert": q_cache_upsert,
+    "cache_lookup": q_cache_lookup,
+    "cache_misses": q_cache_misses,
+    "cache_stats": q_cache_stats,
+})

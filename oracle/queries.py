@@ -154,3 +154,88 @@ SQL.update({
   'Trusted domain: ' || CASE WHEN is_trusted_domain = 1 THEN 'Yes' ELSE 'No' END) AS feature_summary
 FROM feats"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# pages and the result table
+# ---------------------------------------------------------------------------
+PC = f"pc AS ({sp.page_content(CORPUS)})"
+CLEAN = "cl AS (SELECT page_id, url, " + sp.clean_html("coalesce(html, '')") + " AS h FROM pages)"
+_PP = sp.page_parts("h")
+
+
+def page_chain(params, prefix, where="TRUE", extra=("url",)):
+    """Good pages of one run -> features -> verdict -> explanation, CTE names prefixed."""
+    return ([f"{prefix}_pc AS ({sp.page_content(params)})",
+             f"{prefix}_c AS (SELECT * FROM {prefix}_pc WHERE error IS NULL AND text <> '' AND ({where}))"]
+            + sp.feature_ctes(f"{prefix}_c", "page_id", params, out=f"{prefix}_f", extra=extra)
+            + [sp.scored_cte(f"{prefix}_f", f"{prefix}_s", params),
+               sp.explained_cte(f"{prefix}_s", f"{prefix}_e", params)])
+
+
+RUN1 = page_chain(DEFAULT, "r1", "suffix(domain, '.com')")
+RUN2 = page_chain(CORPUS, "r2")
+CACHE1 = ("cache1 AS (SELECT md5(url) AS cache_key, prediction, confidence, credibility_score, "
+          "TIMESTAMP '2024-01-01 00:00:00' AS cached_at FROM r1_e)")
+MISSES = ("misses AS (SELECT * FROM r2_e WHERE md5(url) NOT IN (SELECT cache_key FROM cache1))")
+AUTHOR = "CASE WHEN array_to_string(authors, ', ') = '' THEN 'Unknown' ELSE array_to_string(authors, ', ') END"
+
+
+def page_feature_sql(groups) -> str:
+    names = [f for g in groups for f in GROUPS[g]]
+    sel = ", ".join(col(f, FEATURE_TYPES[f]) for f in names)
+    ctes = [PC, "content AS (SELECT * FROM pc WHERE error IS NULL AND text <> '')"] + sp.feature_ctes(
+        "content", "page_id", CORPUS)
+    return with_ctes(ctes, f"SELECT page_id, {sel} FROM feats")
+
+
+SQL.update({
+    "page_content": with_ctes([PC], """SELECT page_id, domain, title, CAST(length(text) AS INTEGER) AS text_length,
+  md5(text) AS text_md5, CAST(len(authors) AS INTEGER) AS author_count, publish_date, meta_description,
+  CAST(len(images) AS INTEGER) AS image_count, extraction_method, error FROM pc"""),
+    "url_validation": f"""SELECT page_id, url, {sp.VALID_URL_SQL} AS is_valid,
+  CASE WHEN NOT {sp.VALID_URL_SQL} THEN {sp.q(sp.ERROR_INVALID_URL)} END AS error FROM pages""",
+    "url_domain": f"SELECT page_id, {sp.DOMAIN_SQL} AS domain FROM pages",
+    "page_extract": with_ctes([CLEAN], f"""SELECT page_id, title, CAST(length(text) AS INTEGER) AS text_length,
+  md5(text) AS text_md5, meta_description, CAST(len(images) AS INTEGER) AS image_count
+FROM (SELECT page_id, {_PP['title']} AS title, {_PP['fallback']} AS text,
+             {_PP['meta_description']} AS meta_description, {_PP['images_raw']} AS images FROM cl)"""),
+    "extract_fallback": with_ctes([CLEAN], f"""SELECT page_id,
+  CASE WHEN length(p) > 0 THEN 'paragraphs' ELSE 'fallback' END AS extraction_method,
+  CAST(length(p) AS INTEGER) AS primary_length, CAST(length(f) AS INTEGER) AS fallback_length,
+  CAST(length(CASE WHEN length(p) > 0 THEN p ELSE f END) AS INTEGER) AS text_length
+FROM (SELECT page_id, {_PP['primary']} AS p, {_PP['fallback']} AS f FROM cl)"""),
+    "size_guard": f"""SELECT page_id, CAST(strlen(coalesce(html, '')) AS INTEGER) AS html_bytes,
+  strlen(coalesce(html, '')) > {DEFAULT.max_content_size} AS too_large,
+  CASE WHEN strlen(coalesce(html, '')) > {DEFAULT.max_content_size} THEN {sp.q(sp.ERROR_TOO_LARGE)} END AS error
+FROM pages""",
+    "quarantine": with_ctes([PC], f"""SELECT 'pages' AS source, page_id AS id, error FROM pc
+  WHERE error IS NOT NULL OR coalesce(text, '') = ''
+UNION ALL
+SELECT 'documents' AS source, doc_id AS id, 'text shorter than {DEFAULT.min_text_length} characters' AS error
+FROM documents WHERE length(coalesce(text, '')) < {DEFAULT.min_text_length}"""),
+    "source_features": page_feature_sql(["source"]),
+    "metadata_features": page_feature_sql(["metadata"]),
+    "analysis_response": with_ctes(RUN2, f"""SELECT page_id, true AS success, prediction, round(confidence, 6) AS confidence,
+  CAST(credibility_score AS INTEGER) AS credibility_score, summary,
+  CAST(len(pos_names) AS INTEGER) AS n_positive, CAST(len(neg_names) AS INTEGER) AS n_negative,
+  array_to_string({key_concern_list()}, '|') AS key_concerns, array_to_string(recommendations, '|') AS recommendations,
+  url, domain, title, {AUTHOR} AS author, publish_date, CAST(word_count AS INTEGER) AS word_count, model_used
+FROM r2_e"""),
+    "cache_key": "SELECT page_id, url, md5(url) AS cache_key FROM pages",
+    "cache_upsert": with_ctes(RUN1 + RUN2 + [CACHE1], """SELECT cache_key, prediction, round(confidence, 6) AS confidence,
+  CAST(credibility_score AS INTEGER) AS credibility_score, cached_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC) AS rn FROM (
+    SELECT * FROM cache1
+    UNION ALL
+    SELECT md5(url), prediction, confidence, credibility_score, TIMESTAMP '2024-01-02 00:00:00' FROM r2_e))
+WHERE rn = 1"""),
+    "cache_lookup": with_ctes(RUN1 + [CACHE1], """SELECT p.page_id, c.cache_key, c.prediction, round(c.confidence, 6) AS confidence,
+  CAST(c.credibility_score AS INTEGER) AS credibility_score, c.cached_at
+FROM pages p JOIN cache1 c ON md5(p.url) = c.cache_key"""),
+    "cache_misses": with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT page_id, md5(url) AS cache_key, prediction,
+  round(confidence, 6) AS confidence, CAST(credibility_score AS INTEGER) AS credibility_score FROM misses"""),
+    "cache_stats": with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT count(*) AS cache_size, min(cached_at) AS oldest_entry,
+  max(cached_at) AS newest_entry FROM (
+  SELECT cached_at FROM cache1 UNION ALL SELECT TIMESTAMP '2024-01-02 00:00:00' FROM misses)"""),
+})

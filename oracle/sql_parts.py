@@ -117,14 +117,14 @@ PARA = q(r"(?is)<p\b[^>]*>(.*?)</p\s*>")
 IMG = q(r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']""")
 
 
-def page_content(params: Params = DEFAULT) -> str:
-    """pages -> content record per page (S1/S5/S8/S10) in SQL."""
-    h = "h"
+def page_parts(h: str = "h") -> dict:
+    """SQL expressions of the page extractor over a cleaned html column."""
     raw_title = f"regexp_extract({h}, {q('(?is)<title\\b[^>]*>(.*?)</title\\s*>')}, 1)"
     h1 = f"regexp_extract({h}, {q('(?is)<h1\\b[^>]*>(.*?)</h1\\s*>')}, 1)"
+    h1_text = strip(decode(f"regexp_replace({h1}, '<[^>]*>', '', 'g')"))
     title = (f"CASE WHEN regexp_matches({h}, '(?i)<title\\b') THEN "
              f"(CASE WHEN regexp_matches({raw_title}, '<[A-Za-z/!]') THEN '' ELSE {strip(decode(raw_title))} END) "
-             f"ELSE {strip(decode(f"regexp_replace({h1}, '<[^>]*>', '', 'g')"))} END")
+             f"ELSE {h1_text} END")
     art = f"regexp_extract({h}, {ARTICLE}, 1)"
     has_art = f"regexp_matches({h}, '(?i)<article\\b')"
     fb_art = f"array_to_string(list_filter({nodes(art)}, lambda x: x <> ''), ' ')"
@@ -140,7 +140,24 @@ def page_content(params: Params = DEFAULT) -> str:
                   meta_tag(h, "name", "date"))
     date = (f"CASE WHEN {d1} <> '' THEN {meta_content(d1)} WHEN {d2} <> '' THEN {meta_content(d2)} "
             f"WHEN {d3} <> '' THEN {meta_content(d3)} ELSE NULL END")
-    err0 = (f"CASE WHEN NOT coalesce(regexp_matches(url, '^(?i)https?://[^/?#]+'), false) THEN {q(ERROR_INVALID_URL)} "
+    return {
+        "title": title, "primary": primary, "fallback": fallback,
+        "authors": f"CASE WHEN {author_tag} <> '' THEN [{meta_content(author_tag)}] ELSE CAST([] AS VARCHAR[]) END",
+        "publish_date": date,
+        "meta_description": meta_content(meta_tag(h, "name", "description")),
+        "images": f"list_transform(regexp_extract_all({h}, {IMG}, 1), lambda x: {decode('x')})[1:10]",
+        "images_raw": f"regexp_extract_all({h}, {IMG}, 1)[1:10]",
+    }
+
+
+VALID_URL_SQL = "coalesce(regexp_matches(url, '^(?i)https?://[^/?#]+'), false)"
+DOMAIN_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+
+
+def page_content(params: Params = DEFAULT) -> str:
+    """pages -> content record per page (S1/S5/S8/S10) in SQL."""
+    pp = page_parts("h")
+    err0 = (f"CASE WHEN NOT {VALID_URL_SQL} THEN {q(ERROR_INVALID_URL)} "
             f"WHEN strlen(coalesce(html, '')) > {params.max_content_size} THEN {q(ERROR_TOO_LARGE)} END")
     return f"""SELECT page_id, url, domain,
        CASE WHEN err0 IS NULL THEN title ELSE '' END AS title,
@@ -152,12 +169,10 @@ def page_content(params: Params = DEFAULT) -> str:
                            THEN {q(ERROR_NO_TEXT)} END) AS error,
        CAST([] AS VARCHAR[]) AS keywords, '' AS summary
 FROM (
-  SELECT page_id, url, err0, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS domain,
-         {title} AS title, {primary} AS prim, {fallback} AS fb,
-         CASE WHEN {author_tag} <> '' THEN [{meta_content(author_tag)}] ELSE CAST([] AS VARCHAR[]) END AS authors,
-         {date} AS publish_date,
-         {meta_content(meta_tag(h, 'name', 'description'))} AS meta_description,
-         list_transform(regexp_extract_all({h}, {IMG}, 1), lambda x: {decode('x')})[1:10] AS images
+  SELECT page_id, url, err0, {DOMAIN_SQL} AS domain,
+         {pp['title']} AS title, {pp['primary']} AS prim, {pp['fallback']} AS fb,
+         {pp['authors']} AS authors, {pp['publish_date']} AS publish_date,
+         {pp['meta_description']} AS meta_description, {pp['images']} AS images
   FROM (SELECT page_id, url, html, err0, CASE WHEN err0 IS NULL THEN {clean_html("coalesce(html, '')")} END AS h
         FROM (SELECT page_id, url, html, {err0} AS err0 FROM pages))
 )"""
@@ -167,20 +182,16 @@ FROM (
 # features
 # ---------------------------------------------------------------------------
 
-LEX_SENT = "lex_s"
-LEX_INT = "lex_i"
-
-
-def lexicon_ctes(params: Params = DEFAULT) -> list[str]:
+def lexicon_ctes(params: Params = DEFAULT, prefix: str = "feats") -> list[str]:
     sent = [(w, p, s) for w, p, s, _ in params.lexicon if p != 0.0 or s != 0.0]
     inten = [(w, i) for w, _, _, i in params.lexicon if i != 1.0]
     rows_s = ", ".join(f"({q(w)}, {dbl(p)}, {dbl(s)})" for w, p, s in sent)
     rows_i = ", ".join(f"({q(w)}, {dbl(i)})" for w, i in inten)
-    return [f"{LEX_SENT}(word, pol, subj) AS (VALUES {rows_s})",
-            f"{LEX_INT}(word, inten) AS (VALUES {rows_i})"]
+    return [f"{prefix}_lex_s(word, pol, subj) AS (VALUES {rows_s})",
+            f"{prefix}_lex_i(word, inten) AS (VALUES {rows_i})"]
 
 
-def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats") -> list[str]:
+def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats", extra=()) -> list[str]:
     """CTEs computing the 47 features of ``src`` (content columns) into ``out``."""
     stop = in_list(params.stopword_list())
     neg = in_list(params.negations)
@@ -189,14 +200,15 @@ def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats
            "- CASE WHEN suffix(c, 'e') THEN 1 ELSE 0 END) END))")
     starts = (f"list_filter(list_filter(w, lambda x, i: i = 1 OR regexp_matches(w[i - 1], {SE})), "
               f"lambda x: {cap('x')} AND length(x) > 1)")
-    ctes = lexicon_ctes(params)
+    ctes = lexicon_ctes(params, out)
+    extra_sel = "".join(f", {c}" for c in extra)
     ctes.append(f"""{out}_0 AS (
   SELECT *, {words('text')} AS w, {words('title')} AS tw, replace(lower(domain), 'www.', '') AS dom,
          lower(text) AS lt, lower(title) AS ltt
   FROM (SELECT {key}, coalesce(text, '') AS text, coalesce(title, '') AS title, coalesce(domain, '') AS domain,
                coalesce(authors, CAST([] AS VARCHAR[])) AS authors, publish_date,
                coalesce(images, CAST([] AS VARCHAR[])) AS images, coalesce(meta_description, '') AS meta_description,
-               coalesce(keywords, CAST([] AS VARCHAR[])) AS keywords, coalesce(summary, '') AS summary
+               coalesce(keywords, CAST([] AS VARCHAR[])) AS keywords, coalesce(summary, '') AS summary{extra_sel}
         FROM {src}))""")
     ctes.append(f"""{out}_1 AS (
   SELECT *, len(w) AS n,
@@ -219,8 +231,8 @@ def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats
              * (CASE WHEN (t.i > 1 AND t.arr[t.i - 1] IN {neg}) OR (t.i > 2 AND t.arr[t.i - 2] IN {neg})
                      THEN CAST(-0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) AS p,
            least(CAST(1.0 AS DOUBLE), ls.subj * coalesce(li.inten, CAST(1.0 AS DOUBLE))) AS sj
-    FROM {out}_tok t JOIN {LEX_SENT} ls ON ls.word = t.arr[t.i]
-    LEFT JOIN {LEX_INT} li ON t.i > 1 AND li.word = t.arr[t.i - 1])
+    FROM {out}_tok t JOIN {out}_lex_s ls ON ls.word = t.arr[t.i]
+    LEFT JOIN {out}_lex_i li ON t.i > 1 AND li.word = t.arr[t.i - 1])
   GROUP BY {key}, which)""")
     emo = hits("lt", params.emotional_words)
     kw = hits("ltt", params.clickbait_keywords)
@@ -300,7 +312,7 @@ def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats
         f"CAST({feats[f]} AS {'DOUBLE' if FEATURE_TYPES[f] == 'double' else 'INTEGER'}) AS {f}" for f in ALL_FEATURES)
     ctes.append(f"""{out} AS (
   SELECT f.{key}, f.text, f.title, f.domain, f.authors, f.publish_date, f.images, f.meta_description,
-         f.keywords, f.summary, {sel}
+         f.keywords, f.summary{"".join(f", f.{c}" for c in extra)}, {sel}
   FROM {out}_1 f
   LEFT JOIN {out}_sent st ON st.{key} = f.{key} AND st.which = 'text'
   LEFT JOIN {out}_sent stt ON stt.{key} = f.{key} AND stt.which = 'title')""")
