@@ -7,6 +7,8 @@ oracle; doubles are rounded to 6 places.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -426,3 +428,194 @@ QUERIES.update({
     "cache_misses": q_cache_misses,
     "cache_stats": q_cache_stats,
 })
+
+
+# ---------------------------------------------------------------------------
+# evaluation
+# ---------------------------------------------------------------------------
+from credence.operators import classifier as clf  # noqa: E402
+from credence.operators import evaluate as ev  # noqa: E402
+from credence.operators import keywords as kw  # noqa: E402
+from credence.streaming import score_stream as ss  # noqa: E402
+
+
+def _eval_details(spark, sf):
+    content = pl.ensure_parallelism(tb.labelled_content(spark, sf))
+    return ev.eval_details(pl.analyse(content, DEFAULT), "doc_id", "label")
+
+
+def q_labelled_corpus(spark, sf):
+    c = tb.labelled_content(spark, sf)
+    return c.select("doc_id", "label", "title", F.length("text").alias("text_length"), "domain")
+
+
+def q_eval_details(spark, sf):
+    return finalize(_eval_details(spark, sf).drop("error"))
+
+
+def q_confusion_matrix(spark, sf):
+    return ev.confusion(_eval_details(spark, sf))
+
+
+def q_classification_metrics(spark, sf):
+    return finalize(ev.metrics(_eval_details(spark, sf)))
+
+
+def q_prediction_distribution(spark, sf):
+    return finalize(ev.prediction_distribution(_eval_details(spark, sf)))
+
+
+def q_tolerant_accuracy(spark, sf):
+    return finalize(ev.tolerant_accuracy(_eval_details(spark, sf)))
+
+
+def q_eval_report(spark, sf):
+    return finalize(ev.report(_eval_details(spark, sf)))
+
+
+def q_latency_stats(spark, sf):
+    ok = tb.read_table(spark, sf, "events", ["event_type", "value"]).where(F.col("event_type") != "error")
+    return finalize(ev.latency_stats(ok, "value"))
+
+
+def q_verdict_counts(spark, sf):
+    """Flagship: verdict distribution of the whole document corpus."""
+    scored = _doc_scored(spark, sf)
+    return finalize(ev.prediction_distribution(scored.select(F.col("prediction").alias("predicted_label"))))
+
+
+# ---------------------------------------------------------------------------
+# base model side (P17-P21) over the embeddings table's logits
+# ---------------------------------------------------------------------------
+
+def _logits(spark, sf):
+    e = tb.read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return e.select("vec_id", F.col("embedding")[0].cast("double").alias("real_logit"),
+                    F.col("embedding")[1].cast("double").alias("fake_logit"))
+
+
+def _softmax(spark, sf):
+    lg = _logits(spark, sf)
+    return lg.select("vec_id", sc.softmax_fake_probability(F.col("real_logit"), F.col("fake_logit")).alias("p"))
+
+
+def q_softmax_argmax(spark, sf):
+    s = _softmax(spark, sf)
+    pr = F.round(F.col("p"), sc.COMPARE_PLACES)
+    cls = F.when(pr > 0.5, F.lit(1)).otherwise(F.lit(0))
+    return finalize(s.select("vec_id", (F.lit(1.0) - F.col("p")).alias("real_probability"),
+                             F.col("p").alias("fake_probability"), cls.alias("predicted_class"),
+                             F.when(cls == 1, F.lit("FAKE")).otherwise(F.lit("REAL")).alias("label"),
+                             F.greatest(F.col("p"), F.lit(1.0) - F.col("p")).alias("confidence")))
+
+
+def q_base_verdict(spark, sf):
+    v = sc.base_verdict(_softmax(spark, sf), "p")
+    return finalize(v.select("vec_id", F.col("base_prediction").alias("prediction"),
+                             F.col("base_confidence").alias("confidence"), "is_fake", "is_real"))
+
+
+def q_batch_classify(spark, sf):
+    s = _softmax(spark, sf)
+    return finalize(s.select("vec_id", sc.base_label(F.col("p"), uncertain=False).alias("prediction"),
+                             F.greatest(F.col("p"), F.lit(1.0) - F.col("p")).alias("confidence"),
+                             F.col("p").alias("fake_probability"), (F.lit(1.0) - F.col("p")).alias("real_probability")))
+
+
+def q_base_classifier(spark, sf):
+    labelled = pl.ensure_parallelism(tb.labelled_content(spark, sf))
+    model = clf.fit(labelled, "text", "label")
+    docs = pl.document_content(spark, sf)
+    docs = docs.select("doc_id", tb.combined_text(F.col("title"), F.col("text")).alias("text"))
+    out = clf.predict(model, docs)
+    return finalize(out.select("doc_id", "base_fake_probability", "base_prediction"))
+
+
+# ---------------------------------------------------------------------------
+# streaming forms
+# ---------------------------------------------------------------------------
+
+def q_stream_score(spark, sf):
+    q, out = ss.page_score_stream(spark, sf, CORPUS, file_glob="pages.parquet",
+                                  columns=("page_id", "prediction", "confidence", "credibility_score"))
+    q.awaitTermination()
+    return finalize(spark.read.parquet(out))
+
+
+def q_cache_ttl(spark, sf):
+    ev_ = tb.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
+    now = ev_.select(F.max("ts")).scalar()
+    fresh = ev_.where(F.col("ts") >= now - F.expr(f"INTERVAL {DEFAULT.cache_ttl_seconds} SECONDS"))
+    latest = fresh.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
+    return latest.select("user_id", F.col("r.event_id").alias("event_id"), F.col("r.ts").alias("ts"),
+                         F.col("r.event_type").alias("event_type"))
+
+
+def q_rate_check(spark, sf):
+    e = tb.read_table(spark, sf, "events", ["ts", "user_id"])
+    return ss.rate_over_limit(e, DEFAULT.rate_limit)
+
+
+# ---------------------------------------------------------------------------
+# keywords, summary, pairwise gap
+# ---------------------------------------------------------------------------
+
+def q_top_keywords(spark, sf):
+    d = _all_docs(spark, sf).select("doc_id", kw.top_terms(kw.terms(tx.words(F.col("text")))).alias("top"))
+    e = d.select("doc_id", F.posexplode_outer("top").alias("pos", "t")).where(F.col("pos").isNotNull())
+    return e.select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("t.term").alias("term"),
+                    F.col("t.count").alias("count"))
+
+
+def q_extractive_summary(spark, sf):
+    d = _all_docs(spark, sf)
+    d = d.select("doc_id", "text", kw.top_terms(kw.terms(tx.words(F.col("text")))).alias("top"))
+    s = d.select("doc_id", F.size(kw.sentences(F.col("text"))).alias("n_sentences"),
+                 kw.extractive_summary(F.col("text"), F.col("top")).alias("summary"))
+    return s.select("doc_id", "n_sentences", F.length("summary").alias("summary_length"), "summary")
+
+
+def q_credibility_gap(spark, sf):
+    """|credibility(turn) - credibility(next turn)| per conversation.
+
+    Each analysed turn is emitted under its own pair and under the previous
+    one, then a (conv_id, pair_start) aggregate puts the two scores side by
+    side: one shuffle keyed on both columns (a long conversation is spread
+    over many keys), computed once, no self-join.
+    """
+    conv = pl.ensure_parallelism(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "text"]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    content = conv.select("conv_id", "turn", text.alias("text"), tb.title_of(text).alias("title"),
+                          F.lit(tb.DIRECT_TEXT_DOMAIN).alias("domain"))
+    scored = pl.analyse(content, DEFAULT).select("conv_id", "turn", "credibility_score")
+    both = scored.select("conv_id", F.explode(F.array(
+        F.struct(F.col("turn").alias("pair_start"), F.lit(0).alias("side"), "credibility_score"),
+        F.struct((F.col("turn") - 1).alias("pair_start"), F.lit(1).alias("side"), "credibility_score"))).alias("x"))
+    g = both.groupBy("conv_id", F.col("x.pair_start").alias("turn")).agg(
+        F.max(F.when(F.col("x.side") == 0, F.col("x.credibility_score"))).alias("credibility_a"),
+        F.max(F.when(F.col("x.side") == 1, F.col("x.credibility_score"))).alias("credibility_b"))
+    g = g.where(F.col("credibility_a").isNotNull() & F.col("credibility_b").isNotNull())
+    return g.select("conv_id", "turn", (F.col("turn") + 1).alias("next_turn"), "credibility_a", "credibility_b",
+                    F.abs(F.col("credibility_a") - F.col("credibility_b")).alias("gap"))
+
+
+QUERIES.update({
+    "labelled_corpus": q_labelled_corpus,
+    "eval_details": q_eval_details,
+    "confusion_matrix": q_confusion_matrix,
+    "classification_metrics": q_classification_metrics,
+    "latency_stats": q_latency_stats,
+    "prediction_distribution": q_prediction_distribution,
+    "eval_report": q_eval_report,
+    "tolerant_accuracy": q_tolerant_accuracy,
+    "softmax_argmax": q_softmax_argmax,
+    "base_verdict": q_base_verdict,
+    "batch_classify": q_batch_classify,
+    "base_classifier": q_base_classifier,
+    "stream_score": q_stream_score,
+    "cache_ttl": q_cache_ttl,
+    "rate_check": q_rate_check,
+    "top_keywords": q_top_keywords,
+    "extractive_summary": q_extractive_summary,
+    "credibility_gap": q_credibility_gap,
+})

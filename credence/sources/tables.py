@@ -69,6 +69,27 @@ def combined_text(title, text, always: bool = False):
     return F.when(title != "", joined).otherwise(text)
 
 
+def labelled_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation intake: labelled documents as content records.
+
+    The text is stripped, the title is its first line, the document's
+    ``source`` is its domain; there are no authors or dates.  Unlike the
+    direct-text path there is no minimum length.
+    """
+    from credence.functions.text import WS_CHARS
+
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    j = docs.join(labels, "doc_id")
+    text = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(WS_CHARS))
+    return j.select(
+        "doc_id", text.alias("text"), title_of(text).alias("title"),
+        F.coalesce(F.col("source"), F.lit("")).alias("domain"),
+        F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("publish_date"),
+        F.when(F.col("quality") == 1, F.lit("REAL")).otherwise(F.lit("FAKE")).alias("label"),
+    )
+
+
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S13 at scale: documents joined with labels; quality 1 -> REAL, 0 -> FAKE.
 
