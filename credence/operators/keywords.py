@@ -9,7 +9,7 @@ document stays one row of work and the corpus scales linearly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions import text as tx
@@ -25,25 +25,31 @@ def terms(ws: Column, params: Params = DEFAULT) -> Column:
     return F.filter(cleaned, lambda t: (t != "") & ~t.isin(stop))
 
 
-def term_counts(ts: Column) -> Column:
-    """array<struct<neg:int, term:string>>: one entry per distinct term,
-    ``neg`` = -count, so that ascending order is (count desc, term asc)."""
-    s = F.array_sort(ts)
-    n = F.size(s)
+def with_top_terms(df: DataFrame, words_col: str, out: str = "top", k: int = 10,
+                   params: Params = DEFAULT) -> DataFrame:
+    """Add ``out``: the ``k`` most frequent terms as struct(term, count),
+    ties by term.
+
+    Staged in three projections so that the sorted terms and the run starts
+    are materialised once per row (an expression used inside a lambda would
+    otherwise be re-evaluated for every element).
+    """
+    keep = [F.col(c) for c in df.columns]
+    s1 = df.select(*keep, F.array_sort(terms(F.col(words_col), params)).alias("_kw_s"))
+    s, n = F.col("_kw_s"), F.size(F.col("_kw_s"))
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(idx, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    m = F.size(starts)
-    return F.transform(
-        starts,
-        lambda st, k: F.struct(
-            (st - F.when(k + 1 < m, F.element_at(starts, F.least(k + 2, m))).otherwise(n + 1)).alias("neg"),
-            F.element_at(s, st).alias("term")))
-
-
-def top_terms(ts: Column, k: int = 10) -> Column:
-    """The ``k`` most frequent terms as struct(term, count), ties by term."""
-    top = F.slice(F.array_sort(term_counts(ts)), 1, k)
-    return F.transform(top, lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("count")))
+    s2 = s1.select(*keep, s, starts.alias("_kw_st"))
+    st, m = F.col("_kw_st"), F.size(F.col("_kw_st"))
+    n2 = F.size(F.col("_kw_s"))
+    counts = F.transform(
+        st,
+        lambda x, j: F.struct(
+            (x - F.when(j + 1 < m, F.element_at(st, F.least(j + 2, m))).otherwise(n2 + 1)).alias("neg"),
+            F.element_at(F.col("_kw_s"), x).alias("term")))
+    top = F.transform(F.slice(F.array_sort(counts), 1, k),
+                      lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("count")))
+    return s2.select(*keep, top.alias(out))
 
 
 def sentences(text: Column) -> Column:

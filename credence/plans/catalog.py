@@ -561,15 +561,16 @@ def q_rate_check(spark, sf):
 # ---------------------------------------------------------------------------
 
 def q_top_keywords(spark, sf):
-    d = _all_docs(spark, sf).select("doc_id", kw.top_terms(kw.terms(tx.words(F.col("text")))).alias("top"))
+    d = _all_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = kw.with_top_terms(d, "w")
     e = d.select("doc_id", F.posexplode_outer("top").alias("pos", "t")).where(F.col("pos").isNotNull())
     return e.select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("t.term").alias("term"),
                     F.col("t.count").alias("count"))
 
 
 def q_extractive_summary(spark, sf):
-    d = _all_docs(spark, sf)
-    d = d.select("doc_id", "text", kw.top_terms(kw.terms(tx.words(F.col("text")))).alias("top"))
+    d = _all_docs(spark, sf).select("doc_id", "text", tx.words(F.col("text")).alias("w"))
+    d = kw.with_top_terms(d, "w")
     s = d.select("doc_id", F.size(kw.sentences(F.col("text"))).alias("n_sentences"),
                  kw.extractive_summary(F.col("text"), F.col("top")).alias("summary"))
     return s.select("doc_id", "n_sentences", F.length("summary").alias("summary_length"), "summary")

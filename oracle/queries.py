@@ -239,3 +239,118 @@ FROM pages p JOIN cache1 c ON md5(p.url) = c.cache_key"""),
   max(cached_at) AS newest_entry FROM (
   SELECT cached_at FROM cache1 UNION ALL SELECT TIMESTAMP '2024-01-02 00:00:00' FROM misses)"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# evaluation, base model, streaming, keywords, pairwise gap
+# ---------------------------------------------------------------------------
+LABELLED = f"""lab AS (
+  SELECT d.doc_id, d.t AS text, split_part(d.t, chr(10), 1) AS title, coalesce(d.source, '') AS domain,
+         CAST([] AS VARCHAR[]) AS authors, CAST(NULL AS VARCHAR) AS publish_date,
+         CAST([] AS VARCHAR[]) AS images, '' AS meta_description, CAST([] AS VARCHAR[]) AS keywords, '' AS summary,
+         CASE WHEN l.quality = 1 THEN 'REAL' ELSE 'FAKE' END AS label
+  FROM (SELECT doc_id, {sp.strip("coalesce(text, '')")} AS t, source FROM documents) d JOIN labels l USING (doc_id))"""
+EVAL = ([LABELLED] + sp.feature_ctes("lab", "doc_id", DEFAULT, extra=("label",))
+        + [sp.scored_cte("feats", "scored"), sp.explained_cte("scored", "explained"),
+           """details AS (
+  SELECT doc_id, title, label AS true_label, prediction AS predicted_label, confidence,
+         CAST(credibility_score AS INTEGER) AS credibility_score, 47 AS feature_count,
+         CAST(len(pos_names) AS INTEGER) AS positive_factors, CAST(len(neg_names) AS INTEGER) AS negative_factors,
+         prediction = label AS is_correct,
+         (label <> 'UNCERTAIN' AND prediction <> 'UNCERTAIN' AND label = 'FAKE' AND prediction = 'FAKE') AS true_positive,
+         (label <> 'UNCERTAIN' AND prediction <> 'UNCERTAIN' AND label = 'REAL' AND prediction = 'FAKE') AS false_positive,
+         (label <> 'UNCERTAIN' AND prediction <> 'UNCERTAIN' AND label = 'REAL' AND prediction = 'REAL') AS true_negative,
+         (label <> 'UNCERTAIN' AND prediction <> 'UNCERTAIN' AND label = 'FAKE' AND prediction = 'REAL') AS false_negative
+  FROM explained WHERE prediction <> 'ERROR')""",
+           """m AS (
+  SELECT count(*) AS valid_samples, count(*) FILTER (WHERE is_correct) AS correct,
+         count(*) FILTER (WHERE true_label <> 'UNCERTAIN' AND predicted_label <> 'UNCERTAIN') AS binary_samples,
+         count(*) FILTER (WHERE true_positive) AS true_positives, count(*) FILTER (WHERE false_positive) AS false_positives,
+         count(*) FILTER (WHERE true_negative) AS true_negatives, count(*) FILTER (WHERE false_negative) AS false_negatives,
+         coalesce(avg(confidence), 0.0) AS avg_confidence
+  FROM details)"""])
+
+LOGITS = ("sm AS (SELECT vec_id, exp(f - greatest(r, f)) / (exp(r - greatest(r, f)) + exp(f - greatest(r, f))) AS p "
+          "FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS r, CAST(embedding[2] AS DOUBLE) AS f FROM embeddings))")
+TERMS = ("list_filter(list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}]', '', 'g')), "
+         f"lambda x: x <> '' AND x NOT IN {sp.in_list(DEFAULT.stopword_list())})")
+CONV = f"""conv AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS ck, conv_id, turn, coalesce(text, '') AS text,
+         split_part(coalesce(text, ''), chr(10), 1) AS title, 'direct-text' AS domain,
+         CAST([] AS VARCHAR[]) AS authors, CAST(NULL AS VARCHAR) AS publish_date, CAST([] AS VARCHAR[]) AS images,
+         '' AS meta_description, CAST([] AS VARCHAR[]) AS keywords, '' AS summary
+  FROM conversations)"""
+
+SQL.update({
+    "labelled_corpus": with_ctes([LABELLED], """SELECT doc_id, label, title, CAST(length(text) AS INTEGER) AS text_length,
+  domain FROM lab"""),
+    "eval_details": with_ctes(EVAL, """SELECT doc_id, title, true_label, predicted_label, round(confidence, 6) AS confidence,
+  credibility_score, feature_count, positive_factors, negative_factors, is_correct, true_positive, false_positive,
+  true_negative, false_negative FROM details"""),
+    "confusion_matrix": with_ctes(EVAL, """SELECT true_positives, false_positives, true_negatives, false_negatives,
+  binary_samples FROM m"""),
+    "classification_metrics": with_ctes(EVAL, f"""SELECT valid_samples AS total_samples, valid_samples, binary_samples,
+  round({sp.ratio('correct', 'valid_samples')}, 6) AS overall_accuracy,
+  round({sp.ratio('true_positives + true_negatives', 'binary_samples')}, 6) AS binary_accuracy,
+  round(pr, 6) AS precision, round(rc, 6) AS recall,
+  round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1_score,
+  true_positives, false_positives, true_negatives, false_negatives, round(avg_confidence, 6) AS avg_confidence,
+  {DEFAULT.confidence_threshold} :: DOUBLE AS confidence_threshold
+FROM (SELECT *, {sp.ratio('true_positives', 'true_positives + false_positives')} AS pr,
+             {sp.ratio('true_positives', 'true_positives + false_negatives')} AS rc FROM m)"""),
+    "prediction_distribution": with_ctes(EVAL, """SELECT l.label, count(d.predicted_label) AS n,
+  round(CASE WHEN (SELECT count(*) FROM details) > 0
+             THEN count(d.predicted_label) * 100.0 / (SELECT count(*) FROM details) ELSE 0.0 END, 6) AS percentage
+FROM (VALUES ('REAL'), ('FAKE'), ('UNCERTAIN')) l(label) LEFT JOIN details d ON d.predicted_label = l.label
+GROUP BY l.label"""),
+    "tolerant_accuracy": with_ctes(EVAL, """SELECT true_label, count(*) AS n,
+  count(*) FILTER (WHERE predicted_label <> CASE true_label WHEN 'REAL' THEN 'FAKE' WHEN 'FAKE' THEN 'REAL' ELSE '' END)
+    AS tolerant_correct,
+  round(count(*) FILTER (WHERE predicted_label <> CASE true_label WHEN 'REAL' THEN 'FAKE' WHEN 'FAKE' THEN 'REAL' ELSE '' END)
+    / count(*), 6) AS tolerant_accuracy,
+  count(*) FILTER (WHERE true_label = 'REAL' AND predicted_label = 'FAKE') AS false_positives,
+  count(*) FILTER (WHERE true_label = 'FAKE' AND predicted_label = 'REAL') AS false_negatives
+FROM details GROUP BY true_label"""),
+    "eval_report": with_ctes(EVAL, """SELECT row_number() OVER (ORDER BY doc_id) AS sample_id, doc_id,
+  CASE WHEN is_correct THEN '✓' ELSE '✗' END AS status, substr(coalesce(title, ''), 1, 50) AS title_50,
+  true_label, predicted_label, round(confidence * 100.0, 6) AS confidence_pct, credibility_score,
+  '+' || CAST(positive_factors AS VARCHAR) || ' / -' || CAST(negative_factors AS VARCHAR) AS factors
+FROM details"""),
+    "latency_stats": """SELECT count(value) AS n, round(coalesce(avg(value), 0.0), 6) AS avg_time,
+  round(coalesce(median(value), 0.0), 6) AS median_time, round(coalesce(min(value), 0.0), 6) AS min_time,
+  round(coalesce(max(value), 0.0), 6) AS max_time,
+  round(CASE WHEN avg(value) > 0 THEN 1.0 / avg(value) ELSE 0.0 END, 6) AS throughput
+FROM events WHERE event_type <> 'error'""",
+    "softmax_argmax": with_ctes([LOGITS], """SELECT vec_id, round(1 - p, 6) AS real_probability, round(p, 6) AS fake_probability,
+  CASE WHEN round(p, 12) > 0.5 THEN 1 ELSE 0 END AS predicted_class,
+  CASE WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS label, round(greatest(p, 1 - p), 6) AS confidence
+FROM sm"""),
+    "base_verdict": with_ctes([LOGITS], f"""SELECT vec_id,
+  CASE WHEN greatest(round(p, 12), 1 - round(p, 12)) < {DEFAULT.confidence_threshold} THEN 'UNCERTAIN'
+       WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
+  round(greatest(p, 1 - p), 6) AS confidence, round(p, 12) > 0.5 AS is_fake, round(p, 12) <= 0.5 AS is_real
+FROM sm"""),
+    "batch_classify": with_ctes([LOGITS], """SELECT vec_id, CASE WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
+  round(greatest(p, 1 - p), 6) AS confidence, round(p, 6) AS fake_probability, round(1 - p, 6) AS real_probability
+FROM sm"""),
+    "stream_score": with_ctes(RUN2, """SELECT page_id, prediction, round(confidence, 6) AS confidence,
+  CAST(credibility_score AS INTEGER) AS credibility_score FROM r2_e"""),
+    "cache_ttl": f"""SELECT user_id, event_id, ts, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS rn
+  FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {DEFAULT.cache_ttl_seconds} SECOND)
+WHERE rn = 1""",
+    "rate_check": f"""SELECT user_id, date_trunc('minute', ts) AS window_start,
+  date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS n
+FROM events GROUP BY user_id, date_trunc('minute', ts) HAVING count(*) > {DEFAULT.rate_limit}""",
+    "top_keywords": f"""SELECT doc_id, CAST(rk AS INTEGER) AS rank, term, CAST(cnt AS INTEGER) AS count FROM (
+  SELECT doc_id, term, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, term) AS rk FROM (
+    SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest({TERMS}) AS term FROM ({W_ALL}))
+    GROUP BY doc_id, term))
+WHERE rk <= 10""",
+    "credibility_gap": with_ctes([CONV] + sp.feature_ctes("conv", "ck", DEFAULT, extra=("conv_id", "turn"))
+                                 + [sp.scored_cte("feats", "scored"), sp.explained_cte("scored", "explained")],
+                                 """SELECT a.conv_id, a.turn, b.turn AS next_turn,
+  CAST(a.credibility_score AS INTEGER) AS credibility_a, CAST(b.credibility_score AS INTEGER) AS credibility_b,
+  CAST(abs(a.credibility_score - b.credibility_score) AS INTEGER) AS gap
+FROM explained a JOIN explained b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""),
+})
