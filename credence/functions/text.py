@@ -23,11 +23,60 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u20
 WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 WHITESPACE = WS_CLASS + "+"
+# every whitespace character but the space, and as many spaces: translate()
+# maps them to ' ' with a per-character table lookup (no regex)
+WS_OTHER = WS_CHARS.replace(" ", "")
+SPACES = " " * len(WS_OTHER)
+
+
+def spaces_only(text: Column) -> Column:
+    """The text with every whitespace character replaced by a space."""
+    return F.translate(text, WS_OTHER, SPACES)
+
+
+def materialize(c: Column) -> Column:
+    """Evaluate a per-row intermediate once.
+
+    Catalyst inlines a projected expression into its consumer when the
+    consumer references it once, even when that reference sits inside a
+    lambda body, where it would then be recomputed for every array element.
+    Guarding the producer with a (constant-true) non-deterministic condition
+    keeps it a separate projection, computed once per row.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def words(text: Column) -> Column:
     """Whitespace split, no empty tokens, punctuation kept."""
-    return F.filter(F.split(text, WHITESPACE), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(spaces_only(text), " +"), "")
+
+
+def non_space_chars(text: Column) -> Column:
+    """Sum of the token lengths: the text's length without whitespace."""
+    return F.length(F.translate(text, WS_CHARS, ""))
+
+
+def sentence_end_flags(ws: Column) -> Column:
+    """Per token: does it close a sentence (SENTENCE_END)?"""
+    return F.transform(ws, lambda w: w.rlike(SENTENCE_END))
+
+
+def sentence_count_from_flags(flags: Column) -> Column:
+    """T2 from per-token end flags: 0 without tokens, else 1 + boundaries
+    among all tokens but the last."""
+    n = F.size(flags)
+    inner = F.size(F.filter(F.slice(flags, 1, F.greatest(n - 1, F.lit(0))), lambda b: b))
+    return F.when(n == 0, F.lit(0)).otherwise(inner + 1)
+
+
+def sentence_starts_from_flags(ws: Column, flags: Column) -> Column:
+    """T3 from per-token end flags (distinct first tokens of sentences).
+
+    Token i starts a sentence when i = 0 or token i-1 ends one; the shifted
+    flags are passed as a zip argument (evaluated once per row)."""
+    prev_end = F.concat(F.array(F.lit(True)), F.slice(flags, 1, F.greatest(F.size(flags) - 1, F.lit(0))))
+    firsts = F.zip_with(ws, prev_end, lambda w, p: F.when(p, w))
+    return F.array_distinct(F.filter(firsts, lambda w: w.isNotNull()))
 
 
 def sentence_boundaries(ws: Column) -> Column:
@@ -74,6 +123,35 @@ def total_syllables(ws: Column) -> Column:
     return F.aggregate(F.transform(ws, syllables), F.lit(0), lambda acc, x: acc + x)
 
 
+def letters_only_tokens(text: Column) -> Column:
+    """The non-empty a-z-only forms of the tokens, cleaned on the whole text
+    (one regex per text instead of one per token).  Whitespace is kept, so
+    token boundaries are unchanged; tokens that clean to '' disappear."""
+    cleaned = F.regexp_replace(F.lower(spaces_only(text)), "[^a-z ]", "")
+    return F.filter(F.split(cleaned, " +"), lambda w: w != "")
+
+
+def vowel_skeletons(text: Column) -> Column:
+    """Aligned with ``letters_only_tokens``: each vowel group becomes 'a' and
+    each consonant run 'b', so a token's vowel groups are its count of 'a'."""
+    cleaned = F.regexp_replace(F.lower(spaces_only(text)), "[^a-z ]", "")
+    sk = F.regexp_replace(F.regexp_replace(cleaned, "[aeiouy]+", "a"), "[b-df-hj-np-tv-xz]+", "b")
+    return F.filter(F.split(sk, " +"), lambda w: w != "")
+
+
+def total_syllables_fast(n_tokens: Column, letters: Column, skeletons: Column) -> Column:
+    """T4 summed over a text, equal to ``total_syllables(words)``.
+
+    A token whose letters-only form is empty counts 1 (length <= 3); the
+    others use the form's length, its vowel-group count (from the skeleton)
+    and a final 'e'.  No regex per token.
+    """
+    per = F.zip_with(letters, skeletons, lambda c, k: F.when(F.length(c) <= 3, F.lit(1)).otherwise(
+        F.greatest(F.lit(1), F.length(k) - F.length(F.replace(k, F.lit("a"), F.lit("")))
+                   - F.when(c.endswith("e"), F.lit(1)).otherwise(F.lit(0)))))
+    return (n_tokens - F.size(letters)) + F.aggregate(per, F.lit(0), lambda a, x: a + x)
+
+
 def keyword_hits(text_lower: Column, keywords: Iterable[str]) -> Column:
     """T5: number of distinct list entries contained as a substring."""
     total = F.lit(0)

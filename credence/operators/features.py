@@ -97,13 +97,16 @@ def _lexicon_parts(params: Params):
     return sentiment_words, intensifiers, pol, sub, inten
 
 
-def sentiment_tokens(ws: Column) -> Column:
-    """Lower-cased tokens with everything but a-z and apostrophes removed."""
-    return F.transform(ws, lambda w: F.regexp_replace(F.lower(w), "[^a-z']", ""))
+def sentiment_tokens(text: Column) -> Column:
+    """Sentiment tokens: the whitespace-separated tokens of the lower-cased
+    text after removing every character but a-z, apostrophe and whitespace
+    (one regex per text; tokens made only of other characters vanish)."""
+    cleaned = F.regexp_replace(F.lower(tx.spaces_only(text)), "[^a-z' ]", "")
+    return F.filter(F.split(cleaned, " +"), lambda w: w != "")
 
 
 def sentiment_scores(tk: Column, params: Params = DEFAULT) -> Column:
-    """Per token: struct(p, s) for lexicon words, null otherwise.
+    """struct(p, s) of every lexicon hit, in token order.
 
     The previous token's intensity multiplies both values; a negation one or
     two tokens back multiplies the polarity by -0.5.  Membership tests are
@@ -126,11 +129,10 @@ def sentiment_scores(tk: Column, params: Params = DEFAULT) -> Column:
             ),
         )
 
-    return F.transform(tk, score)
+    return F.filter(F.transform(tk, score), lambda x: x.isNotNull())
 
 
-def _avg_field(scores: Column, field: str, lo: float, hi: float) -> Column:
-    hits = F.filter(scores, lambda x: x.isNotNull())
+def _avg_field(hits: Column, field: str, lo: float, hi: float) -> Column:
     total = F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x[field])
     n = F.size(hits)
     avg = F.when(n == 0, F.lit(0.0)).otherwise(total / n)
@@ -175,23 +177,26 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
     )
     # stage 2: per-row intermediates used by several features
     s2_cols = [F.col(c) for c in s1.columns]
-    s2_cols += [F.size("_w").alias("_n"), tx.sentence_count(F.col("_w")).alias("_s"),
+    s2_cols += [F.size("_w").alias("_n"), tx.sentence_end_flags(F.col("_w")).alias("_ends"),
                 F.lower(F.col("text")).alias("_lt"), F.lower(F.col("title")).alias("_ltt")]
+    if "sentiment" in groups:
+        s2_cols.append(tx.materialize(sentiment_tokens(F.col("text"))).alias("_tk"))
+        s2_cols.append(tx.materialize(sentiment_tokens(F.col("title"))).alias("_ttk"))
+    s2 = s1.select(*s2_cols)
+    s3_cols = [F.col(c) for c in s2.columns]
+    s3_cols.append(tx.sentence_count_from_flags(F.col("_ends")).alias("_s"))
     if "readability" in groups:
-        s2_cols.append(tx.total_syllables(F.col("_w")).alias("_syl"))
+        s3_cols.append(tx.total_syllables(F.col("_w")).alias("_syl"))
     if "structural" in groups:
-        caps_starts = F.filter(tx.sentence_starts(F.col("_w")),
+        caps_starts = F.filter(tx.sentence_starts_from_flags(F.col("_w"), F.col("_ends")),
                                lambda w: tx.is_capitalised(w) & (F.length(w) > 1))
-        s2_cols.append(caps_starts.alias("_starts"))
-        s2_cols.append(F.size(F.filter(F.split(F.col("text"), "\n\n"),
+        s3_cols.append(tx.materialize(caps_starts).alias("_starts"))
+        s3_cols.append(F.size(F.filter(F.split(F.col("text"), "\n\n"),
                                         lambda p: F.btrim(p, F.lit(tx.WS_CHARS)) != "")).alias("_paras"))
     if "sentiment" in groups:
-        s2_cols.append(sentiment_tokens(F.col("_w")).alias("_tk"))
-        s2_cols.append(sentiment_tokens(F.col("_tw")).alias("_ttk"))
-    s2 = s1.select(*s2_cols)
-    if "sentiment" in groups:
-        s2 = s2.select("*", sentiment_scores(F.col("_tk"), params).alias("_sc"),
-                       sentiment_scores(F.col("_ttk"), params).alias("_tsc"))
+        s3_cols.append(sentiment_scores(F.col("_tk"), params).alias("_sc"))
+        s3_cols.append(sentiment_scores(F.col("_ttk"), params).alias("_tsc"))
+    s2 = s2.select(*s3_cols)
 
     w, tw, n, s = F.col("_w"), F.col("_tw"), F.col("_n"), F.col("_s")
     text, title, dom = F.col("text"), F.col("title"), F.col("_dom")
@@ -205,7 +210,7 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
             "text_length": length,
             "title_length": F.length(title),
             "word_count": n,
-            "avg_word_length": tx.ratio(F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, x: a + x), n),
+            "avg_word_length": tx.ratio(tx.non_space_chars(text), n),
             "sentence_count": s,
             "avg_sentence_length": tx.ratio(n, s),
             "exclamation_count": excl,

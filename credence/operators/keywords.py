@@ -35,11 +35,11 @@ def with_top_terms(df: DataFrame, words_col: str, out: str = "top", k: int = 10,
     otherwise be re-evaluated for every element).
     """
     keep = [F.col(c) for c in df.columns]
-    s1 = df.select(*keep, F.array_sort(terms(F.col(words_col), params)).alias("_kw_s"))
+    s1 = df.select(*keep, tx.materialize(F.array_sort(terms(F.col(words_col), params))).alias("_kw_s"))
     s, n = F.col("_kw_s"), F.size(F.col("_kw_s"))
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(idx, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    s2 = s1.select(*keep, s, starts.alias("_kw_st"))
+    s2 = s1.select(*keep, s, tx.materialize(starts).alias("_kw_st"))
     st, m = F.col("_kw_st"), F.size(F.col("_kw_st"))
     n2 = F.size(F.col("_kw_s"))
     counts = F.transform(

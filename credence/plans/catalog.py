@@ -92,8 +92,9 @@ def q_tokenize(spark, sf):
 
 def q_sentence_stats(spark, sf):
     d = _all_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), tx.sentence_count(F.col("w")).alias("s"),
-                 F.size(tx.sentence_starts(F.col("w"))).alias("n_sentence_starts"))
+    d = d.select("doc_id", "w", tx.materialize(tx.sentence_end_flags(F.col("w"))).alias("e"))
+    d = d.select("doc_id", F.size("w").alias("n"), tx.sentence_count_from_flags(F.col("e")).alias("s"),
+                 F.size(tx.sentence_starts_from_flags(F.col("w"), F.col("e"))).alias("n_sentence_starts"))
     return finalize(d.select("doc_id", F.col("s").alias("sentence_count"),
                              tx.ratio(F.col("n"), F.col("s")).alias("avg_sentence_length"),
                              "n_sentence_starts"))

@@ -191,6 +191,13 @@ def lexicon_ctes(params: Params = DEFAULT, prefix: str = "feats") -> list[str]:
             f"{prefix}_lex_i(word, inten) AS (VALUES {rows_i})"]
 
 
+def stoks(expr: str) -> str:
+    """Sentiment tokens: words of the lower-cased text with all but a-z,
+    apostrophe and whitespace removed."""
+    cls = q("[^a-z'" + WS_CLASS[1:-1] + "]")
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({expr}), {cls}, '', 'g'), {WS} || '+'), lambda x: x <> '')"
+
+
 def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats", extra=()) -> list[str]:
     """CTEs computing the 47 features of ``src`` (content columns) into ``out``."""
     stop = in_list(params.stopword_list())
@@ -216,8 +223,8 @@ def feature_ctes(src: str, key: str, params: Params = DEFAULT, out: str = "feats
          coalesce({syl}, 0) AS syl,
          {starts} AS starts,
          len(list_filter(string_split(text, chr(10) || chr(10)), lambda pp: {strip('pp')} <> '')) AS paras,
-         list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z'']', '', 'g')) AS tk,
-         list_transform(tw, lambda x: regexp_replace(lower(x), '[^a-z'']', '', 'g')) AS ttk
+         {stoks('text')} AS tk,
+         {stoks('title')} AS ttk
   FROM {out}_0)""")
     # lexicon sentiment, relationally: one row per token, joined with the lexicon
     ctes.append(f"""{out}_tok AS (
