@@ -375,8 +375,8 @@ def _cache_rows(explained, ts):
 
 def _first_run_cache(spark, sf):
     """Results stored by an earlier run: the pages crawled then (.com hosts)."""
-    c = pg.good_pages(pl.page_content(spark, sf, DEFAULT))
-    first = c.where(F.col("domain").endswith(".com"))
+    pages = _pages(spark, sf).where(pg.url_domain(F.col("url")).endswith(".com"))  # before extraction
+    first = pg.good_pages(pg.extract_pages(pages, DEFAULT))
     return _cache_rows(pl.analyse(first, DEFAULT), RUN1_TS)
 
 

@@ -66,3 +66,19 @@ def test_streaming_dedupe_and_rate(spark, tmp_path):
     q.awaitTermination()
     batch = ss.rate_over_limit(events, 0)
     assert spark.table("rate_t").count() <= batch.count()
+
+
+def test_response_and_evaluation_sinks(spark, tmp_path):
+    from conftest import SF
+    from credence.plans import pipeline as pl
+    from credence.sources import sinks as sk
+    from credence.operators import evaluate as ev
+    from credence.sources import tables as tb
+    e = pl.analyse_pages(spark, SF)
+    sk.write_responses(e, str(tmp_path / "resp"), "page_id", run_ts="2024-01-01 00:00:00")
+    back = spark.read.json(str(tmp_path / "resp"))
+    assert back.count() == e.count()
+    assert back.select("response.metadata.author").first()[0] == "Unknown"
+    d = ev.eval_details(pl.analyse(tb.labelled_content(spark, SF)), "doc_id", "label")
+    sk.write_evaluation(ev.metrics(d), d, str(tmp_path / "eval"), "2024-01-01 00:00:00")
+    assert spark.read.json(str(tmp_path / "eval" / "metrics")).count() == 1
