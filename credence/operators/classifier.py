@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.text import WHITESPACE
 from credence.operators.score import base_label
-from credence.params import DEFAULT, Params
+from credence.params import BATCH_SIZE, DEFAULT, Params
 
 
 def build_pipeline(text_col: str = "text", params: Params = DEFAULT, num_features: int = 1 << 18,
@@ -60,3 +60,18 @@ def predict(model: PipelineModel, df: DataFrame, params: Params = DEFAULT, batch
     keep = [c for c in df.columns]
     return out.select(*keep, p.alias("base_fake_probability"),
                       base_label(p, params.confidence_threshold, uncertain=not batch).alias("base_prediction"))
+
+
+def external_model(make_predict_fn, batch_size: int = BATCH_SIZE):
+    """P17 plug-in: a user model as an Arrow-batched ``predict_batch_udf``.
+
+    ``make_predict_fn()`` is called once per Python worker (load the model
+    there) and returns ``predict(texts: numpy.ndarray) -> numpy.ndarray`` of
+    P(FAKE).  Apply the returned UDF to the (truncated) combined text and
+    name the result ``base_fake_probability``.  Rows decided by a trust
+    override never need it: filter on ``score.needs_base_model()`` first.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import DoubleType
+
+    return predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size)

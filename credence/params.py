@@ -218,3 +218,18 @@ CORPUS = DEFAULT.with_domains(
     trusted=TRUSTED_DOMAINS + ("example.org",),
     unreliable=UNRELIABLE_DOMAINS + ("example.net",),
 )
+
+
+def lexicon_from_table(df, max_rows: int = 100_000) -> tuple[tuple[str, float, float, float], ...]:
+    """Read a lexicon table ``(word, polarity, subjectivity, intensity)``.
+
+    A lexicon is a bounded parameter (it becomes ``IN`` sets and map literals
+    in every task), so its size is checked before it is read: tables larger
+    than ``max_rows`` are refused instead of being pulled to the driver.
+    """
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"lexicon has {n} rows, more than the {max_rows} allowed for an inlined parameter")
+    rows = df.select("word", "polarity", "subjectivity", "intensity").collect()
+    return tuple((r[0].lower(), float(r[1] or 0.0), float(r[2] or 0.0), float(r[3] or 1.0))
+                 for r in rows if r[0])

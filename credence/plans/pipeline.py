@@ -24,11 +24,14 @@ BASE_COL = "base_fake_probability"
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Round-robin ``df`` over the cores only when it has fewer input splits
+    than cores (small single-row-group files); large inputs are untouched."""
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - a session without RDD access: keep the input splits
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def with_base_probability(df: DataFrame, params: Params = DEFAULT) -> DataFrame:

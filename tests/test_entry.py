@@ -34,3 +34,36 @@ def test_base_classifier_learns(spark):
     out = clf.predict(model, lab, batch=True)
     acc = out.select(F.avg(((F.col("base_prediction") == F.col("label")).cast("double")))).first()[0]
     assert acc >= 0.7
+
+
+def test_external_model_plugin_and_override_skip(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from credence.operators import classifier as clf
+    from credence.operators.score import needs_base_model
+
+    def make():
+        def predict(texts):
+            return np.array([min(1.0, len(t) / 1000.0) for t in texts], dtype=np.float64)
+        return predict
+
+    udf = clf.external_model(make)
+    df = spark.createDataFrame([("a" * 100,), ("b" * 2000,)], "text STRING")
+    got = [r[0] for r in df.select(udf("text")).collect()]
+    assert got == [0.1, 1.0]
+    rows = spark.createDataFrame([(1, 1, 1, 10), (0, 0, 0, 10)],
+                                 "is_trusted_domain INT, has_author INT, has_publish_date INT, word_count INT")
+    assert [r[0] for r in rows.select(needs_base_model()).collect()] == [False, True]
+
+
+def test_lexicon_from_table(spark):
+    import pytest
+    from dataclasses import replace
+    from credence.params import DEFAULT, lexicon_from_table
+    from credence.operators.features import extract_features
+    lex = spark.createDataFrame([("Splendid", 0.9, 0.8, 1.0)], "word STRING, polarity DOUBLE, subjectivity DOUBLE, intensity DOUBLE")
+    p = replace(DEFAULT, lexicon=lexicon_from_table(lex))
+    out = extract_features(spark.createDataFrame([("a splendid day",)], "text STRING"), p, groups=["sentiment"]).first()
+    assert out.text_polarity == 0.9
+    with pytest.raises(ValueError):
+        lexicon_from_table(lex, max_rows=0)
