@@ -174,3 +174,9 @@ def char_count(text: Column, ch: str) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den as double, 0 when the denominator is 0 (ANSI-safe)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
+
+
+def quote_pairs(text: Column) -> Column:
+    """Pairs of quotation marks, straight and curly (U+201C, U+201D)."""
+    n = char_count(text, '"') + char_count(text, "\u201c") + char_count(text, "\u201d")
+    return F.floor(n / 2).cast("int")

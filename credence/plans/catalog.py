@@ -49,7 +49,10 @@ def q_readability_features(spark, sf):
 
 
 def q_structural_features(spark, sf):
-    return finalize(_doc_features(spark, sf, ["structural"]))
+    """U1-U7, plus ``quote_pairs``: straight and curly quotes over 2 (the
+    reference's quote_count counts the straight quote three times)."""
+    f = ft.extract_features(pl.document_content(spark, sf), DEFAULT, groups=["structural"], keep_content=True)
+    return finalize(f.select("doc_id", *ft.STRUCTURAL, tx.quote_pairs(F.col("text")).alias("quote_pairs")))
 
 
 def q_clickbait_features(spark, sf):

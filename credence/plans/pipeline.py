@@ -72,3 +72,31 @@ def analyse_documents(spark: SparkSession, sf_dir: str, params: Params = DEFAULT
 
 def analyse_pages(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
     return analyse(pg.good_pages(page_content(spark, sf_dir, params)), params)
+
+
+MODEL_NOT_RUN = "NOT_RUN"
+
+
+def score_with_classifier(content: DataFrame, model, params: Params = DEFAULT, url_path: bool = False) -> DataFrame:
+    """Features -> base classifier only where the verdict needs it -> ensemble.
+
+    A trust override decides a row without the base probability, so the
+    model input of such rows is blanked in the same pass (no second branch,
+    no recomputed features): the classifier then works on an empty string,
+    and the row reports ``bert_prediction = 'NOT_RUN'``.  ``model`` is a
+    fitted ``classifier.fit`` pipeline whose input column is ``text``.
+    """
+    from credence.operators import classifier as clf
+    from credence.operators.score import needs_base_model
+
+    feats = extract_features(content, params)
+    model_text = F.when(needs_base_model(), tb.combined_text(F.col("title"), F.col("text"), always=url_path))
+    staged = (feats.withColumn("_model_text", F.coalesce(model_text, F.lit("")))
+              .withColumnRenamed("text", "_content_text").withColumnRenamed("_model_text", "text"))
+    predicted = clf.predict(model, staged, params).drop("base_prediction", "text").withColumnRenamed(
+        "_content_text", "text")
+    predicted = predicted.withColumn(
+        BASE_COL, F.when(needs_base_model(), F.col(BASE_COL)))
+    scored = ensemble(predicted, BASE_COL, params)
+    return scored.withColumn(
+        "bert_prediction", F.when(needs_base_model(), F.col("bert_prediction")).otherwise(F.lit(MODEL_NOT_RUN)))

@@ -31,7 +31,10 @@ SQL = {
     "linguistic_features": feature_group_sql(["linguistic"]),
     "sentiment_features": feature_group_sql(["sentiment"]),
     "readability_features": feature_group_sql(["readability"]),
-    "structural_features": feature_group_sql(["structural"]),
+    "structural_features": with_ctes(doc_feats_ctes(), "SELECT doc_id, " + ", ".join(
+        col(f, FEATURE_TYPES[f]) for f in GROUPS["structural"]) + ", CAST(floor((" + " + ".join(
+        f"(length(text) - length(replace(text, '{ch}', '')))" for ch in ('"', "\u201c", "\u201d"))
+        + ") / 2) AS INTEGER) AS quote_pairs FROM feats"),
     "clickbait_features": feature_group_sql(["clickbait"]),
     "all_features": feature_group_sql(list(GROUPS)),
 }

@@ -67,3 +67,19 @@ def test_lexicon_from_table(spark):
     assert out.text_polarity == 0.9
     with pytest.raises(ValueError):
         lexicon_from_table(lex, max_rows=0)
+
+
+def test_model_runs_only_where_needed(spark):
+    from pyspark.sql import functions as F
+    from conftest import SF01
+    from credence.operators import classifier as clf
+    from credence.plans import pipeline as pl
+    from credence.sources import tables as tb
+    model = clf.fit(tb.labelled_content(spark, SF01))
+    rows = [(1, "A long text. " * 30, "T", "bbc.com", ["X"], "2020"), (2, "Short text here, nothing more.", "T", "x.xyz", [], None)]
+    content = spark.createDataFrame(rows, "id INT, text STRING, title STRING, domain STRING, authors ARRAY<STRING>, "
+                                          "publish_date STRING")
+    out = {r.id: r for r in pl.score_with_classifier(content, model).collect()}
+    assert out[1].prediction == "REAL" and out[1].bert_prediction == pl.MODEL_NOT_RUN
+    assert out[1].base_fake_probability is None
+    assert out[2].bert_prediction != pl.MODEL_NOT_RUN and out[2].base_fake_probability is not None
