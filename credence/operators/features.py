@@ -129,7 +129,14 @@ def sentiment_scores(tk: Column, params: Params = DEFAULT) -> Column:
             ),
         )
 
-    return F.filter(F.transform(tk, score), lambda x: x.isNotNull())
+    lex_words = F.array(*[F.lit(x) for x in sentiment_words])
+    hits = F.filter(F.transform(tk, score), lambda x: x.isNotNull())
+    # hash-based gate: texts without any lexicon word skip the per-token lambda
+    return F.when(F.arrays_overlap(tk, lex_words), hits).otherwise(F.array().cast(hits_type()))
+
+
+def hits_type() -> str:
+    return "array<struct<p:double,s:double>>"
 
 
 def _avg_field(hits: Column, field: str, lo: float, hi: float) -> Column:
@@ -178,6 +185,7 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
     # stage 2: per-row intermediates used by several features
     s2_cols = [F.col(c) for c in s1.columns]
     s2_cols += [F.size("_w").alias("_n"), tx.sentence_end_flags(F.col("_w")).alias("_ends"),
+                tx.materialize(tx.words(F.lower(F.col("text")))).alias("_lw"),
                 F.lower(F.col("text")).alias("_lt"), F.lower(F.col("title")).alias("_ltt")]
     if "sentiment" in groups:
         s2_cols.append(tx.materialize(sentiment_tokens(F.col("text"))).alias("_tk"))
@@ -218,8 +226,8 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
             "exclamation_ratio": tx.ratio(excl, length),
             "capital_ratio": tx.ratio(length - F.length(F.regexp_replace(text, "[A-Z]", "")), length),
             "title_caps_ratio": tx.ratio(F.size(F.filter(tw, lambda x: tx.is_all_caps(x) & (F.length(x) > 1))), F.size(tw)),
-            "unique_word_ratio": tx.ratio(F.size(F.array_distinct(F.transform(w, F.lower))), n),
-            "stopword_ratio": tx.ratio(F.size(F.filter(w, lambda x: F.lower(x).isin(stop))), n),
+            "unique_word_ratio": tx.ratio(F.size(F.array_distinct(F.col("_lw"))), n),
+            "stopword_ratio": tx.ratio(F.size(F.filter(F.col("_lw"), lambda x: x.isin(stop))), n),
         })
     if "sentiment" in groups:
         emo = tx.keyword_hits(F.col("_lt"), params.emotional_words)
