@@ -65,7 +65,7 @@ def sentence_count_from_flags(flags: Column) -> Column:
     """T2 from per-token end flags: 0 without tokens, else 1 + boundaries
     among all tokens but the last."""
     n = F.size(flags)
-    inner = F.size(F.filter(F.slice(flags, 1, F.greatest(n - 1, F.lit(0))), lambda b: b))
+    inner = F.size(F.array_remove(F.slice(flags, 1, F.greatest(n - 1, F.lit(0))), False))
     return F.when(n == 0, F.lit(0)).otherwise(inner + 1)
 
 
@@ -123,35 +123,6 @@ def total_syllables(ws: Column) -> Column:
     return F.aggregate(F.transform(ws, syllables), F.lit(0), lambda acc, x: acc + x)
 
 
-def letters_only_tokens(text: Column) -> Column:
-    """The non-empty a-z-only forms of the tokens, cleaned on the whole text
-    (one regex per text instead of one per token).  Whitespace is kept, so
-    token boundaries are unchanged; tokens that clean to '' disappear."""
-    cleaned = F.regexp_replace(F.lower(spaces_only(text)), "[^a-z ]", "")
-    return F.filter(F.split(cleaned, " +"), lambda w: w != "")
-
-
-def vowel_skeletons(text: Column) -> Column:
-    """Aligned with ``letters_only_tokens``: each vowel group becomes 'a' and
-    each consonant run 'b', so a token's vowel groups are its count of 'a'."""
-    cleaned = F.regexp_replace(F.lower(spaces_only(text)), "[^a-z ]", "")
-    sk = F.regexp_replace(F.regexp_replace(cleaned, "[aeiouy]+", "a"), "[b-df-hj-np-tv-xz]+", "b")
-    return F.filter(F.split(sk, " +"), lambda w: w != "")
-
-
-def total_syllables_fast(n_tokens: Column, letters: Column, skeletons: Column) -> Column:
-    """T4 summed over a text, equal to ``total_syllables(words)``.
-
-    A token whose letters-only form is empty counts 1 (length <= 3); the
-    others use the form's length, its vowel-group count (from the skeleton)
-    and a final 'e'.  No regex per token.
-    """
-    per = F.zip_with(letters, skeletons, lambda c, k: F.when(F.length(c) <= 3, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.length(k) - F.length(F.replace(k, F.lit("a"), F.lit("")))
-                   - F.when(c.endswith("e"), F.lit(1)).otherwise(F.lit(0)))))
-    return (n_tokens - F.size(letters)) + F.aggregate(per, F.lit(0), lambda a, x: a + x)
-
-
 def keyword_hits(text_lower: Column, keywords: Iterable[str]) -> Column:
     """T5: number of distinct list entries contained as a substring."""
     total = F.lit(0)

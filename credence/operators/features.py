@@ -102,7 +102,7 @@ def sentiment_tokens(text: Column) -> Column:
     text after removing every character but a-z, apostrophe and whitespace
     (one regex per text; tokens made only of other characters vanish)."""
     cleaned = F.regexp_replace(F.lower(tx.spaces_only(text)), "[^a-z' ]", "")
-    return F.filter(F.split(cleaned, " +"), lambda w: w != "")
+    return F.array_remove(F.split(cleaned, " +"), "")
 
 
 def sentiment_scores(tk: Column, params: Params = DEFAULT) -> Column:
