@@ -94,7 +94,7 @@ def fallback_text(h: Column) -> Column:
     """Article text nodes joined by a space, else <p> texts (nodes
     joined with no separator, paragraphs by a space)."""
     has_article = h.rlike(r"(?i)<article\b")
-    art = F.array_join(F.filter(_text_nodes(_first_article(h)), lambda n: n != ""), " ")
+    art = F.array_join(F.array_remove(_text_nodes(_first_article(h)), ""), " ")
     paras = F.array_join(F.transform(_paragraphs(h), lambda p: F.array_join(_text_nodes(p), "")), " ")
     return strip_ws(F.when(has_article, art).otherwise(paras))
 
@@ -103,9 +103,8 @@ def primary_text(h: Column) -> Column:
     """Paragraph-preserving text: non-empty <p> texts (inside the first
     <article> when there is one) joined by a blank line."""
     scope = F.when(h.rlike(r"(?i)<article\b"), _first_article(h)).otherwise(h)
-    paras = F.transform(_paragraphs(scope),
-                        lambda p: F.array_join(F.filter(_text_nodes(p), lambda n: n != ""), " "))
-    return F.array_join(F.filter(paras, lambda p: p != ""), "\n\n")
+    paras = F.transform(_paragraphs(scope), lambda p: F.array_join(F.array_remove(_text_nodes(p), ""), " "))
+    return F.array_join(F.array_remove(paras, ""), "\n\n")
 
 
 def url_is_valid(url: Column) -> Column:
