@@ -209,7 +209,10 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     n = vals.count()
     if n == 0:
         return None
-    got = exact_quantile_values(vals, col, sorted({(n - 1) // 2, n // 2}))
+    # the ranked band is about 4n/accuracy rows; a finer sketch for large n
+    # keeps it in the low millions (the sketch itself stays O(accuracy))
+    accuracy = 100_000 if n < 1_000_000_000 else 1_000_000
+    got = exact_quantile_values(vals, col, sorted({(n - 1) // 2, n // 2}), accuracy)
     return (got[(n - 1) // 2] + got[n // 2]) / 2.0
 
 
