@@ -36,10 +36,33 @@ VALID_URL = r"^(?i)https?://[^/?#]+"
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
+NUMERIC_REF = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def decode_numeric_refs(c: Column) -> Column:
+    """``&#NNN;`` and ``&#xHH;`` -> the character, with built-ins only: the
+    text is split around the references, each code point becomes its UTF-32
+    bytes and is decoded (invalid ones turn into U+FFFD), and the pieces are
+    zipped back together."""
+    parts = F.split(c, NUMERIC_REF)
+    refs = F.regexp_extract_all(c, F.lit(NUMERIC_REF), 1)
+
+    def char_of(r):
+        hexa = F.when(F.lower(F.substring(r, 1, 1)) == "x", F.substring(r, 2, 8)).otherwise(F.hex(r.cast("long")))
+        return F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
+
+    chars = F.concat(F.transform(refs, char_of), F.array(F.lit("")))
+    return F.when(F.instr(c, "&#") > 0,
+                  F.array_join(F.zip_with(parts, chars, lambda p, ch: F.concat(p, ch)), "")).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
+    """Named references of ENTITIES, then numeric ones, ``&amp;`` last."""
     out = c
-    for ent, ch in ENTITIES:
+    for ent, ch in ENTITIES[:-1]:
         out = F.replace(out, F.lit(ent), F.lit(ch))
+    out = decode_numeric_refs(out)
+    out = F.replace(out, F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     return F.when(F.instr(c, "&") > 0, out).otherwise(c)
 
 

@@ -77,11 +77,26 @@ FROM {table} WHERE length(coalesce(text, '')) >= {min_len}"""
 
 
 
+NUMERIC_REF = q(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")
+
+
+def decode_numeric(expr: str) -> str:
+    cp = ("chr(CASE WHEN lower(substr(r, 1, 1)) = 'x' THEN CAST(('0x' || substr(r, 2)) AS INTEGER) "
+          "ELSE CAST(r AS INTEGER) END)")
+    return (f"(CASE WHEN contains({expr}, '&#') THEN array_to_string(list_transform(list_zip("
+            f"regexp_split_to_array({expr}, {NUMERIC_REF}), list_concat(list_transform("
+            f"regexp_extract_all({expr}, {NUMERIC_REF}, 1), lambda r: {cp}), [''])), lambda z: z[1] || z[2]), '') "
+            f"ELSE {expr} END)")
+
+
 def decode(expr: str) -> str:
+    """Named references (all but &amp;), numeric references, then &amp;."""
     out = expr
-    for a, b in ENTITY_CHAIN:
+    for a, b in ENTITY_CHAIN[:-1]:
         out = f"replace({out}, {q(a)}, {q(b)})"
-    return out
+    out = decode_numeric(out)
+    a, b = ENTITY_CHAIN[-1]
+    return f"replace({out}, {q(a)}, {q(b)})"
 
 
 def strip(expr: str) -> str:

@@ -51,3 +51,14 @@ def test_errors_and_routing(spark):
     df = extract_pages(spark.createDataFrame(pages, SCHEMA))
     assert sorted(x.page_id for x in good_pages(df).collect()) == [3]
     assert good_pages(df).count() + quarantined(df).count() == len(pages)
+
+
+def test_numeric_character_references(spark):
+    from pyspark.sql import functions as F
+    from credence.sources.pages import decode_entities
+    import html
+    texts = ["a&#65;b", "&#x263A; &#8217;s", "&amp;#65;", "x &#39;y&#39; &copy;", "no refs", "&#xZZ; &#0;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [r[0] for r in df.select(decode_entities(F.col("t"))).collect()]
+    assert got[:5] == [html.unescape(t) for t in texts[:5]]
+    assert got[5].startswith("&#xZZ; ")
