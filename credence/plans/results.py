@@ -104,3 +104,19 @@ class ResultTable:
     def clear(self, schema: str) -> DataFrame:
         """K5: a new, empty version."""
         return self.write(self.spark.createDataFrame([], schema))
+
+
+def incremental_score(table: ResultTable, pages: DataFrame, analyse_fn, columns, run_ts: Column) -> int:
+    """One incremental run: score only the pages the table has not seen
+    (anti-join on the key), stamp them and write the next table version.
+
+    ``analyse_fn(pages_subset) -> DataFrame`` must keep ``url`` and produce
+    ``columns``.  Returns the number of newly stored rows (0 on a rerun).
+    Usable as a Structured Streaming ``foreachBatch`` body as well.
+    """
+    current = table.read()
+    todo = pages if current is None else misses(pages, current).drop(KEY)
+    scored = analyse_fn(todo).select(cache_key(F.col("url")).alias(KEY), *columns, run_ts.alias(TS))
+    new_version = table.write(scored if current is None else upsert(current, scored))
+    before = 0 if current is None else current.count()
+    return new_version.count() - before

@@ -82,3 +82,19 @@ def test_response_and_evaluation_sinks(spark, tmp_path):
     d = ev.eval_details(pl.analyse(tb.labelled_content(spark, SF)), "doc_id", "label")
     sk.write_evaluation(ev.metrics(d), d, str(tmp_path / "eval"), "2024-01-01 00:00:00")
     assert spark.read.json(str(tmp_path / "eval" / "metrics")).count() == 1
+
+
+def test_incremental_rerun_scores_nothing(spark):
+    from conftest import SF
+    from credence.sources import pages as pg
+    from credence.plans import pipeline as pl
+    path = os.path.join(checkpoint_dir(spark), f"results-inc-{os.getpid()}")
+    t = rs.ResultTable(spark, path)
+    pages = spark.read.parquet(os.path.join(SF, "pages.parquet"))
+
+    def analyse(p):
+        return pl.analyse(pg.good_pages(pg.extract_pages(p)))
+
+    n1 = rs.incremental_score(t, pages, analyse, ["prediction", "credibility_score"], F.current_timestamp())
+    n2 = rs.incremental_score(t, pages, analyse, ["prediction", "credibility_score"], F.current_timestamp())
+    assert n1 == pg.good_pages(pg.extract_pages(pages)).count() and n2 == 0
