@@ -64,3 +64,26 @@ def rate_over_limit(events: DataFrame, limit: int, ts: str = "ts", client: str =
         F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > limit).select(
         F.col(client), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+
+
+def page_result_stream(spark: SparkSession, source: str, table_path: str, params: Params = CORPUS,
+                       file_glob: str | None = None, columns=("prediction", "confidence", "credibility_score")):
+    """X1 + K2/K3 as a stream: every micro-batch of arriving pages is scored
+    only for URLs the result table has not seen, then upserted (foreachBatch
+    with the batch ``incremental_score``).  availableNow trigger; returns the
+    query.  The checkpoint makes a restarted stream resume after the last
+    committed batch."""
+    from credence.plans import results as rs
+
+    table = rs.ResultTable(spark, table_path)
+    reader = spark.readStream.schema(PAGES_SCHEMA)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+
+    def each(batch: DataFrame, _epoch: int) -> None:
+        rs.incremental_score(table, batch, lambda p: pl.analyse(pg.good_pages(pg.extract_pages(p, params)), params),
+                             list(columns), F.current_timestamp())
+
+    return (reader.parquet(source).writeStream.foreachBatch(each)
+            .option("checkpointLocation", os.path.join(table_path + "_checkpoint"))
+            .trigger(availableNow=True).start())

@@ -98,3 +98,13 @@ def test_incremental_rerun_scores_nothing(spark):
     n1 = rs.incremental_score(t, pages, analyse, ["prediction", "credibility_score"], F.current_timestamp())
     n2 = rs.incremental_score(t, pages, analyse, ["prediction", "credibility_score"], F.current_timestamp())
     assert n1 == pg.good_pages(pg.extract_pages(pages)).count() and n2 == 0
+
+
+def test_streaming_result_table(spark):
+    from conftest import SF
+    from credence.sources import pages as pg
+    path = os.path.join(checkpoint_dir(spark), f"results-stream-{os.getpid()}")
+    ss.page_result_stream(spark, SF, path, file_glob="pages.parquet").awaitTermination()
+    t = rs.ResultTable(spark, path).read()
+    good = pg.good_pages(pg.extract_pages(spark.read.parquet(os.path.join(SF, "pages.parquet"))))
+    assert t.count() == good.count() == t.select("cache_key").distinct().count()
