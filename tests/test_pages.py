@@ -62,3 +62,14 @@ def test_numeric_character_references(spark):
     got = [r[0] for r in df.select(decode_entities(F.col("t"))).collect()]
     assert got[:5] == [html.unescape(t) for t in texts[:5]]
     assert got[5].startswith("&#xZZ; ")
+
+
+def test_error_routing_does_not_reevaluate_extraction(spark):
+    """The fenced filter stays above the extraction: the plan holds the
+    extraction regexes exactly as often as the plain extraction does."""
+    import os
+    from conftest import SF
+    pages = spark.read.parquet(os.path.join(SF, "pages.parquet"))
+    plain = extract_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    routed = good_pages(extract_pages(pages))._jdf.queryExecution().executedPlan().toString()
+    assert routed.count("regexp_extract_all") == plain.count("regexp_extract_all")
