@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import chat, exact_dedup, packing, simhash, url_rules
+from credence.llm import chat, exact_dedup, packing, quality, simhash, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op3_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op5_toxicity(spark, sf):
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_chat(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -40,6 +48,8 @@ def op10_url_filter(spark, sf):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
