@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import chat, exact_dedup, packing, quality, simhash, toxicity, url_rules
+from credence.llm import chat, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_chat(spark, sf):
     return chat.read_back(chat.format_paths(conv.unionByName(own)))
 
 
+def op8_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 def op9_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }

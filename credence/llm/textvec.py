@@ -31,8 +31,8 @@ def byte_classes(symbols: int = SYMBOL) -> np.ndarray:
     return c
 
 
-def chunks(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, folded bytes, start of each text)."""
+def chunks(texts: list, limit: int = CHUNK, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, start of each text); ``fold``: A-Z to a-z."""
     lo, n = 0, len(texts)
     while lo < n:
         hi, size = lo, 0
@@ -40,7 +40,8 @@ def chunks(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarr
             size += len(texts[hi] or b"") + 1
             hi += 1
         part = [t or b"" for t in texts[lo:hi]]
-        buf = FOLD[np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)]
+        buf = np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)
+        buf = FOLD[buf] if fold else buf
         lens = np.fromiter(map(len, part), np.int64, len(part)) + 1
         yield lo, hi, buf, np.cumsum(lens) - lens
         lo = hi
