@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import chat, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity, url_rules
+from credence.llm import chat, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_decontaminate(spark, sf):
+    return decontaminate.contaminated_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op5_toxicity(spark, sf):
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_suffix_dedup": op8_suffix_dedup,
