@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import chat, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity, url_rules
+from credence.llm import chat, decontaminate, exact_dedup, packing, passages, quality, simhash, suffix_dedup, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_toxicity(spark, sf):
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op6_passages(spark, sf):
+    return passages.shared_passages(table(spark, sf, "documents"))
+
+
 def op7_chat(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_passages": op6_passages,
     "op7_chat": op7_chat,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
