@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from credence.llm import chat, decontaminate, exact_dedup, packing, passages, quality, simhash, suffix_dedup, toxicity, url_rules
 
 
@@ -58,6 +58,7 @@ def op10_url_filter(spark, sf):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
@@ -121,3 +122,6 @@ FROM j
 
 
 SQL["op10_url_filter"] = _op10_sql()
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -71,18 +71,27 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(v)).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id long, fp long): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint's bits as a signed long;
+    ``keyed``: also the row's key (its doc_id, or its text without one)."""
     d = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"),
                                              F.col("text").cast("string").alias("text"))
+    if keyed:
+        d = d.withColumn("key", row_key())
+    names = ["doc_id", "key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py(), k) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(run, "doc_id long, key string, fp long" if keyed else "doc_id long, fp long")
+
+
+def row_key():
+    text = F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), text)
 
 
 # -- Golay keys ---------------------------------------------------------------
@@ -253,25 +262,32 @@ def _block_pairs(rows: DataFrame, max_bits: int) -> DataFrame:
 
 # -- the operator -------------------------------------------------------------
 
+def _labelled(docs: DataFrame, k: int, max_bits: int, block: int, keyed: bool) -> DataFrame:
+    """The rows of :func:`fingerprints` with component_id and, for a
+    component without any doc_id, the smallest row key."""
+    fp = stored(fingerprints(docs, k, keyed))
+    key = F.min(F.when(F.col("doc_id").isNull(), F.col("key"))) if keyed else F.lit(None).cast("string")
+    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), key.alias("least_key")))
+    comp = components(links(distinct, max_bits, block))
+    ids = stored(distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", "least_key", F.coalesce("root", "fp").alias("root")))
+    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_key").alias("first_key"))
+    return fp.join(ids.join(roots, "root").select("fp", "component_id", "first_key"), "fp")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links)."""
-    fp = stored(fingerprints(docs, k))
-    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = components(links(distinct, max_bits, block))
-    ids = distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = stored(ids)
-    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = ids.join(roots, "root").select("fp", "component_id")
-    return fp.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _labelled(docs, k, max_bits, block, False).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the rows of its smallest doc_id, with all columns.
-    Rows without doc_id stay only in a component that has no doc_id at all."""
-    near = near_duplicates(docs, k, max_bits)
-    kept = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
-    return rows.join(kept, "_key", "left_semi").drop("_key")
+    """Of each component the document of its smallest doc_id, with all
+    columns; of a component without any doc_id one of its rows.  Rows of one
+    doc_id are one document: one of them stays."""
+    near = _labelled(docs, k, max_bits, BLOCK, True)
+    kept = near.filter((F.col("doc_id") == F.col("component_id")) | (F.col("component_id").isNull() & (F.col("key") == F.col("first_key"))))
+    rows = docs.withColumn("_row_key", row_key())
+    kept = kept.select(F.col("key").alias("_row_key")).distinct()
+    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
