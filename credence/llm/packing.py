@@ -25,7 +25,10 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,19 +46,38 @@ CAPACITY = 2048
 MAX_SEGMENTS = 64
 WINDOW = 256
 LEAST_CUT = 8
-CACHE = 300_000
+CACHE = 500_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, loss_tokens long")
 
 
+#: a piece that ends in ASCII symbols after a letter (ASCII or Latin-1): the
+#: tokenizer's split pattern always separates the two, save at an apostrophe
+TRAIL = re.compile(rb"([^']*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^A-Za-z0-9'\x80-\xff]+)")
+
+#: lower-case letters of ASCII and Latin-1 alone: one token of the split
+#: pattern that the normalizer leaves as it is
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def byte_level() -> dict[int, int]:
+    """The tokenizer's alphabet: printable Latin-1 bytes stand for
+    themselves, the others, in order, for the code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
-    This tokenizer never joins characters across white space (its normalizer
-    and its split pattern both stop there), so a text's ids are those of its
-    white-space pieces in turn.  Pieces seen before come from a bounded
-    cache; the rest go to the tokenizer in one batch.
+    This tokenizer folds case and never joins characters across white space
+    (its normalizer and its split pattern both stop there), so a text's ids
+    are those of its white-space pieces in turn, A-Z folded or not.  Pieces
+    seen before come from a bounded cache.  Of the others plain words go
+    straight to the tokenizer's model, the rest to the whole tokenizer as one
+    string in which the ids' offsets tell the pieces apart.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -63,20 +85,48 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.size, self.known = Tokenizer.from_file(path), cache, {}
+        self.model, self.alphabet = self.tok.model, byte_level()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > self.size:
-            self.known = {}
-            new = list(set().union(*pieces))
+        # the special tokens are lower case: fold no text that may hold one in capitals
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.known
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tok.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new = set().union(*pieces).difference(known)
+        if len(known) + len(new) > self.size:
+            known = self.known = {}
+            new = set().union(*pieces)
+        parts = [(w, m) for w in new if (m := TRAIL.fullmatch(w)) and b"<|" not in w]
+        split = {w for w, _ in parts}
+        fresh = new - split
+        fresh.update(x for _, m in parts for x in m.groups() if x not in known)
+        self.learn(list(fresh))
+        for w, m in parts:
+            known[w] = known[m[1]] + known[m[2]]
         return [b"".join([known[w] for w in p]) for p in pieces]
 
+    def learn(self, words: list[bytes]) -> None:
+        tokenize, alphabet, plain_words = self.model.tokenize, self.alphabet, LETTERS.fullmatch
+        rest = []
+        for w in words:
+            if plain_words(w):
+                ids = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(alphabet))])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.known[w] = ids.tobytes()
+            else:
+                rest.append(w)
+        words = rest
+        for i in range(0, len(words), 2048):
+            part = [w.decode() for w in words[i:i + 2048]]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            lens = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            begin = np.cumsum(lens) - lens
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            cut = np.searchsorted(at, begin)
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            for w, a, z in zip(words[i:i + 2048], (4 * cut).tolist(), (4 * np.concatenate((cut[1:], [len(at)]))).tolist()):
+                self.known[w] = ids[a:z]
+
 
 class Packer:
     """Packs remainders (doc_id, start, ids, doc_tokens, loss) of one task."""
@@ -180,8 +230,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
-                for doc_id, skip, ids in zip(part.column("doc_id").to_pylist(), part.column("skip").to_pylist(), enc.encode(texts)):
-                    p.add(pieces(p, doc_id, skip, ids + tail))
+                rows = zip(part.column("doc_id").to_pylist(), part.column("skip").to_pylist(), enc.encode(texts))
+                p.add([x for doc_id, skip, ids in rows for x in pieces(p, doc_id, skip, ids + tail)])
                 if p.out:
                     yield batch(p.rows())
         while p.items:
