@@ -4,8 +4,11 @@ The transformer model of the behaviour we reproduce is not reproducible (its
 head is randomly initialised and dropout stays on), so the base probability
 comes from a model trained on the corpus itself:
 
-    RegexTokenizer -> StopWordsRemover -> first max_tokens tokens (P18)
-      -> HashingTF -> IDF -> LogisticRegression,  P(FAKE) = probability[1]
+    RegexTokenizer -> StopWordsRemover -> HashingTF -> IDF
+      -> LogisticRegression,  P(FAKE) = probability[1]
+
+The whole text is read: hashed counts have no length limit, so the token cut
+of P18 is left to models that have one (``external_model``).
 
 All stages are distributed Spark ML stages; fitting makes a few passes over
 the (cached) labelled rows, scoring is a per-row ``transform``.  A user model
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +35,7 @@ def build_pipeline(text_col: str = "text", params: Params = DEFAULT, num_feature
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=WHITESPACE, toLowercase=True),
         StopWordsRemover(inputCol="_tok", outputCol="_tok_kept", stopWords=list(params.stopword_list())),
-        SQLTransformer(statement=f"SELECT *, slice(_tok_kept, 1, {params.max_tokens}) AS _tok_trunc FROM __THIS__"),
-        HashingTF(inputCol="_tok_trunc", outputCol="_tf", numFeatures=num_features),
+        HashingTF(inputCol="_tok_kept", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=max_iter, regParam=reg,
                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"),
@@ -67,7 +69,8 @@ def external_model(make_predict_fn, batch_size: int = BATCH_SIZE):
 
     ``make_predict_fn()`` is called once per Python worker (load the model
     there) and returns ``predict(texts: numpy.ndarray) -> numpy.ndarray`` of
-    P(FAKE).  Apply the returned UDF to the (truncated) combined text and
+    P(FAKE).  Apply the returned UDF to the combined text, cut with
+    ``score.truncate_tokens`` if the model has a length limit, and
     name the result ``base_fake_probability``.  Rows decided by a trust
     override never need it: filter on ``score.needs_base_model()`` first.
     """

@@ -3,8 +3,8 @@
 Everything here is an aggregation: per-row flags are narrow columns, metrics
 are one global aggregate (partial per task, one tiny final merge), and the
 per-label summaries are ``groupBy`` on a 3-valued key with map-side combine.
-The exact median never gathers the values: it narrows the candidate band
-with ``percentile_approx`` and ranks only the rows inside it.
+The exact median never gathers the values: it counts distinct values, splits
+them into ranges and forms running sums within each range.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.functions.text import materialize
 from credence.operators.features import ALL_FEATURES
 from credence.params import CONFIDENCE_THRESHOLD
 
@@ -129,27 +130,46 @@ def tolerant_accuracy(details: DataFrame) -> DataFrame:
                     "false_positives", "false_negatives")
 
 
-def numbered(df: DataFrame, order_col: str, name: str = "sample_id") -> DataFrame:
+#: parts of a global order: numbering and the median split the values into so many ranges
+RANGES = 256
+
+
+def range_bounds(df: DataFrame, col: str) -> Column:
+    """Up to ``RANGES - 1`` values that cut ``col`` into ranges of about equal
+    size, as a scalar subquery: one row, evaluated when the query runs."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    return df.select(F.array_distinct(F.percentile_approx(col, shares, 10_000)).alias("b")).scalar()
+
+
+def with_range(df: DataFrame, col: str, bounds: Column, name: str) -> DataFrame:
+    """Add the range of a value: a function of the value alone, so every
+    branch of a plan and every repeated task agrees.  Null comes first."""
+    value = F.col(col)
+    below = F.size(F.filter(F.col("_bounds"), lambda b: b < value))
+    range_ = F.when(value.isNull() | F.col("_bounds").isNull(), F.lit(-1)).otherwise(below)
+    return df.withColumn("_bounds", materialize(bounds)).withColumn(name, range_).drop("_bounds")
+
+
+def numbered(df: DataFrame, order_col: str, name: str = "sample_id", bounds_from: DataFrame | None = None) -> DataFrame:
     """1..n in ``order_col`` order without a single-partition window.
 
-    A range sort spreads the rows over partitions; each partition's size is
-    counted (one small row per partition), turned into offsets, and joined
-    back by broadcast (its size is bounded by the partition count, not by
-    the data), so each row's number is offset + position in its partition.
+    Each row carries the range its value falls in, computed from the value;
+    rows are ranked within their range and shifted by the number of rows in
+    the ranges before.  ``bounds_from`` may be a cheaper table with the same
+    values to take the bounds from; they only set how even the ranges are.
     """
-    sorted_df = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-    with_pos = sorted_df.select("*", F.spark_partition_id().alias("_part"),
-                                F.monotonically_increasing_id().alias("_mid"))
-    sizes = with_pos.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    offsets = sizes.select("_part", "_first",
-                           (F.sum("_cnt").over(Window.orderBy("_part")) - F.col("_cnt")).alias("_off"))
-    out = with_pos.join(F.broadcast(offsets), "_part")
-    return out.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias(name))
+    bounds = range_bounds(df if bounds_from is None else bounds_from, order_col)
+    ranged = with_range(df, order_col, bounds, "_range")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES + 1 rows
+    offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(order_col)))
+    out = ranked.join(F.broadcast(offsets), "_range")
+    return out.select(*df.columns, (F.col("_before") + F.col("_rank")).alias(name))
 
 
-def report(details: DataFrame, key: str = "doc_id") -> DataFrame:
+def report(details: DataFrame, key: str = "doc_id", keys_from: DataFrame | None = None) -> DataFrame:
     """Display columns of the per-sample report."""
-    n = numbered(details.where(F.col("error").isNull()), key)
+    n = numbered(details.where(F.col("error").isNull()), key, bounds_from=keys_from)
     return n.select(
         "sample_id", F.col(key),
         F.when(F.col("is_correct"), F.lit("✓")).otherwise(F.lit("✗")).alias("status"),
@@ -166,65 +186,38 @@ def report(details: DataFrame, key: str = "doc_id") -> DataFrame:
 # V8: latency statistics with an exact, distributed median
 # ---------------------------------------------------------------------------
 
-def exact_quantile_values(df: DataFrame, col: str, ranks, accuracy: int = 100_000) -> dict:
-    """Values at 0-based ``ranks`` of the sorted non-null ``col``.
+def exact_median(df: DataFrame, col: str) -> DataFrame:
+    """One row, ``median_time``: the exact median (null without values).
 
-    ``percentile_approx`` brackets each rank within a band of about
-    2n/accuracy rows (its rank-error bound); only rows inside the band are
-    ranked exactly.  Work: two scans plus a sort of the band.
+    Equal values are one row with a count from the first aggregate on, so a
+    value that many rows share costs nothing.  The distinct values fall into
+    ranges; the counts per range (at most ``RANGES`` rows) tell which range
+    holds the middle, and only running sums within ranges are formed.
     """
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
-        return {}
-    out = {}
-    vmin, vmax = vals.agg(F.min("v"), F.max("v")).first()
-    for k in ranks:
-        p = k / max(n - 1, 1)
-        eps = 2.0 / accuracy
-        while True:
-            lo_p, hi_p = max(0.0, p - eps), min(1.0, p + eps)
-            if eps >= 1.0:
-                lo, hi = vmin, vmax
-            else:
-                lo, hi = vals.agg(F.percentile_approx("v", [lo_p, hi_p], accuracy).alias("b")).first()["b"]
-                lo = vmin if lo_p == 0.0 else lo
-                hi = vmax if hi_p == 1.0 else hi
-            below = vals.where(F.col("v") < lo).count()
-            band = vals.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            r = k - below
-            row = None
-            if r >= 0:
-                row = (band.select("v", F.row_number().over(Window.orderBy("v")).alias("rk"))
-                       .where(F.col("rk") == r + 1).first())
-            if row is not None:
-                out[k] = row["v"]
-                break
-            eps *= 8  # the bracket missed (approximation); widen and retry
-    return out
-
-
-def exact_median(df: DataFrame, col: str) -> float | None:
-    vals = df.where(F.col(col).isNotNull())
-    n = vals.count()
-    if n == 0:
-        return None
-    # the ranked band is about 4n/accuracy rows; a finer sketch for large n
-    # keeps it in the low millions (the sketch itself stays O(accuracy))
-    accuracy = 100_000 if n < 1_000_000_000 else 1_000_000
-    got = exact_quantile_values(vals, col, sorted({(n - 1) // 2, n // 2}), accuracy)
-    return (got[(n - 1) // 2] + got[n // 2]) / 2.0
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = with_range(counts, "v", range_bounds(values, "v"), "r")
+    sums = counts.groupBy("r").agg(F.sum("n").alias("m"))
+    before = sums.select("r", (F.sum("m").over(Window.orderBy("r")) - F.col("m")).alias("before"),
+                         F.sum("m").over(Window.partitionBy()).alias("total"))
+    run = counts.select("v", "n", "r", F.sum("n").over(Window.partitionBy("r").orderBy("v")).alias("run"))
+    j = run.join(F.broadcast(before), "r").select(
+        "v", (F.col("before") + F.col("run") - F.col("n")).alias("lo"), (F.col("before") + F.col("run")).alias("hi"), "total")
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # 0-based ranks of the middle
+    return j.agg(((F.max(F.when((F.col("lo") <= first) & (first < F.col("hi")), F.col("v")))
+                   + F.max(F.when((F.col("lo") <= second) & (second < F.col("hi")), F.col("v")))) / 2.0).alias("median_time"))
 
 
 def latency_stats(times: DataFrame, col: str = "value") -> DataFrame:
-    """V8: mean, median, min, max and throughput (1/mean, 0 when mean is 0)."""
-    med = exact_median(times, col)
+    """V8: mean, median, min, max and throughput (1/mean, 0 when mean is 0).
+    One plan; nothing runs while it is built."""
     agg = times.agg(F.avg(col).alias("avg_time"), F.min(col).alias("min_time"), F.max(col).alias("max_time"),
                     F.count(col).alias("n"))
+    median = exact_median(times, col).scalar()
     return agg.select(
         "n",
         F.coalesce(F.col("avg_time"), F.lit(0.0)).alias("avg_time"),
-        F.lit(med if med is not None else 0.0).cast("double").alias("median_time"),
+        F.coalesce(median, F.lit(0.0)).alias("median_time"),
         F.coalesce(F.col("min_time"), F.lit(0.0)).alias("min_time"),
         F.coalesce(F.col("max_time"), F.lit(0.0)).alias("max_time"),
         F.when(F.col("avg_time") > 0, 1.0 / F.col("avg_time")).otherwise(F.lit(0.0)).alias("throughput"),

@@ -9,11 +9,7 @@ from a table that could grow with the data.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the behaviour we reproduce (word lists,
@@ -155,21 +151,28 @@ NEGATIONS = ("not", "no", "never", "neither", "nor", "cannot", "can't", "don't",
              "doesn't", "didn't", "isn't", "wasn't", "aren't", "weren't", "won't")
 
 
-@lru_cache(maxsize=None)
-def english_stopwords() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (181 words).
+# FIXED VALUES: the English stop words of Spark ML's StopWordsRemover (181).
+ENGLISH_STOPWORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these",
+    "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do",
+    "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while",
+    "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll", "you'll", "he'll",
+    "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's",
+    "she's", "it's", "we're", "they're", "i've", "we've", "you've", "they've", "isn't", "aren't", "wasn't",
+    "weren't", "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't",
+    "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's", "ought",
+    "that's", "there's", "what's", "when's", "where's", "who's", "why's", "would",
+)
 
-    Read straight from the MLlib jar shipped with pyspark, so no JVM is needed
-    and the SQL oracle can inline exactly the same list.
-    """
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:  # pragma: no cover - depends on the installation
-        raise RuntimeError("spark-mllib jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return tuple(w for w in raw.split() if w)
+def english_stopwords() -> tuple[str, ...]:
+    return ENGLISH_STOPWORDS
 
 
 @dataclass(frozen=True)
@@ -195,7 +198,6 @@ class Params:
     default_base_probability: float = 0.5
     rate_limit: int = RATE_LIMIT_PER_MINUTE
     cache_ttl_seconds: int = CACHE_EXPIRATION_SECONDS
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def stopword_list(self) -> tuple[str, ...]:
         return self.stopwords if self.stopwords is not None else english_stopwords()

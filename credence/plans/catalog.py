@@ -32,7 +32,7 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 def _doc_features(spark, sf, groups, params=DEFAULT):
-    content = pl.document_content(spark, sf, params)
+    content = pl.all_document_content(spark, sf)
     return ft.extract_features(content, params, groups=groups, keep_content=False)
 
 
@@ -51,7 +51,7 @@ def q_readability_features(spark, sf):
 def q_structural_features(spark, sf):
     """U1-U7, plus ``quote_pairs``: straight and curly quotes over 2 (the
     reference's quote_count counts the straight quote three times)."""
-    f = ft.extract_features(pl.document_content(spark, sf), DEFAULT, groups=["structural"], keep_content=True)
+    f = ft.extract_features(pl.all_document_content(spark, sf), DEFAULT, groups=["structural"], keep_content=True)
     return finalize(f.select("doc_id", *ft.STRUCTURAL, tx.quote_pairs(F.col("text")).alias("quote_pairs")))
 
 
@@ -83,7 +83,7 @@ from credence.sources import tables as tb  # noqa: E402
 
 
 def _all_docs(spark, sf):
-    return pl.ensure_parallelism(tb.documents(spark, sf)).select(
+    return pl.spread(tb.documents(spark, sf)).select(
         "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -113,7 +113,7 @@ def q_syllable_count(spark, sf):
 
 
 def q_keyword_hits(spark, sf):
-    c = pl.document_content(spark, sf)
+    c = pl.all_document_content(spark, sf)
     lt, ltt = F.lower(F.col("text")), F.lower(F.col("title"))
     return c.select("doc_id",
                     tx.keyword_hits(lt, DEFAULT.emotional_words).alias("emotional_hits"),
@@ -128,13 +128,13 @@ def q_text_intake(spark, sf):
 
 
 def q_combined_text(spark, sf):
-    c = pl.document_content(spark, sf)
+    c = pl.all_document_content(spark, sf)
     comb = tb.combined_text(F.col("title"), F.col("text"))
     return c.select("doc_id", F.length(comb).alias("combined_length"), F.md5(comb).alias("combined_md5"))
 
 
 def q_truncate_text(spark, sf):
-    c = pl.document_content(spark, sf)
+    c = pl.all_document_content(spark, sf)
     w = sc.truncate_tokens(tx.words(tb.combined_text(F.col("title"), F.col("text"))), DEFAULT.max_tokens)
     c = c.select("doc_id", w.alias("w"))
     return c.select("doc_id", F.size("w").alias("n_tokens_kept"), F.md5(F.array_join("w", " ")).alias("kept_md5"))
@@ -283,7 +283,7 @@ from credence.sources import sinks as sk  # noqa: E402
 
 
 def _pages(spark, sf):
-    return pl.ensure_parallelism(tb.read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    return pl.spread(tb.read_table(spark, sf, "pages", ["page_id", "url", "html"]))
 
 
 def q_page_content(spark, sf):
@@ -312,10 +312,7 @@ def q_page_extract(spark, sf):
 
 
 def q_extract_fallback(spark, sf):
-    p = _pages(spark, sf)
-    h = pg.clean_html(F.coalesce(F.col("html"), F.lit("")))
-    s = p.select("page_id", h.alias("h"))
-    s = s.select("page_id", pg.primary_text(F.col("h")).alias("p"), pg.fallback_text(F.col("h")).alias("f"))
+    s = pg.both_texts(_pages(spark, sf)).withColumnsRenamed({"primary": "p", "fallback": "f"})
     use_p = F.length("p") > 0
     return s.select("page_id", F.when(use_p, F.lit("paragraphs")).otherwise(F.lit("fallback")).alias("extraction_method"),
                     F.length("p").alias("primary_length"), F.length("f").alias("fallback_length"),
@@ -444,7 +441,7 @@ from credence.streaming import score_stream as ss  # noqa: E402
 
 
 def _eval_details(spark, sf):
-    content = pl.ensure_parallelism(tb.labelled_content(spark, sf))
+    content = tb.labelled_content(spark, sf)
     return ev.eval_details(pl.analyse(content, DEFAULT), "doc_id", "label")
 
 
@@ -474,7 +471,8 @@ def q_tolerant_accuracy(spark, sf):
 
 
 def q_eval_report(spark, sf):
-    return finalize(ev.report(_eval_details(spark, sf)))
+    keys = tb.read_table(spark, sf, "labels", ["doc_id"])
+    return finalize(ev.report(_eval_details(spark, sf), keys_from=keys))
 
 
 def q_latency_stats(spark, sf):
@@ -527,7 +525,7 @@ def q_batch_classify(spark, sf):
 
 
 def q_base_classifier(spark, sf):
-    labelled = pl.ensure_parallelism(tb.labelled_content(spark, sf))
+    labelled = tb.labelled_content(spark, sf)
     model = clf.fit(labelled, "text", "label")
     docs = pl.document_content(spark, sf)
     docs = docs.select("doc_id", tb.combined_text(F.col("title"), F.col("text")).alias("text"))
@@ -588,7 +586,7 @@ def q_credibility_gap(spark, sf):
     side: one shuffle keyed on both columns (a long conversation is spread
     over many keys), computed once, no self-join.
     """
-    conv = pl.ensure_parallelism(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "text"]))
+    conv = pl.spread(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "text"]))
     text = F.coalesce(F.col("text"), F.lit(""))
     content = conv.select("conv_id", "turn", text.alias("text"), tb.title_of(text).alias("title"),
                           F.lit(tb.DIRECT_TEXT_DOMAIN).alias("domain"))

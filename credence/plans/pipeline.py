@@ -2,10 +2,9 @@
 
 Every step is a per-row projection, so a whole analysis is one narrow stage
 per input split: the plan reads only the columns it needs, never shuffles
-and never leaves the JVM.  ``ensure_parallelism`` is the one scale-aware
-knob: a small table stored as a single row group yields one input split, and
-since this work is CPU-bound the rows are then spread round-robin over the
-cluster's cores; on large inputs (thousands of splits) it is a no-op.
+and scoring and explanation never leave the JVM.  A small table stored in few
+files yields few input splits; since this work is CPU-bound its rows are
+spread over the cores by ``spread``, a no-op on tables of many files.
 """
 
 from __future__ import annotations
@@ -23,15 +22,12 @@ from credence.sources import tables as tb
 BASE_COL = "base_fake_probability"
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cores only when it has fewer input splits
-    than cores (small single-row-group files); large inputs are untouched."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - a session without RDD access: keep the input splits
-        return df
-    return df.repartition(target) if splits < target else df
+def spread(scan: DataFrame) -> DataFrame:
+    """Round-robin a table scan over the cores when it has fewer files than
+    cores.  Only the file listing is asked, so nothing runs while a query is
+    built; it is applied to scans alone, never to a join."""
+    files, cores = len(scan.inputFiles()), scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if files < cores else scan
 
 
 def with_base_probability(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -52,18 +48,18 @@ def analyse(content: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return explain(score(content, params), params)
 
 
-def document_content(spark: SparkSession, sf_dir: str, params: Params = DEFAULT, parallel: bool = True) -> DataFrame:
-    docs = tb.documents(spark, sf_dir)
-    if parallel:
-        docs = ensure_parallelism(docs)
-    return tb.text_intake(docs, params)
+def document_content(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+    """Direct-text content (S11): texts of the minimum length and more."""
+    return tb.text_intake(spread(tb.documents(spark, sf_dir)), params)
+
+
+def all_document_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a content record, empty and short texts included."""
+    return tb.as_content(spread(tb.documents(spark, sf_dir)))
 
 
-def page_content(spark: SparkSession, sf_dir: str, params: Params = DEFAULT, parallel: bool = True) -> DataFrame:
-    pages = tb.read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
-    if parallel:
-        pages = ensure_parallelism(pages)
-    return pg.extract_pages(pages, params)
+def page_content(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
+    return pg.extract_pages(spread(tb.read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])), params)
 
 
 def analyse_documents(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:

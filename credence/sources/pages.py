@@ -1,133 +1,47 @@
 """Crawled pages -> content records.
 
 The crawl is an input table ``(page_id, url, html)``; fetching is not part of
-the job.  Extraction is a chain of JVM regex expressions over the ``html``
-column (no Python, no per-row parser), so the whole page path is one narrow
-stage.  Order matters: scripts, styles, comments and page chrome are removed
-before anything is looked up (a test page holds ``<script>var t="</p>"``).
+the job.  Markup needs element depths, which JVM expressions cannot carry in
+linear time, so pages are read by an Arrow-batched UDF (``html.read_page``),
+one pass per page; everything else is column expressions in the same narrow
+stage.  Scripts, styles, comments and page chrome are never looked at (a test
+page holds ``<script>var t="</p>"``).
 
 Two extractors exist, as in the behaviour we reproduce: a *primary* one that
-keeps paragraph structure (``<p>`` texts joined by a blank line) and a
-*fallback* one (all text nodes of the first ``<article>``, else the ``<p>``
-texts); the fallback is used when the primary text is empty (S8).
+keeps paragraph structure (the text units of the first article, or the
+paragraphs of a page without one, joined by a blank line) and a *fallback*
+one (all text nodes of the article, else the paragraphs, joined by spaces);
+the fallback is used when the primary text is empty (S8).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from credence.functions.text import WS_CHARS
 from credence.params import DEFAULT, ERROR_INVALID_URL, ERROR_NO_TEXT, ERROR_TOO_LARGE, Params
+from credence.sources.html import read_page
 
-# FIXED VALUES: named character references decoded by the extractor
-# (``&amp;`` must stay last so '&amp;lt;' becomes '&lt;', not '<').
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&amp;", "&"),
-)
-
-REMOVED_TAGS = ("script", "style", "nav", "footer", "header")
-NODE_SEP = "\u0001"  # marks a tag boundary between two text nodes
+FALLBACK_IMAGES = 10  # the fallback extractor keeps so many images
 VALID_URL = r"^(?i)https?://[^/?#]+"
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
-NUMERIC_REF = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+PAGE_TYPE = T.StructType([T.StructField(name, T.ArrayType(T.StringType()) if name in ("authors", "images") else T.StringType())
+                          for name in ("title", "primary", "fallback", "authors", "publish_date", "meta_description", "images")])
 
 
-def decode_numeric_refs(c: Column) -> Column:
-    """``&#NNN;`` and ``&#xHH;`` -> the character, with built-ins only: the
-    text is split around the references, each code point becomes its UTF-32
-    bytes and is decoded (invalid ones turn into U+FFFD), and the pieces are
-    zipped back together."""
-    parts = F.split(c, NUMERIC_REF)
-    refs = F.regexp_extract_all(c, F.lit(NUMERIC_REF), 1)
+@F.pandas_udf(PAGE_TYPE)
+def _read_pages(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_page(x) for x in html], columns=PAGE_TYPE.names)
 
-    def char_of(r):
-        hexa = F.when(F.lower(F.substring(r, 1, 1)) == "x", F.substring(r, 2, 8)).otherwise(F.hex(r.cast("long")))
-        return F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
 
-    chars = F.concat(F.transform(refs, char_of), F.array(F.lit("")))
-    return F.when(F.instr(c, "&#") > 0,
-                  F.array_join(F.zip_with(parts, chars, lambda p, ch: F.concat(p, ch)), "")).otherwise(c)
-
-
-def decode_entities(c: Column) -> Column:
-    """Named references of ENTITIES, then numeric ones, ``&amp;`` last."""
-    out = c
-    for ent, ch in ENTITIES[:-1]:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = decode_numeric_refs(out)
-    out = F.replace(out, F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
-    return F.when(F.instr(c, "&") > 0, out).otherwise(c)
-
-
-def strip_ws(c: Column) -> Column:
-    """str.strip(): trim every whitespace character at both ends."""
-    return F.btrim(c, F.lit(WS_CHARS))
-
-
-def clean_html(html: Column) -> Column:
-    """Drop script/style first, then comments, then nav/footer/header."""
-    h = html
-    for tag in REMOVED_TAGS[:2]:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
-    for tag in REMOVED_TAGS[2:]:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return h
-
-
-def _text_nodes(fragment: Column) -> Column:
-    """Text nodes of an html fragment: decoded, stripped, empties kept."""
-    marked = decode_entities(F.regexp_replace(fragment, r"<[^>]*>", NODE_SEP))
-    return F.transform(F.split(marked, NODE_SEP), strip_ws)
-
-
-def _meta_tag(h: Column, attr: str, value: str) -> Column:
-    return F.regexp_extract(h, rf"""(?is)(<meta\b[^>]*\b{attr}\s*=\s*["']{value}["'][^>]*>)""", 1)
-
-
-def _meta_content(tag: Column) -> Column:
-    return decode_entities(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1))
-
-
-def _title(h: Column) -> Column:
-    """<title> string if the tag exists (markup inside -> ''), else first <h1>."""
-    raw = F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    from_title = F.when(raw.rlike(r"<[A-Za-z/!]"), F.lit("")).otherwise(strip_ws(decode_entities(raw)))
-    h1 = F.regexp_extract(h, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)
-    from_h1 = strip_ws(decode_entities(F.regexp_replace(h1, r"<[^>]*>", "")))
-    return F.when(h.rlike(r"(?i)<title\b"), from_title).otherwise(from_h1)
-
-
-def _first_article(h: Column) -> Column:
-    return F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1)
-
-
-def _paragraphs(fragment: Column) -> Column:
-    return F.regexp_extract_all(fragment, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1)
-
-
-def fallback_text(h: Column) -> Column:
-    """Article text nodes joined by a space, else <p> texts (nodes
-    joined with no separator, paragraphs by a space)."""
-    has_article = h.rlike(r"(?i)<article\b")
-    art = F.array_join(F.array_remove(_text_nodes(_first_article(h)), ""), " ")
-    paras = F.array_join(F.transform(_paragraphs(h), lambda p: F.array_join(_text_nodes(p), "")), " ")
-    return strip_ws(F.when(has_article, art).otherwise(paras))
-
-
-def primary_text(h: Column) -> Column:
-    """Paragraph-preserving text: non-empty <p> texts (inside the first
-    <article> when there is one) joined by a blank line."""
-    scope = F.when(h.rlike(r"(?i)<article\b"), _first_article(h)).otherwise(h)
-    paras = F.transform(_paragraphs(scope), lambda p: F.array_join(F.array_remove(_text_nodes(p), ""), " "))
-    return F.array_join(F.array_remove(paras, ""), "\n\n")
+def page_record(html: Column) -> Column:
+    """The struct of :func:`html.read_page`.  Not re-evaluated for filters on
+    its fields: the UDF counts as non-deterministic."""
+    return _read_pages.asNondeterministic()(html)
 
 
 def url_is_valid(url: Column) -> Column:
@@ -151,61 +65,38 @@ def extract_pages(pages: DataFrame, params: Params = DEFAULT, key: str = "page_i
 
     Columns: key, url, domain, title, text, authors, publish_date,
     meta_description, images, extraction_method, error.  Rows that fail (bad
-    URL, too large, no text) keep an ``error`` and empty text.
+    URL, too large, no text) keep an ``error`` and empty text; a page whose
+    error is known beforehand is not read.
     """
-    s1 = pages.select(
-        F.col(key), F.col("url"), F.col("html"),
-        page_errors(F.col("url"), F.col("html"), params).alias("_err0"),
-    )
-    s2 = s1.select(
-        F.col(key), F.col("url"), F.col("_err0"),
-        F.when(F.col("_err0").isNull(), clean_html(F.coalesce(F.col("html"), F.lit("")))).alias("_h"),
-    )
-    h = F.col("_h")
-    author_tag = _meta_tag(h, "name", "author")
-    date_tags = [_meta_tag(h, "property", "article:published_time"), _meta_tag(h, "name", "publish_date"),
-                 _meta_tag(h, "name", "date")]
-    date = F.lit(None).cast("string")
-    for t in reversed(date_tags):
-        date = F.when(t != "", _meta_content(t)).otherwise(date)
-    s3 = s2.select(
-        F.col(key), F.col("url"), F.col("_err0"),
-        url_domain(F.col("url")).alias("domain"),
-        _title(h).alias("title"),
-        primary_text(h).alias("_primary"),
-        fallback_text(h).alias("_fallback"),
-        F.when(author_tag != "", F.array(_meta_content(author_tag)))
-         .otherwise(F.array().cast("array<string>")).alias("authors"),
-        date.alias("publish_date"),
-        _meta_content(_meta_tag(h, "name", "description")).alias("meta_description"),
-        F.slice(F.transform(F.regexp_extract_all(h, F.lit(r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""), 1),
-                            decode_entities), 1, 10).alias("images"),
-    )
-    use_primary = F.length(F.col("_primary")) > 0
-    text = F.when(use_primary, F.col("_primary")).otherwise(F.col("_fallback"))
-    err = F.coalesce(F.col("_err0"), F.when(F.coalesce(text, F.lit("")) == "", F.lit(ERROR_NO_TEXT)))
-    return s3.select(
-        F.col(key), F.col("url"), F.col("domain"),
-        F.when(F.col("_err0").isNull(), F.col("title")).otherwise(F.lit("")).alias("title"),
-        F.when(F.col("_err0").isNull(), text).otherwise(F.lit("")).alias("text"),
-        F.col("authors"), F.col("publish_date"), F.col("meta_description"), F.col("images"),
+    s1 = pages.select(F.col(key), F.col("url"), F.col("html"), page_errors(F.col("url"), F.col("html"), params).alias("_err0"))
+    s2 = s1.select(F.col(key), F.col("url"), F.col("_err0"),
+                   page_record(F.when(F.col("_err0").isNull(), F.col("html")).otherwise(F.lit(""))).alias("_p"))
+    use_primary = F.length("_p.primary") > 0
+    text = F.when(use_primary, F.col("_p.primary")).otherwise(F.col("_p.fallback"))
+    err = F.coalesce(F.col("_err0"), F.when(text == "", F.lit(ERROR_NO_TEXT)))
+    images = F.when(use_primary, F.col("_p.images")).otherwise(F.slice("_p.images", 1, FALLBACK_IMAGES))
+    return s2.select(
+        F.col(key), F.col("url"), url_domain(F.col("url")).alias("domain"), F.col("_p.title").alias("title"), text.alias("text"),
+        F.col("_p.authors").alias("authors"), F.col("_p.publish_date").alias("publish_date"),
+        F.col("_p.meta_description").alias("meta_description"), images.alias("images"),
         F.when(F.col("_err0").isNotNull(), F.lit(None).cast("string"))
          .when(use_primary, F.lit("paragraphs")).otherwise(F.lit("fallback")).alias("extraction_method"),
         err.alias("error"),
     )
 
 
+def both_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The texts of both extractors (``primary``, ``fallback``)."""
+    s = pages.select(F.col(key), page_record(F.col("html")).alias("_p"))
+    return s.select(F.col(key), F.col("_p.primary").alias("primary"), F.col("_p.fallback").alias("fallback"))
+
+
 def fallback_extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """S5 alone: the fallback extractor's record for every page."""
-    h = clean_html(F.coalesce(F.col("html"), F.lit("")))
-    s = pages.select(F.col(key), F.col("url"), h.alias("_h"))
-    hc = F.col("_h")
-    return s.select(
-        F.col(key), F.col("url"), _title(hc).alias("title"), fallback_text(hc).alias("text"),
-        _meta_content(_meta_tag(hc, "name", "description")).alias("meta_description"),
-        F.slice(F.regexp_extract_all(hc, F.lit(r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""), 1),
-                1, 10).alias("images"),
-    )
+    s = pages.select(F.col(key), F.col("url"), page_record(F.col("html")).alias("_p"))
+    return s.select(F.col(key), F.col("url"), F.col("_p.title").alias("title"), F.col("_p.fallback").alias("text"),
+                    F.col("_p.meta_description").alias("meta_description"),
+                    F.slice("_p.images", 1, FALLBACK_IMAGES).alias("images"))
 
 
 def fenced_filter(df: DataFrame, cond: Column) -> DataFrame:

@@ -33,26 +33,26 @@ def title_of(text):
     return F.substring_index(text, "\n", 1)
 
 
-def text_intake(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
-    """The direct-text path.
-
-    Keeps texts of at least ``min_text_length`` characters; the domain is the
-    literal 'direct-text' and there is never an author, date or image.
-    """
+def as_content(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Text rows as content records: the domain is the literal 'direct-text'
+    and there is never an author, date or image."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        docs.where(F.length(text) >= params.min_text_length)
-        .select(
-            F.col(key),
-            text.alias("text"),
-            title_of(text).alias("title"),
-            F.lit(DIRECT_TEXT_DOMAIN).alias("domain"),
-            F.array().cast("array<string>").alias("authors"),
-            F.lit(None).cast("string").alias("publish_date"),
-        )
+    return docs.select(
+        F.col(key),
+        text.alias("text"),
+        title_of(text).alias("title"),
+        F.lit(DIRECT_TEXT_DOMAIN).alias("domain"),
+        F.array().cast("array<string>").alias("authors"),
+        F.lit(None).cast("string").alias("publish_date"),
     )
 
 
+def text_intake(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
+    """The direct-text path; keeps texts of at least ``min_text_length``
+    characters."""
+    return as_content(docs.where(F.length(F.coalesce(F.col("text"), F.lit(""))) >= params.min_text_length), key)
+
+
 def text_rejects(docs: DataFrame, params: Params = DEFAULT, key: str = "doc_id") -> DataFrame:
     """Rows the direct-text path refuses (shorter than the minimum)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -78,7 +78,9 @@ def labelled_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from credence.functions.text import WS_CHARS
 
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    from credence.plans.pipeline import spread
+
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     j = docs.join(labels, "doc_id")
     text = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(WS_CHARS))
@@ -88,17 +90,3 @@ def labelled_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("publish_date"),
         F.when(F.col("quality") == 1, F.lit("REAL")).otherwise(F.lit("FAKE")).alias("label"),
     )
-
-
-def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S13 at scale: documents joined with labels; quality 1 -> REAL, 0 -> FAKE.
-
-    Both sides are keyed by doc_id; the join is a plain equi-join that Spark
-    plans as broadcast or sort-merge from runtime sizes (AQE).
-    """
-    docs = documents(spark, sf_dir)
-    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
-    return docs.join(labels, "doc_id").select(
-        "doc_id", "text",
-        F.when(F.col("quality") == 1, F.lit("REAL")).otherwise(F.lit("FAKE")).alias("label"),
-    )

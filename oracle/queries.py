@@ -17,8 +17,8 @@ def with_ctes(ctes, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
-def doc_feats_ctes(params=DEFAULT):
-    return [f"content AS ({sp.doc_content(params.min_text_length)})"] + sp.feature_ctes("content", "doc_id", params)
+def doc_feats_ctes(params=DEFAULT, min_len=0):
+    return [f"content AS ({sp.doc_content(min_len)})"] + sp.feature_ctes("content", "doc_id", params)
 
 
 def feature_group_sql(groups, params=DEFAULT) -> str:
@@ -28,15 +28,15 @@ def feature_group_sql(groups, params=DEFAULT) -> str:
 
 
 SQL = {
-    "linguistic_features": feature_group_sql(["linguistic"]),
-    "sentiment_features": feature_group_sql(["sentiment"]),
-    "readability_features": feature_group_sql(["readability"]),
-    "structural_features": with_ctes(doc_feats_ctes(), "SELECT doc_id, " + ", ".join(
+    "linguistic_features": lambda: feature_group_sql(["linguistic"]),
+    "sentiment_features": lambda: feature_group_sql(["sentiment"]),
+    "readability_features": lambda: feature_group_sql(["readability"]),
+    "structural_features": lambda: with_ctes(doc_feats_ctes(), "SELECT doc_id, " + ", ".join(
         col(f, FEATURE_TYPES[f]) for f in GROUPS["structural"]) + ", CAST(floor((" + " + ".join(
         f"(length(text) - length(replace(text, '{ch}', '')))" for ch in ('"', "\u201c", "\u201d"))
         + ") / 2) AS INTEGER) AS quote_pairs FROM feats"),
-    "clickbait_features": feature_group_sql(["clickbait"]),
-    "all_features": feature_group_sql(list(GROUPS)),
+    "clickbait_features": lambda: feature_group_sql(["clickbait"]),
+    "all_features": lambda: feature_group_sql(list(GROUPS)),
 }
 
 
@@ -48,30 +48,31 @@ SYL = ("list_transform(list_transform(w, lambda x: regexp_replace(lower(x), '[^a
        "lambda c: CASE WHEN length(c) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(c, '[aeiouy]+')) "
        "- CASE WHEN suffix(c, 'e') THEN 1 ELSE 0 END) END)")
 CONTENT = f"content AS ({sp.doc_content()})"
+CONTENT_ALL = f"content AS ({sp.doc_content(0)})"
 
 SQL.update({
-    "tokenize": f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM ({W_ALL})",
-    "sentence_stats": f"""SELECT doc_id, CAST(s AS INTEGER) AS sentence_count,
+    "tokenize": lambda: f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM ({W_ALL})",
+    "sentence_stats": lambda: f"""SELECT doc_id, CAST(s AS INTEGER) AS sentence_count,
   round({sp.ratio('n', 's')}, {PLACES}) AS avg_sentence_length,
   CAST(len(list_distinct(st)) AS INTEGER) AS n_sentence_starts
 FROM (SELECT doc_id, len(w) AS n,
              CASE WHEN len(w) = 0 THEN 0 ELSE 1 + len(list_filter(w, lambda x, i: i < len(w) AND regexp_matches(x, {sp.SE}))) END AS s,
              list_filter(w, lambda x, i: i = 1 OR regexp_matches(w[i - 1], {sp.SE})) AS st
       FROM ({W_ALL}))""",
-    "syllable_count": f"""SELECT doc_id, CAST(coalesce(list_sum(syl), 0) AS INTEGER) AS total_syllables,
+    "syllable_count": lambda: f"""SELECT doc_id, CAST(coalesce(list_sum(syl), 0) AS INTEGER) AS total_syllables,
   round({sp.ratio('coalesce(list_sum(syl), 0)', 'len(w)')}, {PLACES}) AS avg_syllables_per_word,
   CAST(list_max(syl) AS INTEGER) AS max_word_syllables
 FROM (SELECT doc_id, w, {SYL} AS syl FROM ({W_ALL}))""",
-    "keyword_hits": with_ctes([CONTENT], f"""SELECT doc_id,
+    "keyword_hits": lambda: with_ctes([CONTENT_ALL], f"""SELECT doc_id,
   CAST({sp.hits('lower(text)', DEFAULT.emotional_words)} AS INTEGER) AS emotional_hits,
   CAST({sp.hits('lower(text)', DEFAULT.clickbait_keywords)} AS INTEGER) AS clickbait_hits_text,
   CAST({sp.hits('lower(title)', DEFAULT.clickbait_keywords)} AS INTEGER) AS clickbait_hits_title
 FROM content"""),
-    "text_intake": with_ctes([CONTENT], """SELECT doc_id, title, CAST(length(text) AS INTEGER) AS text_length, domain,
+    "text_intake": lambda: with_ctes([CONTENT], """SELECT doc_id, title, CAST(length(text) AS INTEGER) AS text_length, domain,
   CAST(len(authors) AS INTEGER) AS author_count, publish_date FROM content"""),
-    "combined_text": with_ctes([CONTENT], """SELECT doc_id, CAST(length(ct) AS INTEGER) AS combined_length, md5(ct) AS combined_md5
+    "combined_text": lambda: with_ctes([CONTENT_ALL], """SELECT doc_id, CAST(length(ct) AS INTEGER) AS combined_length, md5(ct) AS combined_md5
 FROM (SELECT doc_id, CASE WHEN title <> '' THEN title || '. ' || text ELSE text END AS ct FROM content)"""),
-    "truncate_text": with_ctes([CONTENT], f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens_kept, md5(array_to_string(w, ' ')) AS kept_md5
+    "truncate_text": lambda: with_ctes([CONTENT_ALL], f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens_kept, md5(array_to_string(w, ' ')) AS kept_md5
 FROM (SELECT doc_id, {sp.words("CASE WHEN title <> '' THEN title || '. ' || text ELSE text END")}[1:{DEFAULT.max_tokens}] AS w
       FROM content)"""),
 })
@@ -79,7 +80,7 @@ FROM (SELECT doc_id, {sp.words("CASE WHEN title <> '' THEN title || '. ' || text
 # ---------------------------------------------------------------------------
 # scoring and explanation
 # ---------------------------------------------------------------------------
-DOC_SCORED = doc_feats_ctes() + [sp.scored_cte("feats", "scored")]
+DOC_SCORED = doc_feats_ctes(min_len=DEFAULT.min_text_length) + [sp.scored_cte("feats", "scored")]
 DOC_EXPL = DOC_SCORED + [sp.explained_cte("scored", "explained")]
 
 
@@ -125,30 +126,30 @@ FLAT_EXPL = f"""prediction, round(confidence, 6) AS confidence, CAST(credibility
 RANK_CASE = "CASE imp WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 SQL.update({
-    "rule_score": with_ctes(doc_feats_ctes(), f"""SELECT doc_id, CAST({sp.rule_points_sql()} AS INTEGER) AS rule_points,
+    "rule_score": lambda: with_ctes(doc_feats_ctes(), f"""SELECT doc_id, CAST({sp.rule_points_sql()} AS INTEGER) AS rule_points,
   round(CAST(greatest(0, least(100, {sp.rule_points_sql()})) AS DOUBLE) / 100.0, 6) AS rule_score FROM feats"""),
-    "ensemble_verdict": with_ctes(DOC_SCORED, f"SELECT doc_id, {VERDICT} FROM scored"),
-    "source_factors": factor_sql(PAGE_SCORED, "page_id", _POS[0:3], sp.negative_factor_defs(CORPUS)[0:3]),
-    "quality_factors": factor_sql(DOC_SCORED, "doc_id", _POS[3:5], _NEG[3:7]),
-    "sentiment_factors": factor_sql(DOC_SCORED, "doc_id", _POS[5:6], _NEG[7:10]),
-    "clickbait_factors": factor_sql(DOC_SCORED, "doc_id", [], _NEG[10:12]),
-    "explanation": with_ctes(DOC_EXPL, f"SELECT doc_id, {FLAT_EXPL} FROM explained"),
-    "credibility_score": with_ctes(DOC_EXPL, "SELECT doc_id, CAST(credibility_score AS INTEGER) AS credibility_score FROM explained"),
-    "summary_text": with_ctes(DOC_EXPL, "SELECT doc_id, prediction, CAST(credibility_score AS INTEGER) AS credibility_score, summary FROM explained"),
-    "key_concerns": with_ctes(DOC_EXPL + [
+    "ensemble_verdict": lambda: with_ctes(DOC_SCORED, f"SELECT doc_id, {VERDICT} FROM scored"),
+    "source_factors": lambda: factor_sql(PAGE_SCORED, "page_id", _POS[0:3], sp.negative_factor_defs(CORPUS)[0:3]),
+    "quality_factors": lambda: factor_sql(DOC_SCORED, "doc_id", _POS[3:5], _NEG[3:7]),
+    "sentiment_factors": lambda: factor_sql(DOC_SCORED, "doc_id", _POS[5:6], _NEG[7:10]),
+    "clickbait_factors": lambda: factor_sql(DOC_SCORED, "doc_id", [], _NEG[10:12]),
+    "explanation": lambda: with_ctes(DOC_EXPL, f"SELECT doc_id, {FLAT_EXPL} FROM explained"),
+    "credibility_score": lambda: with_ctes(DOC_EXPL, "SELECT doc_id, CAST(credibility_score AS INTEGER) AS credibility_score FROM explained"),
+    "summary_text": lambda: with_ctes(DOC_EXPL, "SELECT doc_id, prediction, CAST(credibility_score AS INTEGER) AS credibility_score, summary FROM explained"),
+    "key_concerns": lambda: with_ctes(DOC_EXPL + [
         "negs AS (SELECT doc_id, unnest(neg_names) AS name, unnest(neg_imp) AS imp, "
         "unnest(generate_series(1, len(neg_names))) AS i FROM explained)"],
         f"""SELECT doc_id, CAST(rk AS INTEGER) AS concern_rank, concern FROM (
   SELECT doc_id, '⚠ ' || name AS concern, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK_CASE}, i) AS rk
   FROM negs) WHERE rk <= 5"""),
-    "recommendations": with_ctes(DOC_EXPL, """SELECT doc_id, CAST(position AS INTEGER) AS position, recommendation FROM (
+    "recommendations": lambda: with_ctes(DOC_EXPL, """SELECT doc_id, CAST(position AS INTEGER) AS position, recommendation FROM (
   SELECT doc_id, unnest(recommendations) AS recommendation, unnest(generate_series(1, len(recommendations))) AS position
   FROM explained)"""),
-    "factor_preview": with_ctes(DOC_EXPL, """SELECT doc_id, array_to_string(pos_names[1:5], '|') AS positive_top5,
+    "factor_preview": lambda: with_ctes(DOC_EXPL, """SELECT doc_id, array_to_string(pos_names[1:5], '|') AS positive_top5,
   array_to_string(neg_names[1:5], '|') AS negative_top5,
   array_to_string(list_transform(pos_names[1:3], lambda x, i: x || ': ' || pos_desc[i]), '|') AS positive_top3,
   substr(text, 1, 200) AS text_preview FROM explained"""),
-    "feature_summary": with_ctes(doc_feats_ctes(), """SELECT doc_id, concat_ws(' | ',
+    "feature_summary": lambda: with_ctes(doc_feats_ctes(), """SELECT doc_id, concat_ws(' | ',
   'Text length: ' || word_count || ' words',
   'Sentiment: ' || CASE WHEN text_polarity > 0 THEN 'Positive' ELSE 'Negative' END,
   'Subjectivity: ' || printf('%.2f', floor(text_subjectivity * 100.0 + 0.5) / 100.0),
@@ -193,52 +194,52 @@ def page_feature_sql(groups) -> str:
 
 
 SQL.update({
-    "page_content": with_ctes([PC], """SELECT page_id, domain, title, CAST(length(text) AS INTEGER) AS text_length,
+    "page_content": lambda: with_ctes([PC], """SELECT page_id, domain, title, CAST(length(text) AS INTEGER) AS text_length,
   md5(text) AS text_md5, CAST(len(authors) AS INTEGER) AS author_count, publish_date, meta_description,
   CAST(len(images) AS INTEGER) AS image_count, extraction_method, error FROM pc"""),
-    "url_validation": f"""SELECT page_id, url, {sp.VALID_URL_SQL} AS is_valid,
+    "url_validation": lambda: f"""SELECT page_id, url, {sp.VALID_URL_SQL} AS is_valid,
   CASE WHEN NOT {sp.VALID_URL_SQL} THEN {sp.q(sp.ERROR_INVALID_URL)} END AS error FROM pages""",
-    "url_domain": f"SELECT page_id, {sp.DOMAIN_SQL} AS domain FROM pages",
-    "page_extract": with_ctes([CLEAN], f"""SELECT page_id, title, CAST(length(text) AS INTEGER) AS text_length,
+    "url_domain": lambda: f"SELECT page_id, {sp.DOMAIN_SQL} AS domain FROM pages",
+    "page_extract": lambda: with_ctes([CLEAN], f"""SELECT page_id, title, CAST(length(text) AS INTEGER) AS text_length,
   md5(text) AS text_md5, meta_description, CAST(len(images) AS INTEGER) AS image_count
 FROM (SELECT page_id, {_PP['title']} AS title, {_PP['fallback']} AS text,
              {_PP['meta_description']} AS meta_description, {_PP['images_raw']} AS images FROM cl)"""),
-    "extract_fallback": with_ctes([CLEAN], f"""SELECT page_id,
+    "extract_fallback": lambda: with_ctes([CLEAN], f"""SELECT page_id,
   CASE WHEN length(p) > 0 THEN 'paragraphs' ELSE 'fallback' END AS extraction_method,
   CAST(length(p) AS INTEGER) AS primary_length, CAST(length(f) AS INTEGER) AS fallback_length,
   CAST(length(CASE WHEN length(p) > 0 THEN p ELSE f END) AS INTEGER) AS text_length
 FROM (SELECT page_id, {_PP['primary']} AS p, {_PP['fallback']} AS f FROM cl)"""),
-    "size_guard": f"""SELECT page_id, CAST(strlen(coalesce(html, '')) AS INTEGER) AS html_bytes,
+    "size_guard": lambda: f"""SELECT page_id, CAST(strlen(coalesce(html, '')) AS INTEGER) AS html_bytes,
   strlen(coalesce(html, '')) > {DEFAULT.max_content_size} AS too_large,
   CASE WHEN strlen(coalesce(html, '')) > {DEFAULT.max_content_size} THEN {sp.q(sp.ERROR_TOO_LARGE)} END AS error
 FROM pages""",
-    "quarantine": with_ctes([PC], f"""SELECT 'pages' AS source, page_id AS id, error FROM pc
+    "quarantine": lambda: with_ctes([PC], f"""SELECT 'pages' AS source, page_id AS id, error FROM pc
   WHERE error IS NOT NULL OR coalesce(text, '') = ''
 UNION ALL
 SELECT 'documents' AS source, doc_id AS id, 'text shorter than {DEFAULT.min_text_length} characters' AS error
 FROM documents WHERE length(coalesce(text, '')) < {DEFAULT.min_text_length}"""),
-    "source_features": page_feature_sql(["source"]),
-    "metadata_features": page_feature_sql(["metadata"]),
-    "analysis_response": with_ctes(RUN2, f"""SELECT page_id, true AS success, prediction, round(confidence, 6) AS confidence,
+    "source_features": lambda: page_feature_sql(["source"]),
+    "metadata_features": lambda: page_feature_sql(["metadata"]),
+    "analysis_response": lambda: with_ctes(RUN2, f"""SELECT page_id, true AS success, prediction, round(confidence, 6) AS confidence,
   CAST(credibility_score AS INTEGER) AS credibility_score, summary,
   CAST(len(pos_names) AS INTEGER) AS n_positive, CAST(len(neg_names) AS INTEGER) AS n_negative,
   array_to_string({key_concern_list()}, '|') AS key_concerns, array_to_string(recommendations, '|') AS recommendations,
   url, domain, title, {AUTHOR} AS author, publish_date, CAST(word_count AS INTEGER) AS word_count, model_used
 FROM r2_e"""),
-    "cache_key": "SELECT page_id, url, md5(url) AS cache_key FROM pages",
-    "cache_upsert": with_ctes(RUN1 + RUN2 + [CACHE1], """SELECT cache_key, prediction, round(confidence, 6) AS confidence,
+    "cache_key": lambda: "SELECT page_id, url, md5(url) AS cache_key FROM pages",
+    "cache_upsert": lambda: with_ctes(RUN1 + RUN2 + [CACHE1], """SELECT cache_key, prediction, round(confidence, 6) AS confidence,
   CAST(credibility_score AS INTEGER) AS credibility_score, cached_at FROM (
   SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC) AS rn FROM (
     SELECT * FROM cache1
     UNION ALL
     SELECT md5(url), prediction, confidence, credibility_score, TIMESTAMP '2024-01-02 00:00:00' FROM r2_e))
 WHERE rn = 1"""),
-    "cache_lookup": with_ctes(RUN1 + [CACHE1], """SELECT p.page_id, c.cache_key, c.prediction, round(c.confidence, 6) AS confidence,
+    "cache_lookup": lambda: with_ctes(RUN1 + [CACHE1], """SELECT p.page_id, c.cache_key, c.prediction, round(c.confidence, 6) AS confidence,
   CAST(c.credibility_score AS INTEGER) AS credibility_score, c.cached_at
 FROM pages p JOIN cache1 c ON md5(p.url) = c.cache_key"""),
-    "cache_misses": with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT page_id, md5(url) AS cache_key, prediction,
+    "cache_misses": lambda: with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT page_id, md5(url) AS cache_key, prediction,
   round(confidence, 6) AS confidence, CAST(credibility_score AS INTEGER) AS credibility_score FROM misses"""),
-    "cache_stats": with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT count(*) AS cache_size, min(cached_at) AS oldest_entry,
+    "cache_stats": lambda: with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT count(*) AS cache_size, min(cached_at) AS oldest_entry,
   max(cached_at) AS newest_entry FROM (
   SELECT cached_at FROM cache1 UNION ALL SELECT TIMESTAMP '2024-01-02 00:00:00' FROM misses)"""),
 })
@@ -285,14 +286,14 @@ CONV = f"""conv AS (
   FROM conversations)"""
 
 SQL.update({
-    "labelled_corpus": with_ctes([LABELLED], """SELECT doc_id, label, title, CAST(length(text) AS INTEGER) AS text_length,
+    "labelled_corpus": lambda: with_ctes([LABELLED], """SELECT doc_id, label, title, CAST(length(text) AS INTEGER) AS text_length,
   domain FROM lab"""),
-    "eval_details": with_ctes(EVAL, """SELECT doc_id, title, true_label, predicted_label, round(confidence, 6) AS confidence,
+    "eval_details": lambda: with_ctes(EVAL, """SELECT doc_id, title, true_label, predicted_label, round(confidence, 6) AS confidence,
   credibility_score, feature_count, positive_factors, negative_factors, is_correct, true_positive, false_positive,
   true_negative, false_negative FROM details"""),
-    "confusion_matrix": with_ctes(EVAL, """SELECT true_positives, false_positives, true_negatives, false_negatives,
+    "confusion_matrix": lambda: with_ctes(EVAL, """SELECT true_positives, false_positives, true_negatives, false_negatives,
   binary_samples FROM m"""),
-    "classification_metrics": with_ctes(EVAL, f"""SELECT valid_samples AS total_samples, valid_samples, binary_samples,
+    "classification_metrics": lambda: with_ctes(EVAL, f"""SELECT valid_samples AS total_samples, valid_samples, binary_samples,
   round({sp.ratio('correct', 'valid_samples')}, 6) AS overall_accuracy,
   round({sp.ratio('true_positives + true_negatives', 'binary_samples')}, 6) AS binary_accuracy,
   round(pr, 6) AS precision, round(rc, 6) AS recall,
@@ -301,12 +302,12 @@ SQL.update({
   {DEFAULT.confidence_threshold} :: DOUBLE AS confidence_threshold
 FROM (SELECT *, {sp.ratio('true_positives', 'true_positives + false_positives')} AS pr,
              {sp.ratio('true_positives', 'true_positives + false_negatives')} AS rc FROM m)"""),
-    "prediction_distribution": with_ctes(EVAL, """SELECT l.label, count(d.predicted_label) AS n,
+    "prediction_distribution": lambda: with_ctes(EVAL, """SELECT l.label, count(d.predicted_label) AS n,
   round(CASE WHEN (SELECT count(*) FROM details) > 0
              THEN count(d.predicted_label) * 100.0 / (SELECT count(*) FROM details) ELSE 0.0 END, 6) AS percentage
 FROM (VALUES ('REAL'), ('FAKE'), ('UNCERTAIN')) l(label) LEFT JOIN details d ON d.predicted_label = l.label
 GROUP BY l.label"""),
-    "tolerant_accuracy": with_ctes(EVAL, """SELECT true_label, count(*) AS n,
+    "tolerant_accuracy": lambda: with_ctes(EVAL, """SELECT true_label, count(*) AS n,
   count(*) FILTER (WHERE predicted_label <> CASE true_label WHEN 'REAL' THEN 'FAKE' WHEN 'FAKE' THEN 'REAL' ELSE '' END)
     AS tolerant_correct,
   round(count(*) FILTER (WHERE predicted_label <> CASE true_label WHEN 'REAL' THEN 'FAKE' WHEN 'FAKE' THEN 'REAL' ELSE '' END)
@@ -314,43 +315,43 @@ GROUP BY l.label"""),
   count(*) FILTER (WHERE true_label = 'REAL' AND predicted_label = 'FAKE') AS false_positives,
   count(*) FILTER (WHERE true_label = 'FAKE' AND predicted_label = 'REAL') AS false_negatives
 FROM details GROUP BY true_label"""),
-    "eval_report": with_ctes(EVAL, """SELECT row_number() OVER (ORDER BY doc_id) AS sample_id, doc_id,
+    "eval_report": lambda: with_ctes(EVAL, """SELECT row_number() OVER (ORDER BY doc_id) AS sample_id, doc_id,
   CASE WHEN is_correct THEN '✓' ELSE '✗' END AS status, substr(coalesce(title, ''), 1, 50) AS title_50,
   true_label, predicted_label, round(confidence * 100.0, 6) AS confidence_pct, credibility_score,
   '+' || CAST(positive_factors AS VARCHAR) || ' / -' || CAST(negative_factors AS VARCHAR) AS factors
 FROM details"""),
-    "latency_stats": """SELECT count(value) AS n, round(coalesce(avg(value), 0.0), 6) AS avg_time,
+    "latency_stats": lambda: """SELECT count(value) AS n, round(coalesce(avg(value), 0.0), 6) AS avg_time,
   round(coalesce(median(value), 0.0), 6) AS median_time, round(coalesce(min(value), 0.0), 6) AS min_time,
   round(coalesce(max(value), 0.0), 6) AS max_time,
   round(CASE WHEN avg(value) > 0 THEN 1.0 / avg(value) ELSE 0.0 END, 6) AS throughput
 FROM events WHERE event_type <> 'error'""",
-    "softmax_argmax": with_ctes([LOGITS], """SELECT vec_id, round(1 - p, 6) AS real_probability, round(p, 6) AS fake_probability,
+    "softmax_argmax": lambda: with_ctes([LOGITS], """SELECT vec_id, round(1 - p, 6) AS real_probability, round(p, 6) AS fake_probability,
   CASE WHEN round(p, 12) > 0.5 THEN 1 ELSE 0 END AS predicted_class,
   CASE WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS label, round(greatest(p, 1 - p), 6) AS confidence
 FROM sm"""),
-    "base_verdict": with_ctes([LOGITS], f"""SELECT vec_id,
+    "base_verdict": lambda: with_ctes([LOGITS], f"""SELECT vec_id,
   CASE WHEN greatest(round(p, 12), 1 - round(p, 12)) < {DEFAULT.confidence_threshold} THEN 'UNCERTAIN'
        WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
   round(greatest(p, 1 - p), 6) AS confidence, round(p, 12) > 0.5 AS is_fake, round(p, 12) <= 0.5 AS is_real
 FROM sm"""),
-    "batch_classify": with_ctes([LOGITS], """SELECT vec_id, CASE WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
+    "batch_classify": lambda: with_ctes([LOGITS], """SELECT vec_id, CASE WHEN round(p, 12) > 0.5 THEN 'FAKE' ELSE 'REAL' END AS prediction,
   round(greatest(p, 1 - p), 6) AS confidence, round(p, 6) AS fake_probability, round(1 - p, 6) AS real_probability
 FROM sm"""),
-    "stream_score": with_ctes(RUN2, """SELECT page_id, prediction, round(confidence, 6) AS confidence,
+    "stream_score": lambda: with_ctes(RUN2, """SELECT page_id, prediction, round(confidence, 6) AS confidence,
   CAST(credibility_score AS INTEGER) AS credibility_score FROM r2_e"""),
-    "cache_ttl": f"""SELECT user_id, event_id, ts, event_type FROM (
+    "cache_ttl": lambda: f"""SELECT user_id, event_id, ts, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS rn
   FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {DEFAULT.cache_ttl_seconds} SECOND)
 WHERE rn = 1""",
-    "rate_check": f"""SELECT user_id, date_trunc('minute', ts) AS window_start,
+    "rate_check": lambda: f"""SELECT user_id, date_trunc('minute', ts) AS window_start,
   date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS n
 FROM events GROUP BY user_id, date_trunc('minute', ts) HAVING count(*) > {DEFAULT.rate_limit}""",
-    "top_keywords": f"""SELECT doc_id, CAST(rk AS INTEGER) AS rank, term, CAST(cnt AS INTEGER) AS count FROM (
+    "top_keywords": lambda: f"""SELECT doc_id, CAST(rk AS INTEGER) AS rank, term, CAST(cnt AS INTEGER) AS count FROM (
   SELECT doc_id, term, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, term) AS rk FROM (
     SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest({TERMS}) AS term FROM ({W_ALL}))
     GROUP BY doc_id, term))
 WHERE rk <= 10""",
-    "credibility_gap": with_ctes([CONV] + sp.feature_ctes("conv", "ck", DEFAULT, extra=("conv_id", "turn"))
+    "credibility_gap": lambda: with_ctes([CONV] + sp.feature_ctes("conv", "ck", DEFAULT, extra=("conv_id", "turn"))
                                  + [sp.scored_cte("feats", "scored"), sp.explained_cte("scored", "explained")],
                                  """SELECT a.conv_id, a.turn, b.turn AS next_turn,
   CAST(a.credibility_score AS INTEGER) AS credibility_a, CAST(b.credibility_score AS INTEGER) AS credibility_b,

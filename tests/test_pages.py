@@ -36,6 +36,8 @@ def test_meta_tags(spark):
 
 def test_fallback_without_paragraphs(spark):
     r = ex(spark, [(1, "http://a.com", "<article><div> x </div><span>y</span></article>")])[1]
+    assert r.extraction_method == "paragraphs" and r.text == "x\n\ny"
+    r = ex(spark, [(1, "http://a.com", "<article><h1> x <b>y</b></h1></article>")])[1]
     assert r.extraction_method == "fallback" and r.text == "x y"
     f = fallback_extract(spark.createDataFrame([(1, "u", "<p><b>a</b>b</p><p></p><p>c</p>")], SCHEMA)).first()
     assert f.text == "ab  c"
@@ -54,22 +56,69 @@ def test_errors_and_routing(spark):
 
 
 def test_numeric_character_references(spark):
-    from pyspark.sql import functions as F
-    from credence.sources.pages import decode_entities
     import html
+    from credence.sources.html import read_page
     texts = ["a&#65;b", "&#x263A; &#8217;s", "&amp;#65;", "x &#39;y&#39; &copy;", "no refs", "&#xZZ; &#0;"]
-    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
-    got = [r[0] for r in df.select(decode_entities(F.col("t"))).collect()]
-    assert got[:5] == [html.unescape(t) for t in texts[:5]]
-    assert got[5].startswith("&#xZZ; ")
+    assert [read_page(f"<p>{t}</p>")["primary"] for t in texts] == [html.unescape(t) for t in texts]
 
 
 def test_error_routing_does_not_reevaluate_extraction(spark):
-    """The fenced filter stays above the extraction: the plan holds the
-    extraction regexes exactly as often as the plain extraction does."""
+    """The fenced filter stays above the extraction: the plan reads each
+    page exactly once, as the plain extraction does."""
     import os
     from conftest import SF
     pages = spark.read.parquet(os.path.join(SF, "pages.parquet"))
     plain = extract_pages(pages)._jdf.queryExecution().executedPlan().toString()
     routed = good_pages(extract_pages(pages))._jdf.queryExecution().executedPlan().toString()
-    assert routed.count("regexp_extract_all") == plain.count("regexp_extract_all")
+    assert routed.count("ArrowEvalPython") == plain.count("ArrowEvalPython") > 0
+
+
+def text_of(spark, html):
+    return ex(spark, [(1, "http://a.com", html)])[1].text
+
+
+def test_text_outside_paragraphs_is_kept(spark):
+    html = ("<article><p>closed one</p><div>loose text outside p</div><p>closed two</p>"
+            "<ul><li>item</li></ul></article>")
+    assert text_of(spark, html) == "closed one\n\nloose text outside p\n\nclosed two\n\nitem"
+
+
+def test_nested_article(spark):
+    html = "<article><p>one</p><article><p>two</p></article><p>three</p></article><p>outside</p>"
+    assert text_of(spark, html) == "one\n\ntwo\n\nthree"
+
+
+def test_unclosed_paragraphs(spark):
+    assert text_of(spark, "<article><p>one<p>two <b>bold</b><p>three</article>") == "one\n\ntwo bold\n\nthree"
+    assert text_of(spark, "<p>one<p>two<div>no paragraph</div><p>three") == "one\n\ntwo\n\nthree"
+
+
+def test_nested_and_unclosed_chrome(spark):
+    html = "<nav>a<nav>b</nav>c</nav><article><p>text</p><script>never closed <p>x</p>"
+    assert text_of(spark, html) == "text"
+
+
+def test_large_page_of_unclosed_paragraphs_takes_seconds():
+    import time
+
+    from credence.sources.html import read_page
+
+    for unit in ("<p>word ", "<article>", "<nav", "<script>", "<!--", "<title>"):
+        page = unit * (5 * 1024 * 1024 // len(unit))
+        t = time.time()
+        got = read_page(page)
+        assert time.time() - t < 60, unit
+        if unit.startswith("<p>"):
+            assert got["primary"].count("word") == len(page) // len(unit)
+
+
+def test_all_images_on_the_primary_path(spark):
+    imgs = "".join(f'<img src="i{i}.png">' for i in range(25))
+    r = ex(spark, [(1, "http://a.com", f"<article><p>x</p>{imgs}</article>")])[1]
+    assert r.extraction_method == "paragraphs" and len(r.images) == 25
+    r = ex(spark, [(1, "http://a.com", f"<article><h1>only a heading</h1>{imgs}</article>")])[1]
+    assert r.extraction_method == "fallback" and r.text == "only a heading" and len(r.images) == 10
+
+
+def test_named_references(spark):
+    assert text_of(spark, "<p>caf&eacute; &amp;lt; &#8364; &hellip;</p>") == "café &lt; € …"
