@@ -114,6 +114,17 @@ def prediction_distribution(details: DataFrame, pred_col: str = "predicted_label
         F.when(F.col("_total") > 0, F.col("n") * 100.0 / F.col("_total")).otherwise(F.lit(0.0)).alias("percentage"))
 
 
+def evaluation_record(details: DataFrame, times: DataFrame, time_col: str = "value") -> DataFrame:
+    """V5-V10 as one row: the metrics, the time statistics and the number and
+    share of each predicted label.  Three one-row results side by side."""
+    one = F.lit(1).alias("_one")
+    shares = prediction_distribution(details).groupBy(one).agg(*[
+        F.max(F.when(F.col("label") == lab, F.col(c))).alias(f"{name}_{lab.lower()}")
+        for lab in LABELS for c, name in (("n", "n"), ("percentage", "share"))])
+    t = latency_stats(times, time_col).withColumnRenamed("n", "timed_samples")
+    return metrics(details).select("*", one).join(t.select("*", one), "_one").join(shares, "_one").drop("_one")
+
+
 def tolerant_accuracy(details: DataFrame) -> DataFrame:
     """Per true label, how often the opposite verdict was avoided
     (UNCERTAIN counts as right), and the false positives / negatives."""

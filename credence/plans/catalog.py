@@ -18,6 +18,8 @@ from credence.params import CORPUS, DEFAULT
 from credence.plans import pipeline as pl
 
 PLACES = 6
+#: events a user may have in a day (see q_rate_check)
+DAILY_LIMIT = 5
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -332,7 +334,9 @@ def q_quarantine(spark, sf):
         F.lit("pages").alias("source"), F.col("page_id").alias("id"), "error")
     docs = tb.text_rejects(tb.documents(spark, sf)).select(
         F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "error")
-    return pages.unionByName(docs)
+    failed = pg.fenced_filter(pl.score(tb.enriched_content(spark, sf)), F.col("prediction") == "ERROR").select(
+        F.lit("scored").alias("source"), F.col("doc_id").alias("id"), F.lit("prediction failed").alias("error"))
+    return pages.unionByName(docs).unionByName(failed)
 
 
 def q_source_features(spark, sf):
@@ -363,6 +367,7 @@ def q_analysis_response(spark, sf):
 # ---------------------------------------------------------------------------
 # result table (K1-K5)
 # ---------------------------------------------------------------------------
+#: the ``.com`` hosts stand for what an earlier run had stored (a fixture: some earlier state is needed)
 RUN1_TS = "2024-01-01 00:00:00"
 RUN2_TS = "2024-01-02 00:00:00"
 CACHED_COLS = ["prediction", "confidence", "credibility_score"]
@@ -397,9 +402,10 @@ def q_cache_lookup(spark, sf):
 
 
 def _scored_misses(spark, sf):
-    cache = _first_run_cache(spark, sf)
-    content = pg.good_pages(pl.page_content(spark, sf, CORPUS))
-    return pl.analyse(rs.misses(content, cache).drop(rs.KEY), CORPUS)
+    """Pages the earlier run did not store; the anti-join on the key comes
+    before extraction, so hits are never read."""
+    new = rs.misses(_pages(spark, sf), _first_run_cache(spark, sf)).drop(rs.KEY)
+    return pl.analyse(pg.good_pages(pg.extract_pages(new, CORPUS)), CORPUS)
 
 
 def q_cache_misses(spark, sf):
@@ -524,9 +530,14 @@ def q_batch_classify(spark, sf):
                              F.col("p").alias("fake_probability"), (F.lit(1.0) - F.col("p")).alias("real_probability")))
 
 
+def _labelled_model_text(spark, sf):
+    """Labelled rows with the text the classifier sees (P17): title and text."""
+    lab = tb.labelled_content(spark, sf)
+    return lab.select("doc_id", "label", tb.combined_text(F.col("title"), F.col("text")).alias("text"))
+
+
 def q_base_classifier(spark, sf):
-    labelled = tb.labelled_content(spark, sf)
-    model = clf.fit(labelled, "text", "label")
+    model = clf.fit(_labelled_model_text(spark, sf), "text", "label")
     docs = pl.document_content(spark, sf)
     docs = docs.select("doc_id", tb.combined_text(F.col("title"), F.col("text")).alias("text"))
     out = clf.predict(model, docs)
@@ -538,24 +549,70 @@ def q_base_classifier(spark, sf):
 # ---------------------------------------------------------------------------
 
 def q_stream_score(spark, sf):
-    q, out = ss.page_score_stream(spark, sf, CORPUS, file_glob="pages.parquet",
+    q, out = ss.page_score_stream(spark, os.path.join(sf, "pages.parquet"), CORPUS,
                                   columns=("page_id", "prediction", "confidence", "credibility_score"))
     q.awaitTermination()
     return finalize(spark.read.parquet(out))
 
 
 def q_cache_ttl(spark, sf):
-    ev_ = tb.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
-    now = ev_.select(F.max("ts")).scalar()
-    fresh = ev_.where(F.col("ts") >= now - F.expr(f"INTERVAL {DEFAULT.cache_ttl_seconds} SECONDS"))
-    latest = fresh.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
-    return latest.select("user_id", F.col("r.event_id").alias("event_id"), F.col("r.ts").alias("ts"),
-                         F.col("r.event_type").alias("event_type"))
+    """Stored results that are still fresh.  A page's result counts as
+    stored when the event of the same number happened; of a url the latest
+    counts, and results older than the TTL before the newest go."""
+    p = tb.read_table(spark, sf, "pages", ["page_id", "url"])
+    e = tb.read_table(spark, sf, "events", ["event_id", "ts"])
+    rows = p.join(e, F.col("page_id") == F.col("event_id")).select(rs.cache_key(F.col("url")).alias(rs.KEY), "page_id", F.col("ts").alias(rs.TS))
+    stored = rs.latest(rows)
+    now = rows.select(F.max(rs.TS)).scalar()
+    return rs.fresh_before(stored, now, DEFAULT.cache_ttl_seconds)
 
 
 def q_rate_check(spark, sf):
+    """X3 with the rate the table can exceed: its users have a few events a
+    day, so the window is a day and the limit ``DAILY_LIMIT``."""
     e = tb.read_table(spark, sf, "events", ["ts", "user_id"])
-    return ss.rate_over_limit(e, DEFAULT.rate_limit)
+    return ss.rate_over_limit(e, DAILY_LIMIT, window="1 day")
+
+
+# ---------------------------------------------------------------------------
+# all branches: documents with derived authors, dates, domains, titles, links
+# ---------------------------------------------------------------------------
+
+def q_enriched_features(spark, sf):
+    f = ft.extract_features(tb.enriched_content(spark, sf), DEFAULT, keep_content=False)
+    return finalize(f.drop("base_fake_probability", "label"))
+
+
+def q_enriched_verdict(spark, sf):
+    return finalize(pl.score(tb.enriched_content(spark, sf)).select("doc_id", *VERDICT_COLS))
+
+
+def q_enriched_explanation(spark, sf):
+    return finalize(_flat_explanation(pl.analyse(tb.enriched_content(spark, sf)), "doc_id"))
+
+
+def _enriched_details(spark, sf):
+    return ev.eval_details(pl.analyse(tb.enriched_content(spark, sf)), "doc_id", "label")
+
+
+def q_enriched_details(spark, sf):
+    return finalize(_enriched_details(spark, sf).select(
+        "doc_id", "true_label", "predicted_label", "is_correct", "true_positive", "false_positive", "true_negative",
+        "false_negative", "error"))
+
+
+def q_evaluation_record(spark, sf):
+    """V5-V10 in one row: metrics, latency statistics and distribution."""
+    times = tb.read_table(spark, sf, "events", ["event_type", "value"]).where(F.col("event_type") != "error")
+    return finalize(ev.evaluation_record(_enriched_details(spark, sf), times))
+
+
+def q_classifier_verdict(spark, sf):
+    """The verdict on a real base probability: the classifier is fitted on
+    the labelled texts and asked only where no trust override decides."""
+    model = clf.fit(_labelled_model_text(spark, sf), "text", "label")
+    scored = pl.score_with_classifier(pl.document_content(spark, sf), model)
+    return finalize(scored.select("doc_id", *VERDICT_COLS))
 
 
 # ---------------------------------------------------------------------------
@@ -618,6 +675,12 @@ QUERIES.update({
     "stream_score": q_stream_score,
     "cache_ttl": q_cache_ttl,
     "rate_check": q_rate_check,
+    "enriched_features": q_enriched_features,
+    "enriched_verdict": q_enriched_verdict,
+    "enriched_explanation": q_enriched_explanation,
+    "enriched_details": q_enriched_details,
+    "evaluation_record": q_evaluation_record,
+    "classifier_verdict": q_classifier_verdict,
     "top_keywords": q_top_keywords,
     "extractive_summary": q_extractive_summary,
     "credibility_gap": q_credibility_gap,

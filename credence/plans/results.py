@@ -8,19 +8,23 @@ The single-process dict cache of the behaviour we reproduce becomes a table
 * upsert  = union + ``max(struct(cached_at, ...))`` per key (last write wins).
   This is a partial/final aggregation, so a key that is written very often is
   combined map-side before the shuffle instead of landing whole in one task,
-* stats   = count, min and max of ``cached_at``,
-* clear   = a new empty version.
-
-Versions are written as separate folders under the table path (a Spark job
-cannot overwrite the files it reads), inside the shared checkpoint folder by
-default, so a re-run after a lost executor re-reads finished versions.
+* stats   = number of keys, min and max of ``cached_at``,
+* clear   = an empty table.
+
+The table is an append log of parquet batches.  A batch is one folder,
+written under a name of its own; a commit that ends halfway leaves a folder
+without ``_SUCCESS``, which readers skip.  Reading takes the latest row of
+each key, so an append never rewrites what is there; ``compact`` does that
+when asked.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,9 @@ def cache_key(url: Column) -> Column:
 
 
 def lookup(requests: DataFrame, results: DataFrame, url_col: str = "url") -> DataFrame:
-    """K3 hits: requests that have a stored result (joined with it)."""
+    """K3 hits: requests that have a stored result (joined with the latest)."""
     req = requests.withColumn(KEY, cache_key(F.col(url_col)))
-    return req.join(results, KEY, "inner")
+    return req.join(latest(results), KEY, "inner")
 
 
 def misses(requests: DataFrame, results: DataFrame, url_col: str = "url") -> DataFrame:
@@ -45,78 +49,105 @@ def misses(requests: DataFrame, results: DataFrame, url_col: str = "url") -> Dat
     return req.join(results.select(KEY), KEY, "left_anti")
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row per key, the latest (ties: larger payload)."""
+    payload = [c for c in rows.columns if c not in (KEY, TS)]
+    g = rows.groupBy(KEY).agg(F.max(F.struct(F.col(TS), *[F.col(c) for c in payload])).alias("_r"))
+    return g.select(KEY, *[F.col(f"_r.{c}").alias(c) for c in payload], F.col(f"_r.{TS}").alias(TS))
+
+
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """K2: union old and new rows, keep the latest per key (ties: larger payload)."""
-    payload = [c for c in existing.columns if c not in (KEY, TS)]
-    both = existing.unionByName(new.select(*existing.columns))
-    latest = both.groupBy(KEY).agg(F.max(F.struct(F.col(TS), *[F.col(c) for c in payload])).alias("_r"))
-    return latest.select(KEY, *[F.col(f"_r.{c}").alias(c) for c in payload], F.col(f"_r.{TS}").alias(TS))
+    """K2: union old and new rows, keep the latest per key."""
+    return latest(existing.unionByName(new.select(*existing.columns)))
 
 
 def stats(results: DataFrame) -> DataFrame:
-    """K4: size, oldest and newest entry (null when empty)."""
-    return results.agg(F.count(F.lit(1)).alias("cache_size"), F.min(TS).alias("oldest_entry"),
-                       F.max(TS).alias("newest_entry"))
+    """K4: number of keys, oldest and newest entry (null when empty)."""
+    return latest(results.select(KEY, TS)).agg(
+        F.count(F.lit(1)).alias("cache_size"), F.min(TS).alias("oldest_entry"), F.max(TS).alias("newest_entry"))
 
 
 def fresh_before(results: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """X2 (batch): rows younger than ``ttl_seconds`` at ``now``."""
-    return results.where(F.col(TS) >= now - F.make_interval(secs=F.lit(ttl_seconds)))
+    return results.where(F.col(TS) >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
 class ResultTable:
-    """A versioned parquet result table under ``path``."""
+    """An append log under ``path``.  ``_commits`` lists the folders that
+    count, one small file per commit, written after its folder is complete."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hpath):
-            return []
-        out = []
-        for st in fs.listStatus(hpath):
-            m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
+    def _commits(self) -> list:
+        schema = "epoch STRING, folder STRING, clear BOOLEAN, at LONG"
+        try:
+            return sorted(self.spark.read.schema(schema).json(os.path.join(self.path, "_log")).collect(), key=lambda r: (r.at, r.folder))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return []
+            raise
+
+    def _commit(self, epoch: str, folder: str, clear: bool) -> None:
+        at = max([time.time_ns(), *(r.at + 1 for r in self._commits())])
+        row = self.spark.createDataFrame([(epoch, folder, clear, at)], "epoch STRING, folder STRING, clear BOOLEAN, at LONG")
+        row.coalesce(1).write.mode("append").json(os.path.join(self.path, "_log"))
+
+    def _folders(self) -> list[str]:
+        live: list[str] = []
+        for r in self._commits():
+            live = [r.folder] if r.clear else [*live, r.folder]
+        return live
+
+    def rows(self) -> DataFrame | None:
+        """All committed rows, older ones of a key included."""
+        live = self._folders()
+        return self.spark.read.parquet(*[os.path.join(self.path, f) for f in live]) if live else None
 
     def read(self, schema: str | None = None) -> DataFrame | None:
-        vs = self._versions()
-        if not vs:
+        rows = self.rows()
+        if rows is None:
             return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(os.path.join(self.path, f"v={vs[-1]}"))
-
-    def write(self, df: DataFrame) -> DataFrame:
-        vs = self._versions()
-        nxt = (vs[-1] + 1) if vs else 0
-        target = os.path.join(self.path, f"v={nxt}")
-        df.write.mode("errorifexists").parquet(target)
+        return latest(rows)
+
+    def append(self, new: DataFrame, epoch: str | None = None, clear: bool = False) -> DataFrame:
+        """Write a batch (one row per key) and commit it; returns the batch.
+        An ``epoch`` that is committed already is not written again."""
+        if epoch is not None:
+            done = [r.folder for r in self._commits() if r.epoch == epoch]
+            if done:
+                return self.spark.read.parquet(os.path.join(self.path, done[0]))
+        folder = f"batch-{uuid.uuid4().hex}"
+        target = os.path.join(self.path, folder)
+        latest(new).write.parquet(target)
+        self._commit(epoch or "", folder, clear)
         return self.spark.read.parquet(target)
 
     def upsert(self, new: DataFrame) -> DataFrame:
-        cur = self.read()
-        return self.write(new if cur is None else upsert(cur, new))
+        self.append(new)
+        return self.read()
+
+    def compact(self) -> DataFrame:
+        """Rewrite the log as one batch of the latest rows."""
+        rows = self.read()
+        return rows if rows is None else self.append(rows, clear=True)
 
     def clear(self, schema: str) -> DataFrame:
-        """K5: a new, empty version."""
-        return self.write(self.spark.createDataFrame([], schema))
+        """K5: an empty table."""
+        return self.append(self.spark.createDataFrame([], schema), clear=True)
 
 
-def incremental_score(table: ResultTable, pages: DataFrame, analyse_fn, columns, run_ts: Column) -> int:
+def incremental_score(table: ResultTable, pages: DataFrame, analyse_fn, columns, run_ts: Column, epoch: str | None = None) -> int:
     """One incremental run: score only the pages the table has not seen
-    (anti-join on the key), stamp them and write the next table version.
+    (anti-join on the key, before anything is extracted) and append them.
 
     ``analyse_fn(pages_subset) -> DataFrame`` must keep ``url`` and produce
-    ``columns``.  Returns the number of newly stored rows (0 on a rerun).
-    Usable as a Structured Streaming ``foreachBatch`` body as well.
+    ``columns``.  Returns the number of newly stored keys (0 on a rerun).
+    Usable as a Structured Streaming ``foreachBatch`` body as well: a batch
+    that is replayed with the same ``epoch`` is committed once.
     """
-    current = table.read()
-    todo = pages if current is None else misses(pages, current).drop(KEY)
+    stored = table.rows()
+    todo = pages if stored is None else misses(pages, stored).drop(KEY)
     scored = analyse_fn(todo).select(cache_key(F.col("url")).alias(KEY), *columns, run_ts.alias(TS))
-    new_version = table.write(scored if current is None else upsert(current, scored))
-    before = 0 if current is None else current.count()
-    return new_version.count() - before
+    return table.append(scored, epoch).count()

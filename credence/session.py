@@ -36,18 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage; we only set our own
-    (a fresh temporary folder) when it is unset, as in local tests.
+    On a cluster it must be set to shared storage: elsewhere each executor
+    would write to its own disk.  Only a ``local`` master may do without, as
+    in tests, and gets a fresh temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="credence-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - no SparkContext access (remote session)
-        pass
     return d
 
 

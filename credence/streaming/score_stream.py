@@ -30,21 +30,29 @@ def score_pages(stream: DataFrame, params: Params = CORPUS) -> DataFrame:
     return pl.analyse(pg.good_pages(pg.extract_pages(stream, params)), params)
 
 
-def page_score_stream(spark: SparkSession, source: str, params: Params = CORPUS, out: str | None = None,
-                      columns=("page_id", "url", "prediction", "confidence", "credibility_score"),
-                      max_files_per_trigger: int | None = None, file_glob: str | None = None):
-    """Start the stream over the folder ``source`` (files matching
-    ``file_glob``) with an availableNow trigger; returns (query, out)."""
-    base = os.path.join(checkpoint_dir(spark), f"stream-score-{uuid.uuid4().hex}")
-    out = out or os.path.join(base, "out")
+def pages_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The pages that arrive at ``source``: a table folder, or one parquet
+    file (a file source watches folders, so its folder is, for that name)."""
     reader = spark.readStream.schema(PAGES_SCHEMA)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    scored = score_pages(reader.parquet(source), params).select(*columns)
-    q = (scored.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+    files = spark.read.schema(PAGES_SCHEMA).parquet(source).inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith("/" + os.path.basename(source)):
+        return reader.option("pathGlobFilter", os.path.basename(source)).parquet(os.path.dirname(source))
+    return reader.parquet(source)
+
+
+def page_score_stream(spark: SparkSession, source: str, params: Params = CORPUS, out: str | None = None,
+                      columns=("page_id", "url", "prediction", "confidence", "credibility_score"),
+                      max_files_per_trigger: int | None = None, checkpoint: str | None = None):
+    """Start the stream over ``source`` with an availableNow trigger; returns
+    (query, out).  With ``out`` and ``checkpoint`` given a restart resumes
+    after the last committed batch; without them it is a run of its own
+    below the shared checkpoint folder."""
+    base = os.path.join(checkpoint_dir(spark), f"stream-score-{uuid.uuid4().hex}")
+    out, checkpoint = out or os.path.join(base, "out"), checkpoint or os.path.join(base, "_checkpoint")
+    scored = score_pages(pages_stream(spark, source, max_files_per_trigger), params).select(*columns)
+    q = (scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(out))
     return q, out
 
@@ -56,34 +64,31 @@ def dedupe_results(stream: DataFrame, key: str = "cache_key", ts: str = "cached_
 
 
 def rate_over_limit(events: DataFrame, limit: int, ts: str = "ts", client: str = "user_id",
-                    lateness: str = "1 minute") -> DataFrame:
-    """(client, minute) windows with more than ``limit`` requests."""
+                    lateness: str = "1 minute", window: str = "1 minute") -> DataFrame:
+    """(client, window) with more than ``limit`` requests."""
     if events.isStreaming:
         events = events.withWatermark(ts, lateness)
-    counts = events.groupBy(F.window(F.col(ts), "1 minute").alias("w"), F.col(client)).agg(
+    counts = events.groupBy(F.window(F.col(ts), window).alias("w"), F.col(client)).agg(
         F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > limit).select(
         F.col(client), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
 def page_result_stream(spark: SparkSession, source: str, table_path: str, params: Params = CORPUS,
-                       file_glob: str | None = None, columns=("prediction", "confidence", "credibility_score")):
+                       columns=("prediction", "confidence", "credibility_score")):
     """X1 + K2/K3 as a stream: every micro-batch of arriving pages is scored
-    only for URLs the result table has not seen, then upserted (foreachBatch
+    only for URLs the result table has not seen, then appended (foreachBatch
     with the batch ``incremental_score``).  availableNow trigger; returns the
     query.  The checkpoint makes a restarted stream resume after the last
-    committed batch."""
+    committed batch, and a replayed batch is committed once."""
     from credence.plans import results as rs
 
     table = rs.ResultTable(spark, table_path)
-    reader = spark.readStream.schema(PAGES_SCHEMA)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
 
-    def each(batch: DataFrame, _epoch: int) -> None:
+    def each(batch: DataFrame, epoch: int) -> None:
         rs.incremental_score(table, batch, lambda p: pl.analyse(pg.good_pages(pg.extract_pages(p, params)), params),
-                             list(columns), F.current_timestamp())
+                             list(columns), F.current_timestamp(), f"stream-{epoch}")
 
-    return (reader.parquet(source).writeStream.foreachBatch(each)
+    return (pages_stream(spark, source).writeStream.foreachBatch(each)
             .option("checkpointLocation", os.path.join(table_path + "_checkpoint"))
             .trigger(availableNow=True).start())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from credence.operators.features import FEATURE_TYPES, GROUPS
 from credence.params import CORPUS, DEFAULT
+from credence.plans.catalog import DAILY_LIMIT
+from credence.sources.tables import BAIT_TITLE, EMOTIONAL, LINKED
 from oracle import sql_parts as sp
 
 PLACES = 6
@@ -358,3 +360,78 @@ WHERE rk <= 10""",
   CAST(abs(a.credibility_score - b.credibility_score) AS INTEGER) AS gap
 FROM explained a JOIN explained b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# all branches: documents with derived columns
+# ---------------------------------------------------------------------------
+_TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
+ENRICHED = f"""enr AS (
+  SELECT d.doc_id,
+         CASE WHEN d.doc_id % 8 = 0 THEN coalesce(text, '') || {sp.q(LINKED)}
+              WHEN d.doc_id % 8 = 1 THEN {sp.q(EMOTIONAL)} || coalesce(text, '') ELSE coalesce(text, '') END AS text,
+         CASE d.doc_id % 7 WHEN 0 THEN {sp.q(BAIT_TITLE)} WHEN 1 THEN {_TITLE} || '!!!' ELSE {_TITLE} END AS title,
+         CASE d.doc_id % 6 WHEN 0 THEN 'www.reuters.com' WHEN 1 THEN 'infowars.com' WHEN 2 THEN 'news.bbc.co.uk'
+              WHEN 3 THEN coalesce(source, '') || '.example.net' WHEN 4 THEN 'blog.example.co' ELSE '' END AS domain,
+         CASE d.doc_id % 5 WHEN 0 THEN ['A. Writer'] WHEN 1 THEN ['A. Writer', 'B. Writer', 'C. Writer']
+              ELSE CAST([] AS VARCHAR[]) END AS authors,
+         CASE WHEN d.doc_id % 4 < 2 THEN '2024-01-15' END AS publish_date,
+         list_transform(generate_series(1, d.doc_id % 4), lambda x: 'img.png') AS images,
+         CASE WHEN d.doc_id % 9 = 0 THEN 'About ' || {_TITLE} ELSE '' END AS meta_description,
+         CASE WHEN d.doc_id % 9 < 3 THEN ['one', 'two'] ELSE CAST([] AS VARCHAR[]) END AS keywords,
+         CASE WHEN d.doc_id % 10 = 0 THEN 'A summary.' ELSE '' END AS summary,
+         CASE WHEN d.doc_id % 13 <> 0 THEN CAST(d.doc_id * 37 % 101 AS DOUBLE) / 100.0 END AS p_in,
+         CASE quality WHEN 1 THEN 'REAL' WHEN 0 THEN 'FAKE' ELSE 'UNCERTAIN' END AS label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+ENR_FEATS = [ENRICHED] + sp.feature_ctes("enr", "doc_id", DEFAULT, extra=("p_in", "label"))
+ENR_SCORED = ENR_FEATS + [sp.scored_cte("feats", "scored", base="p_in")]
+ENR_EXPL = ENR_SCORED + [sp.explained_cte("scored", "explained")]
+# the labelled evaluation's CTEs, over the enriched rows
+ENR_EVAL = ENR_EXPL + EVAL[-2:]
+_ENR_M = """m1 AS (SELECT *, CASE WHEN true_positives + false_positives = 0 THEN 0.0 ELSE true_positives * 1.0 / (true_positives + false_positives) END AS pr,
+  CASE WHEN true_positives + false_negatives = 0 THEN 0.0 ELSE true_positives * 1.0 / (true_positives + false_negatives) END AS rc FROM m)"""
+
+
+def evaluation_record_sql() -> str:
+    share = ", ".join(
+        f"(SELECT count(*) FROM details WHERE predicted_label = '{lab}') AS n_{lab.lower()}, "
+        f"(SELECT round(count(*) FILTER (WHERE predicted_label = '{lab}') * 100.0 / count(*), 6) FROM details) AS share_{lab.lower()}"
+        for lab in ("REAL", "FAKE", "UNCERTAIN"))
+    return with_ctes(ENR_EVAL + [_ENR_M], f"""SELECT valid_samples AS total_samples, valid_samples, binary_samples,
+  round({sp.ratio('correct', 'valid_samples')}, 6) AS overall_accuracy,
+  round({sp.ratio('true_positives + true_negatives', 'binary_samples')}, 6) AS binary_accuracy,
+  round(CAST(pr AS DOUBLE), 6) AS precision, round(CAST(rc AS DOUBLE), 6) AS recall,
+  round(CASE WHEN pr + rc > 0 THEN 2.0 * pr * rc / (pr + rc) ELSE 0.0 END :: DOUBLE, 6) AS f1_score,
+  true_positives, false_positives, true_negatives, false_negatives, round(avg_confidence, 6) AS avg_confidence,
+  {DEFAULT.confidence_threshold} :: DOUBLE AS confidence_threshold,
+  t.n AS timed_samples, avg_time, median_time, min_time, max_time, throughput, {share}
+FROM m1, ({SQL["latency_stats"]()}) t""")
+
+
+SQL.update({
+    "enriched_features": lambda: with_ctes(ENR_FEATS, "SELECT doc_id, " + ", ".join(
+        col(f, FEATURE_TYPES[f]) for g in GROUPS for f in GROUPS[g]) + " FROM feats"),
+    "enriched_verdict": lambda: with_ctes(ENR_SCORED, f"SELECT doc_id, {VERDICT} FROM scored"),
+    "enriched_explanation": lambda: with_ctes(ENR_EXPL, f"SELECT doc_id, {FLAT_EXPL} FROM explained"),
+    "enriched_details": lambda: with_ctes(
+        [c.replace(" FROM explained WHERE prediction <> 'ERROR'", " FROM explained") for c in ENR_EVAL[:-1]],
+        """SELECT doc_id, true_label, predicted_label, is_correct, true_positive, false_positive, true_negative, false_negative,
+  CASE WHEN predicted_label = 'ERROR' THEN 'prediction failed' END AS error FROM details"""),
+    "evaluation_record": evaluation_record_sql,
+    "quarantine": lambda: with_ctes([PC] + ENR_SCORED, f"""SELECT 'pages' AS source, page_id AS id, error FROM pc
+  WHERE error IS NOT NULL OR coalesce(text, '') = ''
+UNION ALL
+SELECT 'documents' AS source, doc_id AS id, 'text shorter than {DEFAULT.min_text_length} characters' AS error
+FROM documents WHERE length(coalesce(text, '')) < {DEFAULT.min_text_length}
+UNION ALL SELECT 'scored', doc_id, 'prediction failed' FROM scored WHERE prediction = 'ERROR'"""),
+    "cache_ttl": lambda: f"""WITH r AS (SELECT md5(url) AS cache_key, page_id, ts AS cached_at FROM pages JOIN events ON page_id = event_id),
+l AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC, page_id DESC) AS rn FROM r)
+SELECT cache_key, page_id, cached_at FROM l
+WHERE rn = 1 AND cached_at >= (SELECT max(cached_at) FROM r) - INTERVAL {DEFAULT.cache_ttl_seconds} SECOND""",
+    "rate_check": lambda: f"""SELECT user_id, date_trunc('day', ts) AS window_start,
+  date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n
+FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(*) > {DAILY_LIMIT}""",
+    "cache_stats": lambda: with_ctes(RUN1 + RUN2 + [CACHE1, MISSES], """SELECT count(*) AS cache_size, min(cached_at) AS oldest_entry,
+  max(cached_at) AS newest_entry FROM (SELECT cache_key, max(cached_at) AS cached_at FROM (
+  SELECT cache_key, cached_at FROM cache1 UNION ALL SELECT md5(url), TIMESTAMP '2024-01-02 00:00:00' FROM misses) GROUP BY cache_key)"""),
+})
