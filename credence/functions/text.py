@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # quotes/brackets.  The boundary applies to every token but the last.
 SENTENCE_END = r"""[.!?]["')\]]*$"""
 
+SENTENCE_LAST = (".", "!", "?", '"', "'", ")", "]")
+
 # The characters Python's str.split()/str.strip() treat as whitespace.  One
 # explicit class keeps Spark (Java regex) and the SQL oracle (RE2) identical.
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -58,7 +60,8 @@ def non_space_chars(text: Column) -> Column:
 
 def sentence_end_flags(ws: Column) -> Column:
     """Per token: does it close a sentence (SENTENCE_END)?"""
-    return F.transform(ws, lambda w: w.rlike(SENTENCE_END))
+    # most tokens end in a letter: look at the last character before any regex
+    return F.transform(ws, lambda w: F.right(w, F.lit(1)).isin(*SENTENCE_LAST) & w.rlike(SENTENCE_END))
 
 
 def sentence_count_from_flags(flags: Column) -> Column:
@@ -79,27 +82,6 @@ def sentence_starts_from_flags(ws: Column, flags: Column) -> Column:
     return F.array_distinct(F.filter(firsts, lambda w: w.isNotNull()))
 
 
-def sentence_boundaries(ws: Column) -> Column:
-    """Number of non-final tokens that close a sentence."""
-    n = F.size(ws)
-    return F.size(F.filter(F.slice(ws, 1, F.greatest(n - 1, F.lit(0))), lambda w: w.rlike(SENTENCE_END)))
-
-
-def sentence_count(ws: Column) -> Column:
-    """0 for no tokens, else 1 + boundaries."""
-    return F.when(F.size(ws) == 0, F.lit(0)).otherwise(sentence_boundaries(ws) + 1)
-
-
-def sentence_starts(ws: Column) -> Column:
-    """First token of every sentence (distinct)."""
-    return F.array_distinct(
-        F.filter(
-            ws,
-            lambda w, i: (i == 0) | F.element_at(ws, F.greatest(i, F.lit(1))).rlike(SENTENCE_END),
-        )
-    )
-
-
 def is_capitalised(w: Column) -> Column:
     """First character is an upper-case letter."""
     c = F.substring(w, 1, 1)

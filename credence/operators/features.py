@@ -165,6 +165,46 @@ def _flag(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0))
 
 
+def _proper_nouns(w: Column, starts: Column) -> Column:
+    """U4: capitalised words of two characters and more that start no
+    sentence.  Starts and words are sorted together, a start before its
+    words, and one fold counts the words that differ from the last start."""
+    caps = F.filter(w, lambda x: tx.is_capitalised(x) & (F.length(x) > 1))
+    both = F.sort_array(F.concat(
+        F.transform(starts, lambda x: F.struct(x.alias("w"), F.lit(0).alias("t"))),
+        F.transform(caps, lambda x: F.struct(x.alias("w"), F.lit(1).alias("t")))))
+    return F.aggregate(
+        both, F.struct(F.lit("").alias("start"), F.lit(0).alias("n")),
+        lambda a, x: F.when(x["t"] == 0, F.struct(x["w"].alias("start"), a["n"].alias("n"))).otherwise(F.struct(
+            a["start"].alias("start"), (a["n"] + F.when(x["w"] == a["start"], 0).otherwise(1)).alias("n"))),
+        lambda a: a["n"])
+
+
+def lexicon_sentiment(df: DataFrame, key: str, text_col: str, lexicon: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """N1/N2 over a lexicon table of any size: (key, polarity, subjectivity).
+
+    ``lexicon`` has ``word, polarity, subjectivity, intensity``; a repeated
+    word counts once (its largest row).  Tokens with the two before them are
+    joined on the word, which Spark broadcasts only below its size limit;
+    rows without a hit are 0.
+    """
+    lex = lexicon.where("word is not null").groupBy(F.lower("word").alias("word")).agg(
+        F.max(F.struct("polarity", "subjectivity", "intensity")).alias("v")).select(
+        "word", *[F.coalesce(F.col(f"v.{c}"), F.lit(d)).alias(c) for c, d in (("polarity", 0.0), ("subjectivity", 0.0), ("intensity", 1.0))])
+    t = df.select(F.col(key), tx.materialize(sentiment_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tk"))
+    at = lambda i: F.when(F.col("i") >= i, F.get("tk", F.col("i") - i))
+    t = t.select(key, "tk", F.posexplode_outer("tk").alias("i", "word"))
+    t = t.select(key, "word", at(1).alias("p1"), at(2).alias("p2"))
+    j = t.join(lex.where("polarity <> 0 or subjectivity <> 0").select("word", "polarity", "subjectivity"), "word", "left")
+    j = j.join(lex.where("intensity <> 1").select(F.col("word").alias("p1"), "intensity"), "p1", "left")
+    mod = F.coalesce("intensity", F.lit(1.0))
+    negs = list(params.negations)
+    neg = F.when(F.col("p1").isin(negs) | F.col("p2").isin(negs), -0.5).otherwise(1.0)
+    clamp = lambda c, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), F.coalesce(F.avg(c), F.lit(0.0))))
+    return j.groupBy(key).agg(clamp(F.col("polarity") * mod * neg, -1.0).alias("polarity"),
+                              clamp(F.when(F.col("subjectivity").isNotNull(), F.least(F.lit(1.0), F.col("subjectivity") * mod)), 0.0).alias("subjectivity"))
+
+
 def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_content: bool = True) -> DataFrame:
     """Add the feature columns of ``groups`` (default: all 7 groups, 47 columns).
 
@@ -252,9 +292,7 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
     if "structural" in groups:
         urls = F.size(F.regexp_extract_all(text, F.lit(URL_PATTERN), 0))
         quotes = tx.char_count(text, '"')
-        starts = F.col("_starts")
-        proper = F.size(F.filter(
-            w, lambda x: tx.is_capitalised(x) & (F.length(x) > 1) & ~F.array_contains(starts, x)))
+        proper = _proper_nouns(w, F.col("_starts"))
         paras = F.col("_paras")
         feats.update({
             "url_count": urls,

@@ -35,7 +35,7 @@ def with_top_terms(df: DataFrame, words_col: str, out: str = "top", k: int = 10,
     otherwise be re-evaluated for every element).
     """
     keep = [F.col(c) for c in df.columns]
-    s1 = df.select(*keep, tx.materialize(F.array_sort(terms(F.col(words_col), params))).alias("_kw_s"))
+    s1 = df.select(*keep, tx.materialize(F.sort_array(terms(F.col(words_col), params))).alias("_kw_s"))
     s, n = F.col("_kw_s"), F.size(F.col("_kw_s"))
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(idx, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
@@ -47,7 +47,7 @@ def with_top_terms(df: DataFrame, words_col: str, out: str = "top", k: int = 10,
         lambda x, j: F.struct(
             (x - F.when(j + 1 < m, F.element_at(st, F.least(j + 2, m))).otherwise(n2 + 1)).alias("neg"),
             F.element_at(F.col("_kw_s"), x).alias("term")))
-    top = F.transform(F.slice(F.array_sort(counts), 1, k),
+    top = F.transform(F.slice(F.sort_array(counts), 1, k),
                       lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("count")))
     return s2.select(*keep, top.alias(out))
 
@@ -59,19 +59,26 @@ def sentences(text: Column) -> Column:
                     lambda s: s != "")
 
 
-def extractive_summary(text: Column, top: Column, n_sentences: int = 5, params: Params = DEFAULT) -> Column:
-    """The ``n_sentences`` best sentences in text order.
+def with_summary(df: DataFrame, text_col: str, top_col: str, out: str = "summary", n_sentences: int = 5,
+                 params: Params = DEFAULT) -> DataFrame:
+    """Add ``out``, the ``n_sentences`` best sentences in text order, and
+    ``<out>_sentences``, the number of sentences.
 
-    A sentence scores the sum of the document frequencies of its top terms.
+    A sentence scores the sum of the document frequencies of its top terms;
+    ties go to the earlier one.  Frequencies and sentences are staged, so
+    that each is built once per row, not once per token.
     """
+    keep = [F.col(c) for c in df.columns]
+    top = F.col(top_col)
     freq = F.map_from_arrays(F.transform(top, lambda x: x["term"]), F.transform(top, lambda x: x["count"]))
-    sents = sentences(text)
+    s1 = df.select(*keep, tx.materialize(freq).alias("_freq"), tx.materialize(sentences(F.col(text_col))).alias("_sents"))
     scored = F.transform(
-        sents,
+        F.col("_sents"),
         lambda s, i: F.struct(
             (-F.aggregate(terms(tx.words(s), params), F.lit(0),
-                          lambda a, t: a + F.coalesce(F.element_at(freq, t), F.lit(0)))).alias("neg"),
+                          lambda a, t: a + F.coalesce(F.element_at(F.col("_freq"), t), F.lit(0)))).alias("neg"),
             i.alias("pos"), s.alias("sentence")))
-    best = F.slice(F.array_sort(scored), 1, n_sentences)
-    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("s"))))
-    return F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
+    best = F.slice(F.sort_array(scored), 1, n_sentences)
+    ordered = F.sort_array(F.transform(best, lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("s"))))
+    return s1.select(*keep, F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias(out),
+                     F.size("_sents").alias(f"{out}_sentences"))

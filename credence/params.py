@@ -121,31 +121,22 @@ ERROR_TOO_LARGE = "Content too large"
 ERROR_NO_TEXT = "No text found"
 
 # ---------------------------------------------------------------------------
-# Our own sentiment lexicon (word, polarity, subjectivity, intensity).  The
-# values are ours; no numeric parity with any external lexicon is claimed.
-# Intensity is the multiplier a word applies to the *next* sentiment word.
+# Our own small sentiment lexicon (word, polarity, subjectivity, intensity):
+# four grades of polarity, each with one value, set by us; no parity with any
+# published lexicon.  Intensity multiplies the *next* sentiment word.
 # ---------------------------------------------------------------------------
 
-DEFAULT_LEXICON = (
-    ("good", 0.7, 0.6, 1.0), ("great", 0.8, 0.75, 1.0), ("excellent", 1.0, 1.0, 1.0),
-    ("best", 1.0, 0.3, 1.0), ("better", 0.5, 0.5, 1.0), ("positive", 0.23, 0.55, 1.0),
-    ("happy", 0.8, 1.0, 1.0), ("success", 0.4, 0.3, 1.0), ("successful", 0.75, 0.95, 1.0),
-    ("strong", 0.43, 0.73, 1.0), ("important", 0.4, 1.0, 1.0), ("clear", 0.1, 0.38, 1.0),
-    ("accurate", 0.4, 0.57, 1.0), ("reliable", 0.3, 0.5, 1.0), ("safe", 0.5, 0.5, 1.0),
-    ("amazing", 0.6, 0.9, 1.0), ("incredible", 0.9, 0.9, 1.0), ("wonderful", 1.0, 1.0, 1.0),
-    ("bad", -0.7, 0.67, 1.0), ("worse", -0.4, 0.6, 1.0), ("worst", -1.0, 1.0, 1.0),
-    ("terrible", -1.0, 1.0, 1.0), ("awful", -1.0, 1.0, 1.0), ("horrible", -1.0, 1.0, 1.0),
-    ("negative", -0.3, 0.4, 1.0), ("wrong", -0.5, 0.9, 1.0), ("false", -0.4, 0.7, 1.0),
-    ("fake", -0.5, 1.0, 1.0), ("dangerous", -0.6, 0.9, 1.0), ("sad", -0.5, 1.0, 1.0),
-    ("angry", -0.5, 1.0, 1.0), ("shocking", -1.0, 1.0, 1.0), ("outrageous", -0.8, 0.9, 1.0),
-    ("horrifying", -0.9, 1.0, 1.0), ("terrifying", -0.9, 1.0, 1.0), ("disgusting", -1.0, 1.0, 1.0),
-    ("infuriating", -0.9, 1.0, 1.0), ("devastating", -0.8, 0.9, 1.0), ("bombshell", -0.3, 0.8, 1.0),
-    ("crisis", -0.4, 0.6, 1.0), ("secret", -0.1, 0.5, 1.0), ("miracle", 0.6, 0.9, 1.0),
-    ("official", 0.0, 0.1, 1.0), ("new", 0.14, 0.45, 1.0), ("old", 0.1, 0.2, 1.0),
-    ("very", 0.2, 0.3, 1.3), ("extremely", 0.0, 1.0, 1.5), ("really", 0.2, 0.2, 1.2),
-    ("so", 0.0, 0.0, 1.1), ("totally", 0.0, 0.75, 1.4), ("absolutely", 0.2, 0.9, 1.4),
-    ("highly", 0.16, 0.54, 1.3), ("quite", 0.0, 1.0, 1.1),
+_GRADES = (
+    (0.9, 0.9, """excellent best great wonderful amazing incredible"""),
+    (0.4, 0.5, """good better positive happy success successful strong important clear accurate reliable safe miracle"""),
+    (-0.4, 0.5, """bad worse negative wrong false fake dangerous sad angry crisis secret bombshell"""),
+    (-0.9, 0.9, """worst terrible awful horrible shocking outrageous horrifying terrifying disgusting infuriating devastating"""),
+    (0.0, 0.2, """official new old"""),
 )
+_INTENSIFIERS = ((1.25, """very really so highly quite"""), (1.5, """extremely totally absolutely"""))
+DEFAULT_LEXICON = tuple(
+    [(w, p, s, 1.0) for p, s, words in _GRADES for w in words.split()]
+    + [(w, 0.0, 0.0, i) for i, words in _INTENSIFIERS for w in words.split()])
 
 NEGATIONS = ("not", "no", "never", "neither", "nor", "cannot", "can't", "don't",
              "doesn't", "didn't", "isn't", "wasn't", "aren't", "weren't", "won't")
@@ -220,18 +211,3 @@ CORPUS = DEFAULT.with_domains(
     trusted=TRUSTED_DOMAINS + ("example.org",),
     unreliable=UNRELIABLE_DOMAINS + ("example.net",),
 )
-
-
-def lexicon_from_table(df, max_rows: int = 100_000) -> tuple[tuple[str, float, float, float], ...]:
-    """Read a lexicon table ``(word, polarity, subjectivity, intensity)``.
-
-    A lexicon is a bounded parameter (it becomes ``IN`` sets and map literals
-    in every task), so its size is checked before it is read: tables larger
-    than ``max_rows`` are refused instead of being pulled to the driver.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"lexicon has {n} rows, more than the {max_rows} allowed for an inlined parameter")
-    rows = df.select("word", "polarity", "subjectivity", "intensity").collect()
-    return tuple((r[0].lower(), float(r[1] or 0.0), float(r[2] or 0.0), float(r[3] or 1.0))
-                 for r in rows if r[0])

@@ -630,9 +630,8 @@ def q_top_keywords(spark, sf):
 def q_extractive_summary(spark, sf):
     d = _all_docs(spark, sf).select("doc_id", "text", tx.words(F.col("text")).alias("w"))
     d = kw.with_top_terms(d, "w")
-    s = d.select("doc_id", F.size(kw.sentences(F.col("text"))).alias("n_sentences"),
-                 kw.extractive_summary(F.col("text"), F.col("top")).alias("summary"))
-    return s.select("doc_id", "n_sentences", F.length("summary").alias("summary_length"), "summary")
+    s = kw.with_summary(d, "text", "top")
+    return s.select("doc_id", F.col("summary_sentences").alias("n_sentences"), F.length("summary").alias("summary_length"), "summary")
 
 
 def q_credibility_gap(spark, sf):

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credence.functions.text import words
+from credence.operators.keywords import with_summary, with_top_terms
 from credence.params import DEFAULT, ERROR_INVALID_URL, ERROR_NO_TEXT, ERROR_TOO_LARGE, Params
 from credence.sources.html import read_page
 
@@ -64,7 +66,7 @@ def extract_pages(pages: DataFrame, params: Params = DEFAULT, key: str = "page_i
     """One content record per page.
 
     Columns: key, url, domain, title, text, authors, publish_date,
-    meta_description, images, extraction_method, error.  Rows that fail (bad
+    meta_description, images, extraction_method, error, keywords, summary.  Rows that fail (bad
     URL, too large, no text) keep an ``error`` and empty text; a page whose
     error is known beforehand is not read.
     """
@@ -75,7 +77,7 @@ def extract_pages(pages: DataFrame, params: Params = DEFAULT, key: str = "page_i
     text = F.when(use_primary, F.col("_p.primary")).otherwise(F.col("_p.fallback"))
     err = F.coalesce(F.col("_err0"), F.when(text == "", F.lit(ERROR_NO_TEXT)))
     images = F.when(use_primary, F.col("_p.images")).otherwise(F.slice("_p.images", 1, FALLBACK_IMAGES))
-    return s2.select(
+    record = s2.select(
         F.col(key), F.col("url"), url_domain(F.col("url")).alias("domain"), F.col("_p.title").alias("title"), text.alias("text"),
         F.col("_p.authors").alias("authors"), F.col("_p.publish_date").alias("publish_date"),
         F.col("_p.meta_description").alias("meta_description"), images.alias("images"),
@@ -83,6 +85,12 @@ def extract_pages(pages: DataFrame, params: Params = DEFAULT, key: str = "page_i
          .when(use_primary, F.lit("paragraphs")).otherwise(F.lit("fallback")).alias("extraction_method"),
         err.alias("error"),
     )
+    # The primary extractor also keeps keywords and a summary
+    w = F.when(F.col("extraction_method") == "paragraphs", words(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    staged = with_summary(with_top_terms(record.withColumn("_w", w), "_w", "_top"), "text", "_top", "_summary")
+    return staged.select(
+        *[F.col(c) for c in record.columns], F.transform("_top", lambda x: x["term"]).alias("keywords"),
+        F.when(F.col("extraction_method") == "paragraphs", F.col("_summary")).otherwise(F.lit("")).alias("summary"))
 
 
 def both_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -435,3 +435,21 @@ FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(*) > {DAILY_LIM
   max(cached_at) AS newest_entry FROM (SELECT cache_key, max(cached_at) AS cached_at FROM (
   SELECT cache_key, cached_at FROM cache1 UNION ALL SELECT md5(url), TIMESTAMP '2024-01-02 00:00:00' FROM misses) GROUP BY cache_key)"""),
 })
+
+_TOP = f"""top AS (SELECT doc_id, term, cnt FROM (
+  SELECT doc_id, term, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, term) AS rk FROM (
+    SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest({TERMS}) AS term FROM ({W_ALL})) GROUP BY doc_id, term))
+  WHERE rk <= 10)"""
+_SPLIT = sp.q(r"""([.!?]["')\]]*)""" + sp.WS_CLASS + "+")
+SQL["extractive_summary"] = lambda: with_ctes([
+    _TOP,
+    f"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), {_SPLIT}, '\\1' || chr(1), 'g'), chr(1)),
+  lambda x: {sp.strip('x')}), lambda x: x <> '') AS l FROM documents)""",
+    "s AS (SELECT doc_id, unnest(l) AS sentence, unnest(generate_series(1, len(l))) AS pos FROM sent)",
+    f"t AS (SELECT doc_id, pos, unnest({sp.terms(sp.words('sentence'))}) AS term FROM s)",
+    "sc AS (SELECT t.doc_id, t.pos, sum(cnt) AS score FROM t JOIN top USING (doc_id, term) GROUP BY t.doc_id, t.pos)",
+    """r AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(score, 0) DESC, s.pos) AS rk
+  FROM s LEFT JOIN sc ON s.doc_id = sc.doc_id AND s.pos = sc.pos)""",
+    "b AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r WHERE rk <= 5 GROUP BY doc_id)"],
+    """SELECT sent.doc_id, CAST(len(l) AS INTEGER) AS n_sentences, CAST(length(coalesce(summary, '')) AS INTEGER) AS summary_length,
+  coalesce(summary, '') AS summary FROM sent LEFT JOIN b USING (doc_id)""")

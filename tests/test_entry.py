@@ -124,17 +124,21 @@ def test_external_model_plugin_and_override_skip(spark):
     assert [r[0] for r in rows.select(needs_base_model()).collect()] == [False, True]
 
 
-def test_lexicon_from_table(spark):
-    import pytest
-    from dataclasses import replace
-    from credence.params import DEFAULT, lexicon_from_table
-    from credence.operators.features import extract_features
-    lex = spark.createDataFrame([("Splendid", 0.9, 0.8, 1.0)], "word STRING, polarity DOUBLE, subjectivity DOUBLE, intensity DOUBLE")
-    p = replace(DEFAULT, lexicon=lexicon_from_table(lex))
-    out = extract_features(spark.createDataFrame([("a splendid day",)], "text STRING"), p, groups=["sentiment"]).first()
-    assert out.text_polarity == 0.9
-    with pytest.raises(ValueError):
-        lexicon_from_table(lex, max_rows=0)
+def test_lexicon_table_join(spark):
+    """The joined lexicon gives what the inlined one does, repeated words
+    and nulls included."""
+    from conftest import SF
+    from credence.operators.features import extract_features, lexicon_sentiment
+    from credence.params import DEFAULT
+    rows = [(w, p, s, i) for w, p, s, i in DEFAULT.lexicon] + [("GOOD", 0.4, 0.5, 1.0), (None, 1.0, 1.0, 1.0)]
+    lex = spark.createDataFrame(rows, "word STRING, polarity DOUBLE, subjectivity DOUBLE, intensity DOUBLE")
+    docs = spark.createDataFrame(
+        [(-1, "very good, not bad; never extremely terrible"), (-2, None), (-3, ""), (-4, "no hit"), (-5, "so new old good")], "doc_id LONG, text STRING"
+    ).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    want = {r.doc_id: (round(r.text_polarity, 9), round(r.text_subjectivity, 9))
+            for r in extract_features(docs, DEFAULT, groups=["sentiment"]).collect()}
+    got = {r.doc_id: (round(r.polarity, 9), round(r.subjectivity, 9)) for r in lexicon_sentiment(docs, "doc_id", "text", lex).collect()}
+    assert got == want and got[-1] != (0.0, 0.0)
 
 
 def test_model_runs_only_where_needed(spark):

@@ -109,5 +109,5 @@ def test_top_terms_brute_force(spark):
 def test_extractive_summary_keeps_text_order(spark):
     df = spark.createDataFrame([("Cats purr. Dogs bark loud. Cats sleep and cats eat. Birds fly.",)], "text STRING")
     d = kw.with_top_terms(df.select("text", tx.words(F.col("text")).alias("w")), "w")
-    s = d.select(kw.extractive_summary(F.col("text"), F.col("top"), n_sentences=2).alias("s")).first().s
+    s = kw.with_summary(d, "text", "top", "s", n_sentences=2).first().s
     assert s == "Cats purr. Cats sleep and cats eat."

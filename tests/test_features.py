@@ -93,9 +93,9 @@ def test_title_caps_urls_trailing(spark):
 
 def test_sentiment_negation_and_intensifier(spark):
     out = run(spark, [row(1, "This is very good"), row(2, "This is not good"), row(3, "nothing here")])
-    # "very" is itself a lexicon word (0.2) and intensifies "good" (0.7 * 1.3)
-    assert out[0]["text_polarity"] == pytest.approx((0.2 + 0.7 * 1.3) / 2)
-    assert out[1]["text_polarity"] == pytest.approx(0.7 * -0.5)
+    # "very" intensifies "good" (0.4 * 1.25)
+    assert out[0]["text_polarity"] == pytest.approx(0.4 * 1.25)
+    assert out[1]["text_polarity"] == pytest.approx(0.4 * -0.5)
     assert out[2]["text_polarity"] == 0 and out[2]["text_subjectivity"] == 0
 
 
@@ -117,7 +117,8 @@ def test_against_brute_force_on_corpus(spark):
 def test_plan_is_narrow_and_jvm_only(spark):
     """The feature projection has no Python UDF, no shuffle beyond the
     optional round-robin, and uses hash InSet lookups for word lists."""
-    content = pl.document_content(spark, SF)
+    from credence.sources import tables as tb
+    content = tb.text_intake(tb.documents(spark, SF))
     plan = extract_features(content)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "Exchange" not in plan
