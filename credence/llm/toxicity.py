@@ -2,8 +2,9 @@
 
 The models predict each byte of a word from the ``ORDER - 1`` bytes before
 it (words of letters and digits, A-Z folded, padded at the start, closed at
-the end).  At the highest order each class has its own counts, from the
-labelled documents; what they back off to is shared: Kneser-Ney continuation
+the end).  At the highest order each class has its own counts, from
+labelled documents (all, or a sample by hash of at most about ``MAX_FIT``, a
+documented bound); what they back off to is shared: Kneser-Ney continuation
 counts of the lower orders from all documents.  A rare expression, or a new
 form of one, that a class has not seen so takes the shared estimate and only
 the weight of the backoff tells the classes apart.
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 
 from credence.llm import textvec as tv
 from credence.llm.common import plain, stored
-from credence.llm.quality import held_out
+from credence.llm.quality import held_out, sample_labels
 
 ORDER = 6
 WINDOWS = (1, 3, 12)
 TABLE_BITS = 21
+MAX_FIT = 24_000
 MAX_CURVE = 6000
 FLUSH = 1_000_000
 OPEN, CLOSE = b"\x02", b"\x03"
@@ -76,7 +78,7 @@ def gather(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(gram, toxic, other, seen): counts of the highest-order n-grams in
     the labelled documents of each class and in all documents."""
     d = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    j = d.join(labels.select("doc_id", "y"), "doc_id", "left").select("y", "text")
+    j = d.join(F.broadcast(labels.select("doc_id", "y")), "doc_id", "left").select("y", "text")  # at most about MAX_FIT rows
 
     def count(batches: Iterator[pa.RecordBatch]):
         spans, held, size = tv.Spans(), [], 0
@@ -232,14 +234,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, bits: int = TABLE_BITS,
-        max_curve: int = MAX_CURVE) -> dict:
+        max_curve: int = MAX_CURVE, max_fit: int = MAX_FIT) -> dict:
     """The scorer: ratio tables and curve, of fixed size."""
     spark = docs.sparkSession
-    lab = plain(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    lab = lab.filter("doc_id is not null and y is not null").filter(~held_out(folds=4, held=2) if allowed is None else allowed)
-    lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
+    lab = sample_labels(labels, label, ~held_out(folds=4, held=2) if allowed is None else allowed, max_fit)
+    lab = stored(lab.withColumn("y", (F.col("y") > 0).cast("int")))
     n = lab.count()
-    # the curve's documents: a third of the labelled, at most about max_curve
+    # the curve's documents: a third of the sample, at most about max_curve
     part = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 30)) < int(min(1 / 3, max_curve / max(1, n)) * (1 << 30))
     grams = stored(gather(docs, lab.filter(~part)))
     table = ratio_table(grams, bits).toArrow()  # at most 2 * 2**bits rows
