@@ -75,23 +75,27 @@ def chosen_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
         F.col("score").alias("total"))
     s = stored(s)
     most = s.groupBy("ck").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    jumps, reach = [s.select("ck", "node", "up")], 1
-    while reach < most and not s.filter("up is not null").isEmpty():
-        a = s.select(F.col("ck").alias("k2"), F.col("node").alias("n2"), F.col("up").alias("up2"),
-                     F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        s = stored(s.join(a, (F.col("ck") == F.col("k2")) & (F.col("up") == F.col("n2")), "left").select(
-            "ck", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")))
-        jumps.append(s.select("ck", "node", "up"))
+    # nodes that have reached their root are done; only the others are joined on
+    rooted, open_ = s.filter("up is null"), s.filter("up is not null")
+    jumps, reach = [], 1
+    while not open_.isEmpty():
+        jumps.append(open_.select("ck", "node", "up"))
+        if reach >= most:
+            break  # what is left hangs on a cycle
+        a = rooted.unionByName(open_).select(F.col("ck").alias("k2"), F.col("node").alias("n2"), F.col("up").alias("up2"),
+                                             F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        s = stored(open_.join(a, (F.col("ck") == F.col("k2")) & (F.col("up") == F.col("n2"))).select(
+            "ck", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+            (F.col("total") + F.col("t2")).alias("total")))
+        rooted, open_ = rooted.unionByName(s.filter("up is null")), s.filter("up is not null")
         reach *= 2
-    rooted = s.filter("up is null")  # what is left over hangs on a cycle
     parents = links.filter("parent is not null").select(F.col("ck"), F.col("parent").alias("node")).distinct()
     leaves = rooted.join(parents, ["ck", "node"], "left_anti")
     w = W.partitionBy("ck").orderBy(F.col("total").desc(), "node")
     best = leaves.withColumn("path_rank", F.row_number().over(w)).filter(F.col("path_rank") <= keep)
     path = best.select("ck", F.col("node").alias("leaf"), "path_rank", "node")
     for j in jumps:
-        up = path.join(j, ["ck", "node"]).filter("up is not null").select("ck", "leaf", "path_rank", F.col("up").alias("node"))
+        up = path.join(j, ["ck", "node"]).select("ck", "leaf", "path_rank", F.col("up").alias("node"))
         path = stored(path.unionByName(up))
     return path.join(rooted.select("ck", "node", "depth"), ["ck", "node"])
 
