@@ -30,7 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared scratch folder and read back, which cuts
-    its lineage: a lost executor costs a re-read, not a re-run."""
+    its lineage: a lost executor costs a re-read, not a re-run.  The folders
+    (``llm-*``) stay until whoever owns the scratch folder clears it."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)

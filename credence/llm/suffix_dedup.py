@@ -127,7 +127,9 @@ def cut_regions(rows: DataFrame, length: int, widest: int) -> DataFrame:
                 for r in runs:
                     part = text[r["p"]:r["p"] + r["n"] - 1 + length]
                     seen[r["sub"], part] = times = seen.get((r["sub"], part), 0) + 1
-                    out.append((r["sub"], part if times < 3 else b"", key, r["p"], r["n"], r["off"], 0, widest))
+                    # a copy without bytes meets nobody: any task will do
+                    sub = r["sub"] if times < 3 else int.from_bytes(key[:7], "little") ^ r["p"] * 0x9E3779B1
+                    out.append((sub, part if times < 3 else b"", key, r["p"], r["n"], r["off"], 0, widest))
                 if len(out) > 20_000:
                     yield _batch(out)
                     out = []
