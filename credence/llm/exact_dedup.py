@@ -93,7 +93,8 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     d = stored(name_documents(docs, block_bytes))
-    g = d.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written, so that the join back is one of two plain scans, whose skewed keys Spark splits
+    g = stored(d.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     j = d.join(g, ["n", "name"])
     j = j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return j.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
