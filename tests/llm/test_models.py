@@ -251,3 +251,48 @@ def test_passages_against_brute_force(spark):
             own = [tuple(toks[d][i:i + 5]) for i in range(s.first_word, s.end_word - 4)]
             shared = [sum(x in sets[o] for x in own) for o in set().union(*(where[x] for x in own)) - {d}]
             assert len(own) >= passages.WIDTH - 5 and shared and max(shared) >= 0.5 * len(own)
+
+
+def classes_brute(rows, verify_all):
+    """Class of each text from all pairs, or from all candidates of the windows."""
+    spans, n = tv.Spans(), len(rows)
+    sh = [passages.shingles(t.encode(), passages.SHINGLE, spans) for _, t in rows]
+    at = [(d, k, x, y) for d, k, _, x, y, _ in zip(*map(np.concatenate, zip(*passages.text_windows(
+        [t.encode() for _, t in rows], passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE, spans))))]
+    near = {(i, j) for i in range(n) for j in range(i)} if verify_all else {
+        (max(d, e), min(d, e)) for d, k, x, y in at for e, m, u, v in at if k == m and d != e and min(x, u) + min(y, v) + 1 >= passages.WIDTH}
+    root = list(range(n))
+    for i, j in sorted(near):
+        if root[i] != root[j] and passages.verify(sh[i], sh[j], passages.WIDTH, passages.SIMILARITY):
+            root = [root[j] if r == root[i] else r for r in root]
+    ids = [i for i, _ in rows]
+    return {ids[i]: min(ids[k] for k in range(n) if root[k] == root[i]) for i in range(n) if root.count(root[i]) > 1}
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK, 7])
+def test_families_against_brute_force(spark, block):
+    """Copies unlike their group's head, and passages around a phrase that many texts hold."""
+    import random
+    r = random.Random(4)
+    edited = []
+    for f in range(6):
+        p = prose(500 + f, 55).split()
+        for i in range(14):
+            w = list(p)
+            for at in r.sample(range(55), 2):
+                w[at] = f"edit{f}x{i}x{at}"
+            edited.append((100 * f + i, prose(2000 + 50 * f + i, 30 + i) + " " + " ".join(w) + " " + prose(4000 + 50 * f + i, 30)))
+    phrase = prose(600, 40)
+    common = [(1000 + 2 * i + k, prose(6000 + 2 * i + k, 25 + (3 * i + 7 * k) % 20) + " " + prose(7000 + i, 8) + " " + phrase + " " + prose(8000 + i, 8) + " " + prose(9000 + 2 * i + k, 30))
+              for i in range(20) for k in range(2)]
+    for rows, verify_all in ((edited, False), (common, True)):
+        docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+        got = {x.doc_id: x.class_id for x in passages.shared_passages(docs, block=block).collect()}
+        assert got == classes_brute(rows, verify_all)
+
+
+def test_all_places_of_a_key():
+    doc = np.zeros(4, np.int64)
+    key, ctx = np.array([5, 5, 5, 5]), np.array([1, 1, 1, 2])
+    kept = passages.widest(doc, key, ctx, np.array([30, 20, 10, 0]), np.array([10, 20, 15, 9]))
+    assert sorted(kept.tolist()) == [0, 1, 3]
