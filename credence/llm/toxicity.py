@@ -2,10 +2,10 @@
 
 The models predict each byte of a word from the ``ORDER - 1`` bytes before
 it (words of letters and digits, A-Z folded, padded at the start, closed at
-the end).  At the highest order each class has its own counts, from
-labelled documents (all, or a sample by hash of at most about ``MAX_FIT``, a
-documented bound); what they back off to is shared: Kneser-Ney continuation
-counts of the lower orders from all documents.  A rare expression, or a new
+the end).  At the highest order each class has its own counts, from all
+labelled documents but the curve's: the labels are broadcast in blocks of
+about ``BLOCK_LABELS``, one counting scan each, so that no text is shuffled.
+What the classes back off to is shared: Kneser-Ney continuation counts of the lower orders from all documents.  A rare expression, or a new
 form of one, that a class has not seen so takes the shared estimate and only
 the weight of the backoff tells the classes apart.
 
@@ -29,6 +29,7 @@ whole; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ from pyspark.sql import functions as F
 
 from credence.llm import textvec as tv
 from credence.llm.common import plain, stored
-from credence.llm.quality import held_out, sample_labels
+from credence.llm.quality import held_out
 
 ORDER = 6
 WINDOWS = (1, 3, 12)
 TABLE_BITS = 21
-MAX_FIT = 24_000
+BLOCK_LABELS = 1 << 20
 MAX_CURVE = 6000
 FLUSH = 1_000_000
 OPEN, CLOSE = b"\x02", b"\x03"
@@ -74,13 +75,13 @@ def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.stack([np.bincount(inv, weights=c, minlength=len(u)) for c in counts])
 
 
-def gather(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def gather(docs: DataFrame, labels: DataFrame, block: int = BLOCK_LABELS) -> DataFrame:
     """(gram, toxic, other, seen): counts of the highest-order n-grams in
     the labelled documents of each class and in all documents."""
     d = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    j = d.join(F.broadcast(labels.select("doc_id", "y")), "doc_id", "left").select("y", "text")  # at most about MAX_FIT rows
+    blocks = max(1, -(-labels.count() // block))
 
-    def count(batches: Iterator[pa.RecordBatch]):
+    def count(batches: Iterator[pa.RecordBatch], everything: bool):
         spans, held, size = tv.Spans(), [], 0
         for b in batches:
             y = b.column("y").fill_null(-1).to_numpy(zero_copy_only=False)
@@ -89,7 +90,7 @@ def gather(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if not len(start):
                     continue
                 cls = y[lo:hi][tv.owners(start, at)]
-                by = [np.bincount(which[m], minlength=which.max() + 1) for m in (cls == 1, cls == 0, slice(None))]
+                by = [np.bincount(which[m], minlength=which.max() + 1) for m in (cls == 1, cls == 0, slice(None) if everything else slice(0))]
                 held.append(merge(g, np.stack([c[own] for c in by])))
                 size += len(held[-1][0])
                 if size > FLUSH:
@@ -104,7 +105,13 @@ def gather(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def rows(k, c):
         return pa.RecordBatch.from_arrays([pa.array(k)] + [pa.array(x.astype(np.int64)) for x in c], ["gram", "toxic", "other", "seen"])
 
-    parts = j.mapInArrow(count, "gram long, toxic long, other long, seen long")
+    # the first scan counts all documents, the others their block's
+    parts = None
+    for i in range(blocks):
+        part = labels.select("doc_id", "y").filter(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)) == i)
+        j = d.join(F.broadcast(part), "doc_id", "left" if i == 0 else "inner").select("y", "text")  # at most about a block
+        one = j.mapInArrow(partial(count, everything=i == 0), "gram long, toxic long, other long, seen long")
+        parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "seen")])
 
 
@@ -234,15 +241,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, bits: int = TABLE_BITS,
-        max_curve: int = MAX_CURVE, max_fit: int = MAX_FIT) -> dict:
+        max_curve: int = MAX_CURVE, block: int = BLOCK_LABELS) -> dict:
     """The scorer: ratio tables and curve, of fixed size."""
     spark = docs.sparkSession
-    lab = sample_labels(labels, label, ~held_out(folds=4, held=2) if allowed is None else allowed, max_fit)
-    lab = stored(lab.withColumn("y", (F.col("y") > 0).cast("int")))
+    lab = plain(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    lab = lab.filter("doc_id is not null and y is not null").filter(~held_out(folds=4, held=2) if allowed is None else allowed)
+    lab = stored(lab.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y")))
     n = lab.count()
-    # the curve's documents: a third of the sample, at most about max_curve
+    # the curve's documents: a third of the labelled, at most about max_curve
     part = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 30)) < int(min(1 / 3, max_curve / max(1, n)) * (1 << 30))
-    grams = stored(gather(docs, lab.filter(~part)))
+    grams = stored(gather(docs, lab.filter(~part), block))
     table = ratio_table(grams, bits).toArrow()  # at most 2 * 2**bits rows
     ratios = Ratios(table, bits)
     shared = spark.sparkContext.broadcast(ratios)

@@ -109,6 +109,16 @@ def test_kneser_ney_against_brute_force(spark):
     assert toxicity._slots(keys, 21).tolist() == want
 
 
+def test_class_counts_of_all_labels(spark):
+    """Blocks of labels count as one: each labelled document once, none left out."""
+    from pyspark.sql import functions as F
+    docs, labels = labelled(spark, "toxic", 60)
+    lab = labels.select("doc_id", F.col("toxic").alias("y"))
+    key = lambda block: {r.gram: tuple(r) for r in toxicity.gather(docs, lab, block).collect()}
+    got = key(7)
+    assert got == key(1000) and all(r[1] + r[2] == r[3] for r in got.values())
+
+
 # -- 4 ------------------------------------------------------------------------
 
 def sw_brute(a, b):
