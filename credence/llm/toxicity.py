@@ -15,9 +15,9 @@ words; a logistic curve, fitted on labelled documents that the counts leave
 out (at most about ``MAX_CURVE`` of them), makes it a score.
 
 Counts are combined in each task, shuffled by n-gram and joined order by
-order.  The scorer is a table of fixed size (``2**TABLE_BITS`` entries; where
-two n-grams meet in one entry the more frequent stays, the other takes its
-context's backoff weight).
+order.  The scorer is the table of every n-gram and context that a class has
+seen, sorted and broadcast whole: its size grows with the labelled texts'
+distinct n-grams.
 
 Defined cases: null and empty texts have no evidence; a null label is no
 label; without labels of both classes the score is the share of label 1
@@ -143,10 +143,10 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return p
 
 
-def ratio_table(grams: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """(slot, tag, value, kind): kind 0: log ratio of the class models for an
+def ratio_table(grams: DataFrame) -> DataFrame:
+    """(kind, key, value): kind 0: log ratio of the class models for an
     n-gram that a class has seen; kind 1: log ratio of the backoff weights of
-    a context.  At most ``2**bits`` rows of each kind."""
+    a context."""
     seen = grams.filter("toxic + other > 0").withColumn("ctx", F.shiftright("gram", 8))
     sums = stored(seen.groupBy("ctx").agg(*[f(c) for c in ("toxic", "other") for f in (
         lambda c: F.sum(c).alias(f"{c}_n"), lambda c: F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_kinds"))]))
@@ -159,13 +159,9 @@ def ratio_table(grams: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
         return own + weight[c] * F.col("p")
 
     low = seen.join(sums, "ctx").withColumn("g", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).join(p, "g")
-    a = low.select(F.col("gram").alias("key"), F.log(prob("toxic") / prob("other")).alias("value"), (F.col("toxic") + F.col("other")).alias("n"), F.lit(0).alias("kind"))
-    b = sums.select(F.col("ctx").alias("key"), F.log(weight["toxic"] / weight["other"]).alias("value"),
-                    (F.col("toxic_n") + F.col("other_n")).alias("n"), F.lit(1).alias("kind"))
-    u = a.unionByName(b).withColumn("h", F.xxhash64("key"))
-    u = u.select("kind", F.pmod("h", F.lit(1 << bits)).cast("int").alias("slot"),
-                 F.struct("n", "key", F.col("value").cast("float").alias("value")).alias("e"))
-    return u.groupBy("kind", "slot").agg(F.max("e").alias("e")).select("kind", "slot", "e.key", "e.value")
+    a = low.select(F.col("gram").alias("key"), F.log(prob("toxic") / prob("other")).alias("value"), F.lit(0).alias("kind"))
+    b = sums.select(F.col("ctx").alias("key"), F.log(weight["toxic"] / weight["other"]).alias("value"), F.lit(1).alias("kind"))
+    return a.unionByName(b).select("kind", "key", F.col("value").cast("float").alias("value"))
 
 
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -182,21 +178,41 @@ def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Ratios:
-    """The scorer's tables, of fixed size."""
+    """The scorer's tables: a slot holds one key, its others are searched in
+    a sorted rest."""
 
     def __init__(self, table, bits: int):
         self.bits = bits
         self.keys = np.full((2, 1 << bits), -1, dtype=np.int64)
         self.values = np.zeros((2, 1 << bits), dtype=np.float32)
-        kind, slot = table.column("kind").to_numpy(), table.column("slot").to_numpy()
-        self.keys[kind, slot] = table.column("key").to_numpy()
-        self.values[kind, slot] = table.column("value").to_numpy()
+        self.rest = []
+        kinds = table.column("kind").to_numpy()
+        for kind in (0, 1):
+            key, value = (table.column(c).to_numpy()[kinds == kind] for c in ("key", "value"))
+            o = np.argsort(key)
+            key, value = key[o], value[o]
+            slot = _slots(key, bits)
+            self.keys[kind, slot] = key
+            self.values[kind, slot] = value
+            # the key that stayed in the slot brings its own value
+            kept = self.keys[kind, slot] == key
+            self.values[kind, slot[kept]] = value[kept]
+            self.rest.append((key[~kept], value[~kept]))
+
+    def find(self, kind: int, g: np.ndarray, other: np.ndarray) -> np.ndarray:
+        s = _slots(g, self.bits)
+        hit = self.keys[kind][s] == g
+        out = np.where(hit, self.values[kind][s], other)
+        key, value = self.rest[kind]
+        if len(key):
+            miss = np.flatnonzero(~hit)
+            at = np.minimum(np.searchsorted(key, g[miss]), len(key) - 1)
+            true = key[at] == g[miss]
+            out[miss[true]] = value[at[true]]
+        return out
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
-        ctx = g >> 8
-        s, t = _slots(g, self.bits), _slots(ctx, self.bits)
-        back = np.where(self.keys[1][t] == ctx, self.values[1][t], np.float32(0))
-        return np.where(self.keys[0][s] == g, self.values[0][s], back)
+        return self.find(0, g, self.find(1, g >> 8, np.zeros(len(g), np.float32)))
 
 
 def evidence(texts: list, ratios: Ratios, spans: tv.Spans) -> np.ndarray:
@@ -242,7 +258,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None, bits: int = TABLE_BITS,
         max_curve: int = MAX_CURVE, block: int = BLOCK_LABELS) -> dict:
-    """The scorer: ratio tables and curve, of fixed size."""
+    """The scorer: ratio tables and curve."""
     spark = docs.sparkSession
     lab = plain(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     lab = lab.filter("doc_id is not null and y is not null").filter(~held_out(folds=4, held=2) if allowed is None else allowed)
@@ -251,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed=None,
     # the curve's documents: a third of the labelled, at most about max_curve
     part = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 30)) < int(min(1 / 3, max_curve / max(1, n)) * (1 << 30))
     grams = stored(gather(docs, lab.filter(~part), block))
-    table = ratio_table(grams, bits).toArrow()  # at most 2 * 2**bits rows
+    table = ratio_table(grams).toArrow()  # every n-gram and context of the labelled texts
     ratios = Ratios(table, bits)
     shared = spark.sparkContext.broadcast(ratios)
 

@@ -119,6 +119,16 @@ def test_class_counts_of_all_labels(spark):
     assert got == key(1000) and all(r[1] + r[2] == r[3] for r in got.values())
 
 
+def test_no_ngram_is_evicted():
+    """Many keys for each slot: every one keeps its value."""
+    import pyarrow as pa
+    key = np.arange(500, dtype=np.int64) * 7919 + 300
+    kind = np.repeat([0, 1], 250)
+    value = np.arange(500).astype(np.float32)
+    r = toxicity.Ratios(pa.table({"kind": kind, "key": key, "value": value, "slot": toxicity._slots(key, 4)}), 4)
+    assert (r(key[:250]) == value[:250]).all() and (r(key[250:] << 8) == value[250:]).all()
+
+
 # -- 4 ------------------------------------------------------------------------
 
 def sw_brute(a, b):
