@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from credence.llm import chat, decontaminate, exact_dedup, packing, passages, quality, simhash, suffix_dedup, toxicity, url_rules
+from credence.llm import (chat, decontaminate, exact_dedup, hard_negatives, packing, passages, periodic, quality, secret_scan, simhash,
+                          suffix_dedup, toxicity, url_rules)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_url_filter(spark, sf):
     return url_rules.judge(table(spark, sf, "pages"))
 
 
+def op11_hard_negatives(spark, sf):
+    return hard_negatives.mine(table(spark, sf, "embeddings"), noise=7)
+
+
+def op12_periodic(spark, sf):
+    return periodic.digests(periodic.periodic_runs(periodic.with_loops(table(spark, sf, "documents"))))
+
+
+def op13_secrets(spark, sf):
+    return secret_scan.secrets(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
@@ -69,6 +82,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic": op12_periodic,
+    "op13_secrets": op13_secrets,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,5 +139,28 @@ FROM j
 
 SQL["op10_url_filter"] = _op10_sql()
 
+SQL["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+   AND 100 * s.score >= 30 * positive_score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+"""
+
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
