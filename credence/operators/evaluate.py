@@ -3,18 +3,21 @@
 Everything here is an aggregation: per-row flags are narrow columns, metrics
 are one global aggregate (partial per task, one tiny final merge), and the
 per-label summaries are ``groupBy`` on a 3-valued key with map-side combine.
-The exact median never gathers the values: it counts distinct values, splits
-them into ranges and forms running sums within each range.
+The exact median never sorts the values: rounds of exact counts around a
+sketch's cuts narrow the part that holds the middle.  Numbering deals the rows
+into as many ranges as their number asks for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.functions.text import materialize
 from credence.operators.features import ALL_FEATURES
 from credence.params import CONFIDENCE_THRESHOLD
+from credence.session import stored
 
 LABELS = ("REAL", "FAKE", "UNCERTAIN")
 
@@ -141,46 +144,38 @@ def tolerant_accuracy(details: DataFrame) -> DataFrame:
                     "false_positives", "false_negatives")
 
 
-#: parts of a global order: numbering and the median split the values into so many ranges
-RANGES = 256
-
-
-def range_bounds(df: DataFrame, col: str) -> Column:
-    """Up to ``RANGES - 1`` values that cut ``col`` into ranges of about equal
-    size, as a scalar subquery: one row, evaluated when the query runs."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    return df.select(F.array_distinct(F.percentile_approx(col, shares, 10_000)).alias("b")).scalar()
-
+#: rows of one range in a global order; the number of ranges follows the rows
+ROWS_PER_RANGE = 1_000_000
 
-def with_range(df: DataFrame, col: str, bounds: Column, name: str) -> DataFrame:
-    """Add the range of a value: a function of the value alone, so every
-    branch of a plan and every repeated task agrees.  Null comes first."""
-    value = F.col(col)
-    below = F.size(F.filter(F.col("_bounds"), lambda b: b < value))
-    range_ = F.when(value.isNull() | F.col("_bounds").isNull(), F.lit(-1)).otherwise(below)
-    return df.withColumn("_bounds", materialize(bounds)).withColumn(name, range_).drop("_bounds")
 
+def numbered(df: DataFrame, order_col: str, name: str = "sample_id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """1..n in ``order_col`` order (null first, ties in any order).
 
-def numbered(df: DataFrame, order_col: str, name: str = "sample_id", bounds_from: DataFrame | None = None) -> DataFrame:
-    """1..n in ``order_col`` order without a single-partition window.
-
-    Each row carries the range its value falls in, computed from the value;
-    rows are ranked within their range and shifted by the number of rows in
-    the ranges before.  ``bounds_from`` may be a cheaper table with the same
-    values to take the bounds from; they only set how even the ranges are.
+    The rows are written once, so that whatever made them runs once, and
+    dealt into ranges of about ``rows_per_range`` rows.  The range bounds are
+    drawn from the value together with a row id, so a value that very many
+    rows share is cut into several ranges as well.  Each row's place in its
+    range is taken while the sorted range is written; the ranges' sizes (one
+    row per range) then give the offsets.  No window holds rows, only sizes.
     """
-    bounds = range_bounds(df if bounds_from is None else bounds_from, order_col)
-    ranged = with_range(df, order_col, bounds, "_range")
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES + 1 rows
+    rows = stored(df.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    ranges = max(1, math.ceil(rows.count() / rows_per_range))
+    placed = rows.repartitionByRange(ranges, F.col(order_col).asc_nulls_first(), "_uid").sortWithinPartitions(
+        F.col(order_col).asc_nulls_first(), "_uid")
+    # after the sort, the id counts a partition's rows in order: its upper bits are the partition, the lower 33 the place
+    at = F.monotonically_increasing_id()
+    placed = placed.select(*df.columns, at.alias("_at"))
+    placed = stored(placed.select(*df.columns, F.shiftright("_at", 33).cast("int").alias("_range"),
+                                  F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place")), "numbered")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(order_col)))
-    out = ranked.join(F.broadcast(offsets), "_range")
-    return out.select(*df.columns, (F.col("_before") + F.col("_rank")).alias(name))
+    out = placed.join(F.broadcast(offsets), "_range")  # a row per million rows
+    return out.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
-def report(details: DataFrame, key: str = "doc_id", keys_from: DataFrame | None = None) -> DataFrame:
+def report(details: DataFrame, key: str = "doc_id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Display columns of the per-sample report."""
-    n = numbered(details.where(F.col("error").isNull()), key, bounds_from=keys_from)
+    n = numbered(details.where(F.col("error").isNull()), key, rows_per_range=rows_per_range)
     return n.select(
         "sample_id", F.col(key),
         F.when(F.col("is_correct"), F.lit("✓")).otherwise(F.lit("✗")).alias("status"),
@@ -194,37 +189,74 @@ def report(details: DataFrame, key: str = "doc_id", keys_from: DataFrame | None
 
 
 # ---------------------------------------------------------------------------
-# V8: latency statistics with an exact, distributed median
+# V8: latency statistics with an exact median by distributed selection
 # ---------------------------------------------------------------------------
 
-def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """One row, ``median_time``: the exact median (null without values).
+#: values that may be collected to end a selection
+FEW = 10_000
+#: distances from the middle, as shares of the ranks, at which a round cuts
+CUTS = (0.0, 0.0005, 0.005, 0.05, 0.25)
+
+
+def select_rank(values: DataFrame, rank: int, n: int, few: int = FEW) -> float:
+    """The value of 0-based ``rank`` among the ``n`` values ``v`` (not null).
 
-    Equal values are one row with a count from the first aggregate on, so a
-    value that many rows share costs nothing.  The distinct values fall into
-    ranges; the counts per range (at most ``RANGES`` rows) tell which range
-    holds the middle, and only running sums within ranges are formed.
+    Distributed selection: a sketch proposes cuts, which are values of the
+    table, close to the rank and farther away; one aggregate counts exactly
+    what lies below and at each cut; the part between two cuts that holds the
+    rank is kept and written, and the next round works on that part alone.
+    A round leaves about a thousandth of the values and always drops the cuts
+    themselves, so equal values end it at once.  The last ``few`` values are
+    looked at one by one.  No window and no sort of the values.
     """
+    low = high = None  # open ends of the part that is kept
+    while n > few:
+        shares = sorted({min(1.0, max(0.0, (rank + 0.5) / n + sign * c)) for c in CUTS for sign in (-1, 1)})
+        cuts = sorted(set(values.agg(F.percentile_approx("v", shares, 10_000).alias("c")).first().c), key=_order)
+        counts = values.agg(*[F.count(F.when(F.col("v") < c, 1)).alias(f"b{i}") for i, c in enumerate(cuts)],
+                            *[F.count(F.when(F.col("v") <= c, 1)).alias(f"t{i}") for i, c in enumerate(cuts)]).first()
+        low, high, below, upto = None, None, 0, n
+        for i, c in enumerate(cuts):
+            if counts[f"b{i}"] <= rank < counts[f"t{i}"]:
+                return c
+            if counts[f"t{i}"] <= rank:
+                low, below = c, counts[f"t{i}"]
+            else:
+                high, upto = c, counts[f"b{i}"]
+                break
+        if low is not None:
+            values = values.where(F.col("v") > low)
+        if high is not None:
+            values = values.where(F.col("v") < high)
+        values, rank, n = stored(values, "selection"), rank - below, upto - below
+    return sorted((r.v for r in values.collect()), key=_order)[rank]
+
+
+def _order(v: float) -> tuple:
+    return (v != v, v)  # NaN last, as Spark has it
+
+
+def exact_median(df: DataFrame, col: str, few: int = FEW) -> DataFrame:
+    """One row, ``median_time``: the exact median, the mean of the middle two
+    (null without values).  See :func:`select_rank`."""
     values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    counts = with_range(counts, "v", range_bounds(values, "v"), "r")
-    sums = counts.groupBy("r").agg(F.sum("n").alias("m"))
-    before = sums.select("r", (F.sum("m").over(Window.orderBy("r")) - F.col("m")).alias("before"),
-                         F.sum("m").over(Window.partitionBy()).alias("total"))
-    run = counts.select("v", "n", "r", F.sum("n").over(Window.partitionBy("r").orderBy("v")).alias("run"))
-    j = run.join(F.broadcast(before), "r").select(
-        "v", (F.col("before") + F.col("run") - F.col("n")).alias("lo"), (F.col("before") + F.col("run")).alias("hi"), "total")
-    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # 0-based ranks of the middle
-    return j.agg(((F.max(F.when((F.col("lo") <= first) & (first < F.col("hi")), F.col("v")))
-                   + F.max(F.when((F.col("lo") <= second) & (second < F.col("hi")), F.col("v")))) / 2.0).alias("median_time"))
+    n = values.count()
+    median = None
+    if n:
+        first = second = select_rank(values, (n - 1) // 2, n, few)
+        if n % 2 == 0:
+            upto = values.agg(F.count(F.when(F.col("v") <= first, 1)).alias("n"),
+                              F.min(F.when(F.col("v") > first, F.col("v"))).alias("next")).first()
+            second = first if upto.n > n // 2 else upto.next
+        median = (first + second) / 2.0
+    return df.sparkSession.createDataFrame([(median,)], "median_time double")
 
 
 def latency_stats(times: DataFrame, col: str = "value") -> DataFrame:
-    """V8: mean, median, min, max and throughput (1/mean, 0 when mean is 0).
-    One plan; nothing runs while it is built."""
+    """V8: mean, median, min, max and throughput (1/mean, 0 when mean is 0)."""
     agg = times.agg(F.avg(col).alias("avg_time"), F.min(col).alias("min_time"), F.max(col).alias("max_time"),
                     F.count(col).alias("n"))
-    median = exact_median(times, col).scalar()
+    median = F.lit(exact_median(times, col).first().median_time).cast("double")
     return agg.select(
         "n",
         F.coalesce(F.col("avg_time"), F.lit(0.0)).alias("avg_time"),

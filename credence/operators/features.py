@@ -185,24 +185,27 @@ def lexicon_sentiment(df: DataFrame, key: str, text_col: str, lexicon: DataFrame
 
     ``lexicon`` has ``word, polarity, subjectivity, intensity``; a repeated
     word counts once (its largest row).  Tokens with the two before them are
-    joined on the word, which Spark broadcasts only below its size limit;
-    rows without a hit are 0.
+    joined on the word, which Spark broadcasts only below its size limit; only
+    hits go on to the second join and the sums.  Rows without a hit are 0.
     """
     lex = lexicon.where("word is not null").groupBy(F.lower("word").alias("word")).agg(
         F.max(F.struct("polarity", "subjectivity", "intensity")).alias("v")).select(
         "word", *[F.coalesce(F.col(f"v.{c}"), F.lit(d)).alias(c) for c, d in (("polarity", 0.0), ("subjectivity", 0.0), ("intensity", 1.0))])
     t = df.select(F.col(key), tx.materialize(sentiment_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tk"))
     at = lambda i: F.when(F.col("i") >= i, F.get("tk", F.col("i") - i))
-    t = t.select(key, "tk", F.posexplode_outer("tk").alias("i", "word"))
+    t = t.select(key, "tk", F.posexplode("tk").alias("i", "word"))
     t = t.select(key, "word", at(1).alias("p1"), at(2).alias("p2"))
-    j = t.join(lex.where("polarity <> 0 or subjectivity <> 0").select("word", "polarity", "subjectivity"), "word", "left")
+    j = t.join(lex.where("polarity <> 0 or subjectivity <> 0").select("word", "polarity", "subjectivity"), "word")
     j = j.join(lex.where("intensity <> 1").select(F.col("word").alias("p1"), "intensity"), "p1", "left")
     mod = F.coalesce("intensity", F.lit(1.0))
     negs = list(params.negations)
     neg = F.when(F.col("p1").isin(negs) | F.col("p2").isin(negs), -0.5).otherwise(1.0)
     clamp = lambda c, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), F.coalesce(F.avg(c), F.lit(0.0))))
-    return j.groupBy(key).agg(clamp(F.col("polarity") * mod * neg, -1.0).alias("polarity"),
-                              clamp(F.when(F.col("subjectivity").isNotNull(), F.least(F.lit(1.0), F.col("subjectivity") * mod)), 0.0).alias("subjectivity"))
+    hits = j.groupBy(key).agg(clamp(F.col("polarity") * mod * neg, -1.0).alias("polarity"),
+                              clamp(F.least(F.lit(1.0), F.col("subjectivity") * mod), 0.0).alias("subjectivity"))
+    none = F.lit(0.0)
+    return df.select(key).distinct().join(hits, key, "left").select(
+        key, F.coalesce("polarity", none).alias("polarity"), F.coalesce("subjectivity", none).alias("subjectivity"))
 
 
 def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_content: bool = True) -> DataFrame:

@@ -290,9 +290,11 @@ def _pages(spark, sf):
 
 def q_page_content(spark, sf):
     c = pl.page_content(spark, sf, CORPUS)
-    return c.select("page_id", "domain", "title", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"),
-                    F.size("authors").alias("author_count"), "publish_date", "meta_description",
-                    F.size("images").alias("image_count"), "extraction_method", "error")
+    return c.select("page_id", "url", "domain", "title", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"),
+                    F.size("authors").alias("author_count"), "publish_date", "meta_description", "top_image",
+                    F.size("images").alias("image_count"), F.size("videos").alias("video_count"),
+                    F.array_join("meta_keywords", "|").alias("meta_keywords"), F.array_join("keywords", "|").alias("keywords"),
+                    F.md5("summary").alias("summary_md5"), "source_url", "extraction_method", "error")
 
 
 def q_url_validation(spark, sf):
@@ -341,12 +343,12 @@ def q_quarantine(spark, sf):
 
 def q_source_features(spark, sf):
     c = pg.good_pages(pl.page_content(spark, sf, CORPUS))
-    return ft.extract_features(c, CORPUS, groups=["source"], keep_content=False).drop("url", "extraction_method", "error")
+    return ft.extract_features(c, CORPUS, groups=["source"], keep_content=False).drop("url", "extraction_method", "error", *pg.MEDIA)
 
 
 def q_metadata_features(spark, sf):
     c = pg.good_pages(pl.page_content(spark, sf, CORPUS))
-    return ft.extract_features(c, CORPUS, groups=["metadata"], keep_content=False).drop("url", "extraction_method", "error")
+    return ft.extract_features(c, CORPUS, groups=["metadata"], keep_content=False).drop("url", "extraction_method", "error", *pg.MEDIA)
 
 
 def _page_explained(spark, sf, params=CORPUS):
@@ -477,8 +479,7 @@ def q_tolerant_accuracy(spark, sf):
 
 
 def q_eval_report(spark, sf):
-    keys = tb.read_table(spark, sf, "labels", ["doc_id"])
-    return finalize(ev.report(_eval_details(spark, sf), keys_from=keys))
+    return finalize(ev.report(_eval_details(spark, sf)))
 
 
 def q_latency_stats(spark, sf):
@@ -684,3 +685,124 @@ QUERIES.update({
     "extractive_summary": q_extractive_summary,
     "credibility_gap": q_credibility_gap,
 })
+
+
+# ---------------------------------------------------------------------------
+# requests: bypass, expiry, rolling rate
+# ---------------------------------------------------------------------------
+from credence.operators import abbreviations as ab  # noqa: E402
+from credence.operators import domains as dm  # noqa: E402
+from credence.operators import lexicon as lx  # noqa: E402
+from credence.operators import subword as sw  # noqa: E402
+from credence.session import checkpoint_dir  # noqa: E402
+from credence.streaming import stateful as stf  # noqa: E402
+
+#: pages that stand for those the events ask for (see q_cache_expiry)
+ASKED_PAGES = 10
+
+
+def q_cache_serve(spark, sf):
+    """K3 with the bypass: every page is asked for; of four requests one does
+    not want the stored result.  The earlier run's results lie in a result
+    table with a bucketed base; what it cannot answer is extracted and scored."""
+    import uuid
+
+    table = rs.ResultTable(spark, os.path.join(checkpoint_dir(spark), f"serve-{uuid.uuid4().hex}"))
+    table.append(_first_run_cache(spark, sf))
+    table.compact()
+    pages = _pages(spark, sf).withColumn("use_cache", F.col("page_id") % 4 != 0)
+    hits, _ = rs.split_requests(table, pages.select("page_id", "url", "use_cache"), "use_cache")
+    todo = rs.pages_to_score(table, pages, use_cache="use_cache").drop("use_cache")
+    new = pl.analyse(pg.good_pages(pg.extract_pages(todo, CORPUS)), CORPUS)
+    served = hits.select("page_id", F.lit(True).alias("from_cache"), *CACHED_COLS).unionByName(
+        new.select("page_id", F.lit(False).alias("from_cache"), *CACHED_COLS))
+    return finalize(served)
+
+
+def q_cache_expiry(spark, sf):
+    """Results that expire an hour after they were stored.  The events
+    ask for ``ASKED_PAGES`` pages, by their user; each row is a second with
+    requests for a page, and whether the page is scored anew then."""
+    e = tb.read_table(spark, sf, "events", ["ts", "user_id"])
+    return stf.expiry(e, F.concat(F.lit("page "), F.col("user_id") % ASKED_PAGES), "ts", DEFAULT.cache_ttl_seconds)
+
+
+def q_rolling_rate(spark, sf):
+    """Users with more than ``DAILY_LIMIT`` requests in the 24 hours that
+    end with a request of theirs."""
+    e = tb.read_table(spark, sf, "events", ["ts", "user_id"])
+    return stf.rolling_rate(e, F.col("user_id"), "ts", 86_400, DAILY_LIMIT)
+
+
+# ---------------------------------------------------------------------------
+# learned from the corpus: abbreviations, lexicon; lists as tables; sub-words
+# ---------------------------------------------------------------------------
+
+def q_learned_abbreviations(spark, sf):
+    return finalize(ab.learn(_all_docs(spark, sf)))
+
+
+def q_learned_sentence_stats(spark, sf):
+    docs = _all_docs(spark, sf)
+    return ab.sentence_stats(docs, "doc_id", "text", ab.learn(docs))
+
+
+def q_learned_lexicon(spark, sf):
+    """Over ``enriched_content``, whose texts hold seed words."""
+    return finalize(lx.learn(tb.enriched_content(spark, sf)).drop("intensity"))
+
+
+def q_learned_sentiment(spark, sf):
+    """N1/N2 with the learned lexicon."""
+    docs = tb.enriched_content(spark, sf)
+    return finalize(ft.lexicon_sentiment(docs, "doc_id", "text", lx.learn(docs)))
+
+
+def q_source_table(spark, sf):
+    """C1/C2 in suffix mode over a table of names: a name per line item,
+    the two host families of the corpus, and, longer than those, the sites
+    of every fifth page."""
+    pages = tb.read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", pg.url_domain(F.col("url")).alias("domain"))
+    items = tb.read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"]).select(
+        F.format_string("n%d-%d.example.org", F.col("l_orderkey"), F.col("l_linenumber")).alias("name"),
+        F.when(F.col("l_orderkey") % 2 == 0, "trusted").otherwise("unreliable").alias("kind"))
+    sites = pages.where("page_id % 5 = 0").select(
+        F.array_join(F.slice(F.split(dm.host_of(F.col("domain")), r"\."), -3, 3), ".").alias("name"), F.lit("trusted").alias("kind"))
+    families = spark.createDataFrame([("example.org", "trusted"), ("example.net", "unreliable"), ("EXAMPLE.com", "known")], "name string, kind string")
+    flags = dm.source_flags(pages, items.unionByName(sites.where("name <> ''")).unionByName(families))
+    return flags.select("page_id", "domain", "domain_name", "domain_kind", "is_trusted_domain", "is_unreliable_domain")
+
+
+def q_subword_truncate(spark, sf):
+    """P18 by sub-words: ids of the combined text, cut at the model's limit."""
+    c = pl.all_document_content(spark, sf)
+    s = c.select("doc_id", sw.subword_ids(tb.combined_text(F.col("title"), F.col("text")), sw.default_tokenizer()).alias("s"))
+    return s.select("doc_id", F.col("s.n").alias("n_ids"), F.size("s.ids").alias("n_kept"), F.md5(F.array_join("s.ids", " ")).alias("kept_md5"))
+
+
+def held_out(key):
+    """A fifth of all rows, by the hash of their key."""
+    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+
+
+def q_document_classify(spark, sf):
+    """P21 on all documents: a batched model over sub-word ids, fitted on
+    the labelled rows that are not held out."""
+    docs = pl.all_document_content(spark, sf).select("doc_id", tb.combined_text(F.col("title"), F.col("text")).alias("text"))
+    train = _labelled_model_text(spark, sf).where(~held_out(F.col("doc_id")))
+    out = sw.batch_classify(docs, train, "doc_id")
+    return finalize(out.withColumn("held_out", held_out(F.col("doc_id"))))
+
+
+QUERIES.update({
+    "cache_serve": q_cache_serve,
+    "cache_expiry": q_cache_expiry,
+    "rolling_rate": q_rolling_rate,
+    "learned_abbreviations": q_learned_abbreviations,
+    "learned_sentence_stats": q_learned_sentence_stats,
+    "learned_lexicon": q_learned_lexicon,
+    "learned_sentiment": q_learned_sentiment,
+    "source_table": q_source_table,
+    "subword_truncate": q_subword_truncate,
+    "document_classify": q_document_classify,
+})

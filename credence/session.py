@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,5 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read back.  What
+    is read more than once is computed once, and a lost executor costs a
+    re-read.  The folder stays until the owner of the checkpoint folder
+    clears it."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from urllib.parse import urljoin, urlsplit
 
 # a tag ends at its '>' or is none: stopping at the next '<' keeps the search linear
 TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<[!?][^<>]*>")
@@ -15,6 +16,11 @@ REMOVED = ("nav", "footer", "header")
 #: elements whose start or end tag ends the text unit before it
 BLOCKS = frozenset("""address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure
 form h1 h2 h3 h4 h5 h6 hr html li main ol p pre section table tbody td tfoot th thead tr ul""".split())
+#: elements that may show a film, and hosts whose embedded pages are films
+FILM_TAGS = ("iframe", "embed", "object", "video", "source")
+FILM_HOSTS = ("youtube", "youtu.be", "vimeo", "dailymotion", "kewego", "twitch")
+#: where a page names its main picture, best first
+TOP_IMAGE_META = (("property", "og:image"), ("name", "og:image"), ("name", "twitter:image"), ("property", "twitter:image"))
 DATE_KEYS = (("property", "article:published_time"), ("name", "publish_date"), ("name", "date"))
 
 
@@ -25,10 +31,32 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def read_page(page: str | None) -> dict:
-    """title, primary (units of the article, or paragraphs without one, by
-    blank lines), fallback (all article text, or all paragraphs, by spaces),
-    authors, publish_date, meta_description and images of one page."""
+def resolve(base: str, ref: str | None) -> str:
+    """A reference as an absolute URL (dot segments, ``//host/path``, query
+    only, ...); as it stands where it cannot be resolved."""
+    ref = (ref or "").strip()
+    try:
+        return urljoin(base, ref) if ref else ""
+    except ValueError:
+        return ref
+
+
+def is_film(tag: str, url: str) -> bool:
+    if tag in ("video", "source"):
+        return True
+    try:
+        host = urlsplit(url).hostname or ""
+    except ValueError:
+        return False
+    return any(h in host for h in FILM_HOSTS)
+
+
+def read_page(page: str | None, url: str | None = "") -> dict:
+    """One page's title, primary (units of the article, or paragraphs without
+    one, by blank lines), fallback (all article text, or all paragraphs, by
+    spaces), authors, publish_date, meta_description, meta_keywords, images as
+    written (raw_images), and images, top_image and videos as absolute URLs:
+    resolved against ``url``, or the page's base element where it has one."""
     page = page or ""
     lower = page.lower()
     if len(lower) != len(page):  # a letter whose lower case is longer: only ASCII tags matter
@@ -37,6 +65,8 @@ def read_page(page: str | None) -> dict:
     article = None  # depth inside the first article; None before it, 0 after it
     h1, in_p, in_h1 = None, False, 0
     title, meta, images = None, {}, []
+    films: list[tuple[str, str]] = []
+    base, in_video, named_image = None, 0, None
     units: list[list[str]] = [[]]  # of the article, without its main heading
     paras: list[list[str]] = []
     nodes: list[str] = []  # all of the article
@@ -97,6 +127,19 @@ def read_page(page: str | None) -> dict:
             src = attributes(m[3]).get("src")
             if src is not None:
                 images.append(_html.unescape(src))
+        elif name == "base" and not close and base is None:
+            base = attributes(m[3]).get("href")
+        elif name == "link" and not close:
+            a = attributes(m[3])
+            if named_image is None and a.get("rel", "").lower() in ("image_src", "img_src"):
+                named_image = a.get("href")
+        elif name in FILM_TAGS:
+            if name == "video":
+                in_video = 0 if close else 1
+            a = {} if close or name == "source" and not in_video else attributes(m[3])
+            src = a.get("data" if name == "object" else "src")
+            if src:
+                films.append((name, src))
         if name in BLOCKS:
             units.append([])
             in_p = False
@@ -120,11 +163,48 @@ def read_page(page: str | None) -> dict:
     fallback = " ".join(nodes) if had_article else " ".join("".join(p) for p in para_nodes)
     date = next((meta[k] for k in DATE_KEYS if k in meta), None)
     author = meta.get(("name", "author"))
+    base = resolve(url or "", _html.unescape(base)) if base else url or ""
+    top = next((meta[k] for k in TOP_IMAGE_META if meta.get(k)), named_image)
+    top = _html.unescape(top) if top else next((i for i in images if i.strip()), "")
+    videos = [(tag, resolve(base, _html.unescape(src))) for tag, src in films]
     return {
         "title": title if title is not None else "".join(h1 or []).strip(),
         "primary": "\n\n".join(primary), "fallback": fallback.strip(),
         "authors": [] if author is None else [_html.unescape(author)],
         "publish_date": None if date is None else _html.unescape(date),
         "meta_description": _html.unescape(meta.get(("name", "description"), "")),
-        "images": images,
+        "meta_keywords": [k.strip() for k in _html.unescape(meta.get(("name", "keywords"), "")).split(",") if k.strip()],
+        "images": [resolve(base, i) for i in images], "raw_images": images,
+        "top_image": resolve(base, top),
+        "videos": list(dict.fromkeys(v for tag, v in videos if is_film(tag, v))),
     }
+
+
+#: a byte order mark, then a charset in the first bytes, decide how a page is read
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+CHARSET = re.compile(rb"""<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
+SNIFFED = 1024
+
+
+def decode_page(raw: bytes | None) -> str:
+    """The text of a page's bytes: by its byte order mark, else the charset
+    of a meta tag, else UTF-8, else windows-1252.  Bytes that are none of it
+    become U+FFFD."""
+    raw = raw or b""
+    for mark, name in MARKS:
+        if raw.startswith(mark):
+            return raw[len(mark):].decode(name, "replace")
+    m = CHARSET.search(raw[:SNIFFED])
+    name = m[1].decode().lower() if m else "utf-8"
+    if name in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii"):
+        name = "windows-1252"  # as browsers read them
+    elif name.startswith("utf-16"):
+        name = "utf-8"  # a tag that ASCII bytes spell is not in UTF-16
+    try:
+        return raw.decode(name)
+    except (UnicodeDecodeError, LookupError):
+        pass
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("windows-1252", "replace")

@@ -3,10 +3,13 @@
 * ``page_score_stream``: pages arriving as parquet files are scored with the
   very same column functions as the batch path (all map-side, so the stream
   is stateless and exactly-once through the file sink + checkpoint).
-* ``dedupe_results``: result TTL / duplicate suppression per key, state
-  bounded by the watermark.
+* ``page_result_stream``: arriving pages into the result table and its
+  quarantine, committed together.
+* ``dedupe_results``: duplicate suppression per key, state bounded by the
+  watermark (results that expire by timer are in ``stateful``).
 * ``rate_over_limit``: requests per client and minute above the limit, a
-  windowed count with a watermark (append mode emits a window once closed).
+  windowed count with a watermark (append mode emits a window once closed);
+  rolling rates are in ``stateful``.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from credence.params import CORPUS, Params
 from credence.plans import pipeline as pl
-from credence.session import checkpoint_dir
+from credence.session import checkpoint_dir, stored
 from credence.sources import pages as pg
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -75,20 +78,34 @@ def rate_over_limit(events: DataFrame, limit: int, ts: str = "ts", client: str =
 
 
 def page_result_stream(spark: SparkSession, source: str, table_path: str, params: Params = CORPUS,
-                       columns=("prediction", "confidence", "credibility_score")):
-    """X1 + K2/K3 as a stream: every micro-batch of arriving pages is scored
-    only for URLs the result table has not seen, then appended (foreachBatch
-    with the batch ``incremental_score``).  availableNow trigger; returns the
-    query.  The checkpoint makes a restarted stream resume after the last
-    committed batch, and a replayed batch is committed once."""
+                       columns=("prediction", "confidence", "credibility_score"), use_cache: str | None = None,
+                       max_files_per_trigger: int | None = None):
+    """X1 + S10 + K2/K3 as a stream with two sinks: of every micro-batch of
+    arriving pages, those whose URL the result table has not seen are read
+    once; the good ones are scored and stored, the others go to the table's
+    side table ``quarantine``.  Both are committed by one entry of the log,
+    so a run that dies between the two writes leaves neither, and a batch
+    that is replayed is committed once.  availableNow trigger; returns the
+    query; the checkpoint makes a restarted stream resume."""
     from credence.plans import results as rs
 
     table = rs.ResultTable(spark, table_path)
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        rs.incremental_score(table, batch, lambda p: pl.analyse(pg.good_pages(pg.extract_pages(p, params)), params),
-                             list(columns), F.current_timestamp(), f"stream-{epoch}")
-
-    return (pages_stream(spark, source).writeStream.foreachBatch(each)
+    return (pages_stream(spark, source, max_files_per_trigger).writeStream
+            .foreachBatch(lambda batch, epoch: commit_batch(table, batch, epoch, params, columns, use_cache))
             .option("checkpointLocation", os.path.join(table_path + "_checkpoint"))
             .trigger(availableNow=True).start())
+
+
+def commit_batch(table, batch: DataFrame, epoch: int, params: Params = CORPUS,
+                 columns=("prediction", "confidence", "credibility_score"), use_cache: str | None = None) -> None:
+    """One micro-batch of :func:`page_result_stream`."""
+    from credence.plans import results as rs
+
+    if f"stream-{epoch}" in table.log.state().epochs:
+        return
+    todo = rs.pages_to_score(table, batch, use_cache=use_cache)
+    content = stored(pg.extract_pages(todo, params), "extracted")  # read once, for both sinks
+    scored = pl.analyse(pg.good_pages(content), params).select(
+        rs.cache_key(F.col("url")).alias(rs.KEY), *columns, F.current_timestamp().alias(rs.TS))
+    bad = pg.quarantined(content).select("page_id", "url", "error")
+    table.append(scored, f"stream-{epoch}", also={"quarantine": bad})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from credence.operators import abbreviations as ab
+from credence.operators import lexicon as lx
 from credence.operators.features import FEATURE_TYPES, GROUPS
 from credence.params import CORPUS, DEFAULT
-from credence.plans.catalog import DAILY_LIMIT
+from credence.plans.catalog import ASKED_PAGES, DAILY_LIMIT
 from credence.sources.tables import BAIT_TITLE, EMOTIONAL, LINKED
 from oracle import sql_parts as sp
 
@@ -453,3 +455,126 @@ SQL["extractive_summary"] = lambda: with_ctes([
     "b AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM r WHERE rk <= 5 GROUP BY doc_id)"],
     """SELECT sent.doc_id, CAST(len(l) AS INTEGER) AS n_sentences, CAST(length(coalesce(summary, '')) AS INTEGER) AS summary_length,
   coalesce(summary, '') AS summary FROM sent LEFT JOIN b USING (doc_id)""")
+
+
+def _page_record_sql() -> str:
+    """The whole content record.  The media fields are read by regular
+    expressions that agree on the test pages only (see README)."""
+    h = "coalesce(html, '')"
+    top = " ".join(f"WHEN {sp.meta_tag(h, a, n)} <> '' THEN {sp.meta_content(sp.meta_tag(h, a, n))}"
+                   for a, n in (("property", "og:image"), ("name", "twitter:image")))
+    sentences = (f"list_filter(list_transform(string_split(regexp_replace(text, {_SPLIT}, '\\1' || chr(1), 'g'), chr(1)), "
+                 f"lambda x: {sp.strip('x')}), lambda x: x <> '')")
+    return with_ctes([
+        PC,
+        "art AS (SELECT page_id, text FROM pc WHERE extraction_method = 'paragraphs')",
+        f"""tops AS (SELECT page_id, term, cnt, rk FROM (
+  SELECT page_id, term, cnt, row_number() OVER (PARTITION BY page_id ORDER BY cnt DESC, term) AS rk FROM (
+    SELECT page_id, term, count(*) AS cnt FROM (SELECT page_id, unnest({sp.terms(sp.words('text'))}) AS term FROM art) GROUP BY page_id, term))
+  WHERE rk <= 10)""",
+        "kw AS (SELECT page_id, string_agg(term, '|' ORDER BY rk) AS keywords FROM tops GROUP BY page_id)",
+        f"sl AS (SELECT page_id, {sentences} AS l FROM art)",
+        "sn AS (SELECT page_id, unnest(l) AS sentence, unnest(generate_series(1, len(l))) AS pos FROM sl)",
+        f"st AS (SELECT page_id, pos, unnest({sp.terms(sp.words('sentence'))}) AS term FROM sn)",
+        "ss AS (SELECT st.page_id, st.pos, sum(cnt) AS score FROM st JOIN tops USING (page_id, term) GROUP BY st.page_id, st.pos)",
+        """sr AS (SELECT sn.*, row_number() OVER (PARTITION BY sn.page_id ORDER BY coalesce(score, 0) DESC, sn.pos) AS rk
+  FROM sn LEFT JOIN ss ON sn.page_id = ss.page_id AND sn.pos = ss.pos)""",
+        "sm AS (SELECT page_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM sr WHERE rk <= 5 GROUP BY page_id)"],
+        f"""SELECT pc.page_id, pc.url, domain, title, CAST(length(text) AS INTEGER) AS text_length,
+  md5(text) AS text_md5, CAST(len(authors) AS INTEGER) AS author_count, publish_date, meta_description,
+  CASE WHEN NOT coalesce(extraction_method = 'paragraphs', false) THEN '' {top} WHEN len(images) > 0 THEN images[1] ELSE '' END AS top_image,
+  CAST(len(images) AS INTEGER) AS image_count,
+  CAST(CASE WHEN extraction_method = 'paragraphs' THEN len(regexp_extract_all({h}, '(?i)<(video|iframe|embed)[^>]*src=')) ELSE 0 END AS INTEGER) AS video_count,
+  CASE WHEN extraction_method = 'paragraphs' THEN {sp.meta_content(sp.meta_tag(h, 'name', 'keywords'))} ELSE '' END AS meta_keywords,
+  coalesce(kw.keywords, '') AS keywords, md5(coalesce(sm.summary, '')) AS summary_md5,
+  CASE WHEN extraction_method = 'paragraphs' THEN regexp_extract(pc.url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') ELSE '' END AS source_url,
+  extraction_method, error
+FROM pc JOIN pages p ON p.page_id = pc.page_id LEFT JOIN kw ON kw.page_id = pc.page_id LEFT JOIN sm ON sm.page_id = pc.page_id""")
+
+
+SQL["page_content"] = _page_record_sql
+
+
+# ---------------------------------------------------------------------------
+# requests, learned tables, lists as tables
+# ---------------------------------------------------------------------------
+def _seconds(key: str) -> str:
+    return (f"s AS (SELECT CAST({key} AS VARCHAR) AS key, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS second, count(*) AS requests "
+            "FROM events GROUP BY 1, 2)")
+
+
+def _lines(text: str) -> str:
+    return f"SELECT doc_id, {sp.words(text)} AS w FROM documents"
+
+
+_BARE = (f"lower(regexp_replace(regexp_replace(t, {sp.q(ab.OPENING)}, ''), {sp.q(ab.CLOSING)}, ''))")
+ABBREVIATIONS = [
+    f"bare AS (SELECT {_BARE} AS b FROM (SELECT unnest(w) AS t FROM ({_lines("coalesce(text, '')")})))",
+    f"""pc AS (SELECT CASE WHEN suffix(b, '.') THEN left(b, length(b) - 1) ELSE b END AS word,
+    count(*) FILTER (WHERE suffix(b, '.')) AS ab, count(*) FILTER (WHERE NOT suffix(b, '.')) AS np FROM bare GROUP BY 1)""",
+    f"pw AS (SELECT * FROM pc WHERE regexp_matches(word, {sp.q(ab.WORD)}))",
+    "tot AS (SELECT sum(ab) * 1.0 / sum(ab + np) AS p1 FROM pw)",
+    """sc AS (SELECT word, ab AS with_period, np AS without_period, length(replace(word, '.', '')) * 1.0 AS letters,
+    length(word) - length(replace(word, '.', '')) AS inner_periods,
+    ab * ln(p1) + CASE WHEN np = 0 THEN 0 ELSE np * ln(greatest(1 - p1, 1e-300)) END AS h0,
+    ab * ln(0.99) + np * ln(1 - 0.99) AS h1 FROM pw, tot WHERE ab > 0)""",
+    """abbr AS (SELECT word, with_period, without_period, score FROM (
+    SELECT *, -2 * (h0 - h1) * exp(-letters) * (inner_periods + 1) * pow(letters, -without_period) AS score FROM sc) WHERE score >= 0.3)"""]
+_GOOD, _BAD = lx.seeds()
+_SKIP = [*_GOOD, *_BAD, *DEFAULT.negations, *DEFAULT.stopword_list()]
+_NEAR = f"""tk AS (SELECT doc_id, {sp.stoks("coalesce(text, '')")} AS tk FROM enr),
+se AS (SELECT tk, unnest(generate_series(1, len(tk))) AS i FROM tk),
+sd AS (SELECT tk, i, tk[i] AS seed FROM se WHERE tk[i] IN {sp.in_list([*_GOOD, *_BAD])}),
+nr AS (SELECT seed IN {sp.in_list(_GOOD)} AS g, unnest(list_concat(tk[greatest(i - {lx.SPAN}, 1):i - 1], tk[i + 1:i + {lx.SPAN}])) AS word FROM sd),
+mt AS (SELECT word, count(*) FILTER (WHERE g) AS good, count(*) FILTER (WHERE NOT g) AS bad FROM nr GROUP BY word),
+lt AS (SELECT sum(good) AS ag, sum(bad) AS ab FROM mt),
+lex AS (SELECT word, good, bad, greatest(-1.0, least(1.0, log2(((good + 0.5) * (ab + 0.5)) / ((bad + 0.5) * (ag + 0.5))) / {lx.FULL_BITS})) AS polarity
+        FROM mt, lt WHERE good + bad >= {lx.LEAST_MEETINGS} AND word NOT IN {sp.in_list(_SKIP)})"""
+_HOST = "regexp_replace(regexp_replace(lower({}), '^.*@', ''), '\\.?(:[0-9]*)?$', '')"
+
+SQL.update({
+    "cache_serve": lambda: with_ctes(RUN1 + RUN2 + [CACHE1], """SELECT page_id, true AS from_cache, prediction, round(confidence, 6) AS confidence,
+  CAST(credibility_score AS INTEGER) AS credibility_score
+FROM (SELECT p.page_id, c.* FROM pages p JOIN cache1 c ON md5(p.url) = c.cache_key WHERE p.page_id % 4 <> 0)
+UNION ALL
+SELECT page_id, false, prediction, round(confidence, 6), CAST(credibility_score AS INTEGER) FROM r2_e
+WHERE page_id % 4 = 0 OR md5(url) NOT IN (SELECT cache_key FROM cache1)"""),
+    "cache_expiry": lambda: f"""WITH RECURSIVE {_seconds(f"'page ' || (user_id % {ASKED_PAGES})")},
+c AS (SELECT key, min(second) AS at FROM s GROUP BY key
+      UNION ALL
+      SELECT s.key, min(s.second) FROM c JOIN s ON s.key = c.key AND s.second >= c.at + {DEFAULT.cache_ttl_seconds} GROUP BY s.key)
+SELECT s.key, s.second, s.requests, max(c.at) AS stored_at, max(c.at) = s.second AS scored
+FROM s JOIN c ON c.key = s.key AND c.at <= s.second GROUP BY s.key, s.second, s.requests""",
+    "rolling_rate": lambda: f"""WITH {_seconds("user_id")}
+SELECT key, second, n FROM (
+  SELECT key, second, CAST(sum(requests) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM s)
+WHERE n > {DAILY_LIMIT}""",
+    "learned_abbreviations": lambda: with_ctes(ABBREVIATIONS, "SELECT word, with_period, without_period, round(score, 6) AS score FROM abbr"),
+    "learned_sentence_stats": lambda: with_ctes(ABBREVIATIONS + [
+        f"l AS ({_lines("coalesce(text, '')")})",
+        f"""e AS (SELECT doc_id, i, regexp_matches(t, {sp.SE}) AS closes, regexp_matches(t, {sp.q(ab.FINAL_PERIOD)}) AS period, {_BARE} AS b
+  FROM (SELECT doc_id, unnest(w[1:len(w) - 1]) AS t, unnest(generate_series(1, len(w) - 1)) AS i FROM l WHERE len(w) > 1))""",
+        """k AS (SELECT doc_id, count(*) FILTER (WHERE closes AND NOT (period AND suffix(b, '.') AND left(b, length(b) - 1) IN (SELECT word FROM abbr))) AS n
+  FROM e GROUP BY doc_id)"""],
+        """SELECT l.doc_id, CAST(len(w) AS INTEGER) AS n_tokens,
+  CAST(CASE WHEN len(w) = 0 THEN 0 ELSE 1 + coalesce(k.n, 0) END AS INTEGER) AS sentence_count FROM l LEFT JOIN k ON k.doc_id = l.doc_id"""),
+    "learned_lexicon": lambda: with_ctes([ENRICHED, _NEAR], """SELECT word, good, bad, round(polarity, 6) AS polarity,
+  round(abs(polarity), 6) AS subjectivity FROM lex"""),
+    "learned_sentiment": lambda: with_ctes([ENRICHED, _NEAR, f"""ht AS (
+  SELECT doc_id, polarity * CASE WHEN coalesce(tk[i - 1] IN {sp.in_list(DEFAULT.negations)} AND i > 1, false)
+      OR coalesce(tk[i - 2] IN {sp.in_list(DEFAULT.negations)} AND i > 2, false) THEN -0.5 ELSE 1.0 END AS p, abs(polarity) AS s
+  FROM (SELECT doc_id, tk, unnest(generate_series(1, len(tk))) AS i FROM tk) w JOIN lex ON lex.word = w.tk[w.i] WHERE polarity <> 0)"""],
+        """SELECT enr.doc_id, round(greatest(-1.0, least(1.0, coalesce(avg(p), 0.0))), 6) AS polarity,
+  round(greatest(0.0, least(1.0, coalesce(avg(s), 0.0))), 6) AS subjectivity
+FROM enr LEFT JOIN ht ON ht.doc_id = enr.doc_id GROUP BY enr.doc_id"""),
+    "source_table": lambda: f"""WITH p AS (SELECT page_id, {sp.DOMAIN_SQL} AS domain FROM pages),
+h AS (SELECT page_id, domain, {_HOST.format("domain")} AS host FROM p),
+raw AS (SELECT 'n' || l_orderkey || '-' || l_linenumber || '.example.org' AS name, CASE WHEN l_orderkey % 2 = 0 THEN 'trusted' ELSE 'unreliable' END AS kind FROM lineitem
+  UNION ALL SELECT array_to_string(string_split(host, '.')[-3:], '.'), 'trusted' FROM h WHERE page_id % 5 = 0 AND len(string_split(host, '.')) >= 3
+  UNION ALL VALUES ('example.org', 'trusted'), ('example.net', 'unreliable'), ('example.com', 'known')),
+names AS (SELECT {_HOST.format("name")} AS name, min(kind) AS kind FROM raw GROUP BY 1),
+b AS (SELECT h.page_id, arg_max(name, length(name)) AS name, arg_max(kind, length(name)) AS kind FROM h JOIN names
+      ON h.host = name OR suffix(h.host, '.' || name) GROUP BY h.page_id)
+SELECT h.page_id, h.domain, b.name AS domain_name, b.kind AS domain_kind, CASE WHEN b.kind = 'trusted' THEN 1 ELSE 0 END AS is_trusted_domain,
+  CASE WHEN b.kind = 'unreliable' THEN 1 ELSE 0 END AS is_unreliable_domain FROM h LEFT JOIN b ON b.page_id = h.page_id""",
+})

@@ -66,6 +66,40 @@ def test_numbered_wide_rows_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def placed_sizes(spark, df, **more):
+    """Sizes of the ranges that the last stage of ``numbered`` joins."""
+    n = ev.numbered(df, "k", **more)
+    files = [f for f in n.inputFiles() if "numbered-" in f]
+    return n, [r["count"] for r in spark.read.parquet(*files).groupBy("_range").count().collect()]
+
+
+@pytest.mark.parametrize("rows", [2_000, 20_000, 60_000])
+def test_ranges_follow_the_rows(spark, rows):
+    """More rows, more ranges; the largest stays near its size, also where a third of all rows share one value."""
+    k = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 7919 % rows).alias("k")
+    n, sizes = placed_sizes(spark, spark.range(rows).select(k).repartition(6), rows_per_range=2_000)
+    assert 0.5 * rows / 2_000 <= len(sizes) <= rows / 2_000 + 1 and max(sizes) <= 2 * 2_000
+    got = sorted((r.sample_id, r.k) for r in n.collect())
+    assert [i for i, _ in got] == list(range(1, rows + 1)) and [k for _, k in got] == sorted(k for _, k in got)
+
+
+@pytest.mark.parametrize("kind", ["one", "two", "three", "distinct", "wide", "odd"])
+def test_selection_narrows_exactly(spark, kind):
+    n = 30_011 if kind == "odd" else 30_000
+    i = F.col("id")
+    v = {"one": F.lit(4.5), "two": F.when(i < n // 2, 1.0).otherwise(2.0), "three": F.when(i < 10, 1.0).when(i < n - 9, 5.0).otherwise(8.0),
+         "distinct": (i * 7919 % n).cast("double"), "wide": F.pow(F.lit(1.02), i % 30_000), "odd": (i * i % 977).cast("double")}[kind]
+    df = spark.range(n).select(v.alias("v")).repartition(5)
+    assert ev.exact_median(df, "v", few=50).first()[0] == statistics.median([r.v for r in df.collect()])
+
+
+def test_selection_of_every_rank(spark):
+    df = spark.range(3_000).select((F.col("id") * F.col("id") % 701).cast("double").alias("v"))
+    want = sorted(r.v for r in df.collect())
+    for rank in (0, 1, 17, 1_500, 2_998, 2_999):
+        assert ev.select_rank(df, rank, 3_000, few=10) == want[rank]
+
+
 def test_numbered_ties_and_nulls(spark):
     df = spark.createDataFrame([(None,), (3,), (3,), (1,), (None,)], "k INT")
     rows = sorted((r.sample_id, r.k) for r in ev.numbered(df, "k").collect())

@@ -31,7 +31,7 @@ def test_meta_tags(spark):
             '<img src="a.png"><img src="">')
     r = ex(spark, [(1, "http://a.com", html)])[1]
     assert r.publish_date == "" and r.authors == [""] and r.meta_description == "d & e"
-    assert r.images == ["a.png", ""]
+    assert r.images == ["http://a.com/a.png", ""]
 
 
 def test_fallback_without_paragraphs(spark):
@@ -122,3 +122,70 @@ def test_all_images_on_the_primary_path(spark):
 
 def test_named_references(spark):
     assert text_of(spark, "<p>caf&eacute; &amp;lt; &#8364; &hellip;</p>") == "café &lt; € …"
+
+
+def test_references_are_resolved():
+    from credence.sources.html import read_page
+    url = "https://news.example.org/a/b/page.html?x=1#top"
+    page = """<html><head><meta name="keywords" content=" one, two ,,three "><link rel="image_src" href="//cdn.example.org/m.png"></head>
+<body><article><p>Text here.</p><img src="../up.png"><img src="?q=2"><img src="/root.png"><img src="http://[bad">
+<iframe src="https://www.youtube.com/embed/1"></iframe><iframe src="/ads.html"></iframe>
+<video><source src="./film.mp4"><source src="./film.mp4"></video><source src="x.png"><embed src="//player.vimeo.com/v/2">
+<object data="https://example.org/o.swf"></object></article><nav><img src="nav.png"></nav></body></html>"""
+    r = read_page(page, url)
+    assert r["images"] == ["https://news.example.org/a/up.png", "https://news.example.org/a/b/page.html?q=2",
+                           "https://news.example.org/root.png", "http://[bad"]
+    assert r["raw_images"][0] == "../up.png"
+    assert r["top_image"] == "https://cdn.example.org/m.png"
+    assert r["videos"] == ["https://www.youtube.com/embed/1", "https://news.example.org/a/b/film.mp4", "https://player.vimeo.com/v/2"]
+    assert r["meta_keywords"] == ["one", "two", "three"]
+    based = read_page('<base href="/deep/er/"><meta property="og:image" content="t.jpg"><p>x</p><img src="../i.png">', url)
+    assert based["top_image"] == "https://news.example.org/deep/er/t.jpg" and based["images"] == ["https://news.example.org/deep/i.png"]
+    assert read_page("<p>x</p><img src=i.png>", None)["images"] == ["i.png"] and read_page("<p>x</p>", url)["top_image"] == ""
+
+
+def test_media_fields_of_both_extractors(spark):
+    from credence.sources import pages as pg
+    rows = [(1, "http://A.example:8080/x/y", "<meta property='og:image' content='t.png'><article><p>Body text.</p></article><img src=i.png>"),
+            (2, "http://a.example/x", "<article></article><img src=i.png>"), (3, "ftp://a", "<p>x</p>")]
+    got = {r.page_id: r for r in pg.extract_pages(spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")).collect()}
+    assert (got[1].top_image, got[1].images, got[1].source_url) == ("http://A.example:8080/x/t.png", ["http://A.example:8080/x/i.png"],
+                                                                    "http://A.example:8080")
+    assert (got[2].top_image, got[2].videos, got[2].source_url, got[2].images) == ("", [], "", ["i.png"])
+    assert got[3].error and got[3].images == []
+
+
+def test_page_bytes():
+    from credence.sources.html import decode_page
+    for name, raw in (("latin", "<meta charset='iso-8859-1'>é€".replace("€", "").encode("latin-1")),
+                      ("utf-16", "\ufeff<p>é</p>".encode("utf-16-le")), ("utf-16-be", "\ufeff<p>é</p>".encode("utf-16-be")),
+                      ("plain", "<p>é</p>".encode()), ("mark", "\ufeff<p>é</p>".encode()), ("untagged latin", "<p>é</p>".encode("latin-1")),
+                      ("wrong tag", "<meta charset=utf-16><p>é</p>".encode()), ("unknown", "<meta charset=klingon>é".encode()),
+                      ("cyrillic", "<meta http-equiv=x content='text/html; charset=windows-1251'>é".replace("é", "ж").encode("cp1251"))):
+        text = decode_page(raw)
+        assert ("ж" if name == "cyrillic" else "é") in text and "\ufeff" not in text, name
+    assert decode_page(None) == decode_page(b"") == "" and decode_page(b"<meta charset=windows-1252>\x93") [-1] == "\u201c"
+
+
+def test_file_source_never_opens_large_pages(spark, tmp_path):
+    from dataclasses import replace
+
+    from credence.params import DEFAULT
+    from credence.sources import pages as pg
+    root = tmp_path / "crawl"
+    files = {"a.example/n/one.html": "<article><p>Größe one.</p></article>".encode("latin-1"),
+             "a.example/two.html": "\ufeff<article><p>Zwei.</p></article>".encode("utf-16-le"),
+             "b.example/big.html": b"<p>" + b"x" * 5000, "b.example/notes.txt": b"no page", "c.example/empty.html": b""}
+    for name, raw in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(raw)
+    params = replace(DEFAULT, max_content_size=1000)
+    pages = pg.file_pages(spark, str(root), params, "*.html")
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1000)" in plan and "GreaterThan(length,1000)" in plan
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan  # large pages: a listing, no content
+    got = {r.url: r for r in pg.extract_pages(pages, params).collect()}
+    assert set(got) == {f"https://{n}" for n in files if n.endswith("html") and files[n]}
+    assert got["https://a.example/n/one.html"].text == "Größe one." and got["https://a.example/two.html"].text == "Zwei."
+    assert got["https://b.example/big.html"].error == "Content too large" and got["https://b.example/big.html"].text == ""
+    assert len({r.page_id for r in got.values()}) == 3
