@@ -43,6 +43,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one is null.  Extra columns, also
     those whose names clash with columns made here, go."""

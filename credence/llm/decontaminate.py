@@ -18,7 +18,7 @@ one document are one row, the best.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII bytes,
 A-Z folded; null and empty texts have no words and match nothing; items of
-fewer than ``LEAST_WORDS`` words are not searched; very long texts are read
+fewer than ``LEAST_WORDS`` words count where they stand word for word; very long texts are read
 whole, as one alignment per cluster of hits; equal scores take the earliest
 place; repeated items (one item_id, several texts) give their best row;
 repeated rows give repeated results; a null doc_id or item_id stays null; an
@@ -70,12 +70,17 @@ class Items:
     def __init__(self, ids: list, texts: list, gram: int):
         spans = tv.Spans()
         self.ids, self.words, self.gram = [], [], gram
+        short: dict[int, list] = {}  # by number of words: (hash of all words, item_id)
         for i, t in zip(ids, texts):
             _, _, buf, _ = next(tv.chunks([(t or "").encode()]))
             h, _ = word_hashes(buf, spans)
             if len(h) >= LEAST_WORDS:
                 self.ids.append(i)
                 self.words.append(h)
+            elif len(h):
+                short.setdefault(len(h), []).append((gram_hashes(h, len(h))[0], i))
+        self.short = {n: (np.array([k for k, _ in sorted(x, key=lambda e: int(e[0]))], np.uint64),
+                          [i for _, i in sorted(x, key=lambda e: int(e[0]))]) for n, x in sorted(short.items())}
         self.index([np.ones(max(0, len(w) - gram + 1), bool) for w in self.words])
 
     def index(self, use: list[np.ndarray]) -> None:
@@ -120,10 +125,27 @@ class Items:
                 pos, doc = pos[:0], doc[:0]
             yield lo, h, g, first, pos, doc
 
+    def short_pairs(self, lo: int, h: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """The earliest place of each short item in each text."""
+        for n, (keys, ids) in self.short.items():
+            g = gram_hashes(h, n)
+            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            pos = np.flatnonzero(keys[at] == g)
+            doc = np.searchsorted(first, pos, side="right") - 1
+            inside = pos + n <= first[doc + 1]
+            pos, doc = pos[inside], doc[inside]
+            _, one = np.unique(np.stack([doc, at[pos]]), axis=1, return_index=True)
+            for p, x in zip(pos[one].tolist(), doc[one].tolist()):
+                k = int(at[p])
+                while k < len(keys) and keys[k] == g[p]:
+                    yield lo + x, ids[k], 1.0, p - int(first[x]), p - int(first[x]) + n
+                    k += 1
+
     def pairs(self, texts: list, spans: tv.Spans, threshold: float) -> Iterator[tuple]:
         """(row, item, score, first word, last word + 1) of the best
         alignment of each text and item that reach the threshold."""
         for lo, h, g, first, pos, doc in self.hits(texts, spans):
+            yield from self.short_pairs(lo, h, first)
             if not len(pos):
                 continue
             a = np.searchsorted(self.grams, g[pos])

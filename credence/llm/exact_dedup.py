@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from credence.llm.common import ascii_lower, plain, stored
+from credence.llm.common import ascii_lower, free_name, plain, stored
 
 BLOCK_BYTES = 16384
 HOT_SHARE = 1000  # a block is hot from 1/HOT_SHARE of all blocks on
@@ -103,11 +103,13 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    name = free_name(docs, "_key")
+
     def key(doc_id, sha):
         return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), sha)
 
-    kept = exact_groups(docs, block_bytes).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    kept = exact_groups(docs, block_bytes).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name))
     norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(norm, 256)))
+    rows = docs.withColumn(name, key(F.col("doc_id"), F.sha2(norm, 256)))
     # rows that repeat in doc_id and text share a key: one of them stays, in the join's own partitioning
-    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

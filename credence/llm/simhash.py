@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import components, plain, stored
+from credence.llm.common import components, free_name, plain, stored
 
 SEED = 42
 SHINGLE = 4
@@ -90,8 +90,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, keyed: bool = False) -> Data
 
 
 def row_key():
-    text = F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    return F.coalesce(F.col("doc_id").cast("long").cast("string"), text)
+    """doc_id and text: rows that are equal in both are one document."""
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), text)
 
 
 # -- Golay keys ---------------------------------------------------------------
@@ -263,15 +264,17 @@ def _block_pairs(rows: DataFrame, max_bits: int) -> DataFrame:
 # -- the operator -------------------------------------------------------------
 
 def _labelled(docs: DataFrame, k: int, max_bits: int, block: int, keyed: bool) -> DataFrame:
-    """The rows of :func:`fingerprints` with component_id and, for a
-    component without any doc_id, the smallest row key."""
+    """The rows of :func:`fingerprints` with component_id and, if ``keyed``,
+    the key of the component's first row: of its smallest doc_id (null last),
+    then of the smallest key."""
     fp = stored(fingerprints(docs, k, keyed))
-    key = F.min(F.when(F.col("doc_id").isNull(), F.col("key"))) if keyed else F.lit(None).cast("string")
-    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), key.alias("least_key")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"] if keyed else F.lit(None).cast("string")
+    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("least_key")))
     comp = components(links(distinct, max_bits, block))
     ids = stored(distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", "least_key", F.coalesce("root", "fp").alias("root")))
-    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_key").alias("first_key"))
+    least = F.min(F.struct(F.col("least").isNull(), "least", "least_key"))
+    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), least["least_key"].alias("first_key"))
     return fp.join(ids.join(roots, "root").select("fp", "component_id", "first_key"), "fp")
 
 
@@ -283,11 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS,
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the document of its smallest doc_id, with all
-    columns; of a component without any doc_id one of its rows.  Rows of one
-    doc_id are one document: one of them stays."""
+    """Of each component one document, with all columns: that of the smallest
+    doc_id (of several texts with that doc_id the smallest digest; rows
+    without doc_id last).  Rows equal in doc_id and text are one document."""
     near = _labelled(docs, k, max_bits, BLOCK, True)
-    kept = near.filter((F.col("doc_id") == F.col("component_id")) | (F.col("component_id").isNull() & (F.col("key") == F.col("first_key"))))
-    rows = docs.withColumn("_row_key", row_key())
-    kept = kept.select(F.col("key").alias("_row_key")).distinct()
-    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    name = free_name(docs, "_row_key")
+    kept = near.filter(F.col("key") == F.col("first_key")).select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, row_key()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -1,11 +1,12 @@
 """URL filtering with rules indexed by their rarest literal token (operator 10).
 
 Two kinds of rule: a prefix rule (host, path) fits the host, all its
-subdomains and every path that starts with its own; a pattern rule is a
+subdomains and every path that starts with its own (an empty host fits all); a pattern rule is a
 regular expression over the whole URL.  Each rule is indexed under one
 literal token that any URL it fits must contain, the one that the fewest
 distinct URLs have.  The tokens of a URL fetch its candidate rules, and only
-those are tested.  The longest fitting prefix rule decides; without one, a
+those are tested.  A rule without any literal token is a candidate for every
+URL.  The longest fitting prefix rule decides; without one, a
 fitting pattern rule blocks and any other URL is allowed.
 
 Distinct URLs are judged once (combined map-side) and joined back, so a URL
@@ -14,7 +15,7 @@ skewed join.  The rule index is joined on the token; it is a table of the
 rules given, and Spark broadcasts it only below its size limit.
 
 Defined cases: a null url or one without ``://`` has empty host and path and
-is judged by no prefix rule; such and empty urls are allowed unless a
+is judged by no prefix rule but one without host and path; such and empty urls are allowed unless a
 pattern rule fits; very long urls are handled whole; of equally long prefix
 rules the smaller text wins; repeated rows give repeated results; an empty
 table gives an empty result; extra columns are ignored.
@@ -22,6 +23,8 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,30 +64,41 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(url), F.lit(f"({TOKEN})"), F.lit(1)))
 
 
+def literal_tokens(host: str, path: str) -> list[str]:
+    """The tokens that every URL under a prefix has: those of the host, and
+    those of the path that end inside it (the last may go on in the URL)."""
+    return [t.lower() for t in re.findall(TOKEN, host) + re.findall(rf"{TOKEN}(?=[^A-Za-z0-9])", path)]
+
+
 def rule_table(spark, rules=None, patterns=None) -> DataFrame:
     """(rule_id, kind, verdict, host, path, pattern, alternatives): each
-    alternative is a set of tokens of which a fitting URL has all."""
+    alternative is a set of tokens of which a fitting URL has all; a rule
+    whose tokens nothing tells has one empty alternative."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = []
     for v, h, p in RULES if rules is None else rules:
-        whole = [t for t in h.lower().split(".") if t]
-        # the last part of a path prefix may go on in the URL, so only parts that end inside it are tokens
-        parts = p.split("/")[:-1]
-        whole += [t.lower() for t in parts if t and t.isascii() and t.isalnum()]
-        rows.append((len(rows), "prefix", v, h, p, None, [whole]))
+        rows.append((len(rows), "prefix", v, h.translate(fold), p, None, [literal_tokens(h, p)]))
     for rx, alternatives in PATTERNS if patterns is None else patterns:
-        rows.append((len(rows), "pattern", "block", None, None, rx, alternatives))
+        rows.append((len(rows), "pattern", "block", None, None, rx, alternatives if alternatives and all(alternatives) else [[]]))
     return spark.createDataFrame(rows, "rule_id int, kind string, verdict string, host string, path string, "
                                        "pattern string, alternatives array<array<string>>")
 
 
+#: rules without any token are looked up under one of so many marks, dealt to the URLs by hash
+MARKS = 32
+
+
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(token, rule): each alternative of a rule under its rarest token."""
-    need = rules.select("*", F.posexplode("alternatives").alias("alt", "tokens")).select("*", F.explode("tokens").alias("token"))
+    """(token, rule): each alternative of a rule under its rarest token, one
+    without tokens under all marks."""
+    need = rules.select("*", F.posexplode("alternatives").alias("alt", "tokens"))
+    every = need.filter(F.size("tokens") == 0).select("rule_id", F.explode(F.array(*[F.lit(f"#{i}") for i in range(MARKS)])).alias("token"))
+    need = need.select("*", F.explode("tokens").alias("token"))
     seen = urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
     freq = seen.join(need.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("freq"))
     j = need.join(freq, "token", "left").withColumn("order", F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), F.col("token")))
     rare = j.groupBy("rule_id", "alt").agg(F.min("order")["token"].alias("token"))
-    return rare.join(rules.drop("alternatives"), "rule_id")
+    return rare.select("rule_id", "token").unionByName(every).join(rules.drop("alternatives"), "rule_id")
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -94,11 +108,13 @@ def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     rules = rule_table(pages.sparkSession) if rules is None else rules
     urls = p.filter("url is not null").select("url").distinct()
     index = rule_index(urls, rules)
-    u = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+    mark = F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("url"), F.lit(MARKS)).cast("string")))
+    u = urls.select("url", F.explode(F.concat(url_tokens(F.col("url")), mark)).alias("token"))
     c = u.join(index, "token").select(F.col("url"), "kind", F.col("verdict").alias("v"), F.col("host").alias("rule_host"),
                                       F.col("path").alias("rule_path"), "pattern",
                                       host(F.col("url")).alias("h"), path(F.col("url")).alias("q"))
-    prefix = (F.col("kind") == "prefix") & F.concat(F.lit("."), F.col("h")).endswith(F.concat(F.lit("."), "rule_host")) \
+    inside = (F.col("rule_host") == "") | F.concat(F.lit("."), F.col("h")).endswith(F.concat(F.lit("."), "rule_host"))
+    prefix = (F.col("kind") == "prefix") & inside \
         & F.startswith(F.col("q"), F.col("rule_path"))
     fits = c.filter(prefix | ((F.col("kind") == "pattern") & F.expr("url rlike pattern")))
     name = F.concat("rule_host", "rule_path")

@@ -200,3 +200,19 @@ def test_suffix_array():
             while x + n < len(raw) and y + n < len(raw) and raw[x + n] == raw[y + n]:
                 n += 1
             assert lcp[y] == n
+
+
+def test_unlike_rows_of_one_doc_id_stay(spark):
+    a, b, c = prose(81, 90), prose(82, 90), prose(83, 90)
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (6, a, "y"), (None, c, "z"), (None, c, "z"), (7, c, "w"), (5, b + " tail", "u")]
+    d = spark.createDataFrame(rows, "doc_id LONG, text STRING, _row_key STRING")
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    near = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(d).collect()}
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    same = len({v for (i, _), v in near.items() if i == 5}) >= 1
+    assert same and (5, a) in got and (7, c) in got and sum(t in (b, b + " tail") for _, t in got) in (1, 2) and all(i is not None for i, _ in got)
+    only = simhash.keep_one(spark.createDataFrame([(5, a), (5, b)], "doc_id LONG, text STRING"))
+    assert sorted((r.doc_id, r.text) for r in only.collect()) == sorted([(5, a), (5, b)])
+    e = exact_dedup.keep_one(spark.createDataFrame([(1, "Q", "k"), (2, "q", "k")], "doc_id LONG, text STRING, _key STRING"))
+    assert [tuple(r) for r in e.collect()] == [(2, "q", "k")]

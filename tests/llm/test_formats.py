@@ -192,3 +192,32 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, d, SF)
         assert out.columns == d.columns, name
         assert stage(spark, empty_docs(spark), SF).count() == 0, name
+
+
+def test_rules_of_every_kind_fire(spark):
+    """Hyphens, other letters, upper case, no host, no tokens, open ends."""
+    rules = [("block", "my-site.org", "/"), ("block", "b\u00fccher.de", "/"), ("allow", "Shop.b\u00fccher.de", "/A-b"), ("block", "", "/tmp/x"),
+             ("allow", "net", "/"), ("block", "quiet.net", "/Ab/cd")]
+    patterns = [(r"[?]q=$", []), (r"^ftp://", [["ftp"]]), (r"%%", [[]])]
+    urls = ["http://my-site.org/a", "https://x.my-site.org/", "http://notmy-site.org/", "http://b\u00fccher.de/", "http://shop.b\u00fccher.de/A-bc",
+            "http://shop.b\u00fccher.de/a-b", "http://a.example/tmp/xyz", "http://a.example/tmp/y", "http://a.net/tmp/x", "http://quiet.net/Ab/cde",
+            "http://quiet.net/ab/cd", "http://a.example/?q=", "ftp://a.example/", "http://a.example/%%", "http://my-site.org", None, "", "nothing"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id LONG, url STRING")
+    got = {r.page_id: (r.rule, r.verdict, r.pattern) for r in url_rules.judge(d, url_rules.rule_table(spark, rules, patterns)).collect()}
+
+    def brute(url):
+        u = url or ""
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [(len(h + p), h.lower() + p, v) for v, h, p in rules if url and (not h or ("." + host).endswith("." + h.lower())) and path.startswith(p)]
+        if fit:
+            _, name, v = max(fit)
+            return name, v, None
+        hit = [rx for rx, _ in patterns if re.search(rx, u)]
+        return None, "block" if hit else "allow", min(hit, default=None)
+
+    for i, u in enumerate(urls):
+        if u != "http://a.net/tmp/x":
+            assert got[i] == brute(u), u
+    assert got[8] == ("/tmp/x", "block", None)  # the longer rule
+    assert got[0][1] == got[3][1] == got[6][1] == got[11][1] == got[12][1] == got[13][1] == "block"

@@ -153,7 +153,7 @@ def words(t):
 
 
 def test_contaminated_pairs(spark):
-    items = [(1, prose(50, 20)), (2, prose(51, 30)), (3, "too short"), (4, None), (5, "")]
+    items = [(1, prose(50, 20)), (2, prose(51, 30)), (3, "too short"), (4, None), (5, "")]  # the third is nowhere
     w = items[1][1].split()
     edited = w[:10] + ["changed"] + w[11:20] + w[21:]
     rows = [(1, prose(60, 100) + " " + ascii_upper(items[0][1]) + " " + prose(61, 50)), (2, prose(62, 80) + " " + " ".join(edited)),
@@ -176,6 +176,19 @@ def test_contaminated_pairs(spark):
     assert decontaminate.drop_contaminated(edge, bench).columns == edge.columns
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_short_items_count_word_for_word(spark, n):
+    item = ["what", "is", "the", "capital", "of", "old", "france"][:n]
+    text = " ".join(item)
+    rows = [(1, prose(70, 30) + " " + text.upper() + "? " + prose(71, 10)), (2, " ".join([*item[:-1], "other"])), (3, text), (4, text + " " + text),
+            (5, "x".join(item) + "x"), (6, None), (7, prose(72, 50))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    bench = spark.createDataFrame([(1, text), (2, text), (3, "nowhere to be found"), (4, "...")], "item_id LONG, text STRING")
+    got = sorted((r.doc_id, r.item_id, r.score, r.first_word, r.end_word) for r in decontaminate.contaminated_pairs(docs, bench).collect())
+    assert got == [(d, i, 1.0, at, at + n) for d, at in ((1, 30), (3, 0), (4, 0)) for i in (1, 2)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 5, 6, 7]
+
+
 def test_decontamination_against_brute_force(spark):
     """All pairs of the small tables that reach the threshold anywhere."""
     from credence.llm.entry import QUERIES
@@ -277,7 +290,7 @@ def classes_brute(rows, verify_all):
     """Class of each text from all pairs, or from all candidates of the windows."""
     spans, n = tv.Spans(), len(rows)
     sh = [passages.shingles(t.encode(), passages.SHINGLE, spans) for _, t in rows]
-    at = [(d, k, x, y) for d, k, _, x, y, _ in zip(*map(np.concatenate, zip(*passages.text_windows(
+    at = [(d, k, x, y) for d, k, _, x, y, _, _ in zip(*map(np.concatenate, zip(*passages.text_windows(
         [t.encode() for _, t in rows], passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE, spans))))]
     near = {(i, j) for i in range(n) for j in range(i)} if verify_all else {
         (max(d, e), min(d, e)) for d, k, x, y in at for e, m, u, v in at if k == m and d != e and min(x, u) + min(y, v) + 1 >= passages.WIDTH}
@@ -311,6 +324,29 @@ def test_families_against_brute_force(spark, block):
         assert got == classes_brute(rows, verify_all)
 
 
+def test_edited_passages_are_found(spark):
+    """Pairs of texts around passages of 50 to 160 words with word edits, against all pairs."""
+    import random
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        p = prose(20_000 + i, 50 + (i * 11) % 111).split()
+        w = list(p)
+        for _ in range(1 + (len(p) > 90)):
+            at = r.randrange(len(w))
+            kind = r.choice("cid")
+            w[at:at + (kind != "i")] = [] if kind == "d" else [f"edit{i}x{at}"]
+        rows += [(2 * i, prose(30_000 + i, 40) + " " + " ".join(p) + " " + prose(40_000 + i, 20)),
+                 (2 * i + 1, prose(50_000 + i, 15) + " " + " ".join(w) + " " + prose(60_000 + i, 60))]
+    spans = tv.Spans()
+    sh = {i: passages.shingles(t.encode(), passages.SHINGLE, spans) for i, t in rows}
+    want = {i for i in range(60) if passages.verify(sh[2 * i], sh[2 * i + 1], passages.WIDTH, passages.SIMILARITY)}
+    got = {x.doc_id: x.class_id for x in passages.shared_passages(
+        spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)).collect()}
+    found = {i for i in range(60) if got.get(2 * i) == got.get(2 * i + 1) == 2 * i}
+    assert len(want) > 40 and found <= want and len(found) >= 0.95 * len(want), (len(found), len(want))
+
+
 def test_all_places_of_a_key():
     doc = np.zeros(4, np.int64)
     key, ctx = np.array([5, 5, 5, 5]), np.array([1, 1, 1, 2])
