@@ -694,7 +694,7 @@ from credence.operators import abbreviations as ab  # noqa: E402
 from credence.operators import domains as dm  # noqa: E402
 from credence.operators import lexicon as lx  # noqa: E402
 from credence.operators import subword as sw  # noqa: E402
-from credence.session import checkpoint_dir  # noqa: E402
+from credence.session import checkpoint_dir, stored  # noqa: E402
 from credence.streaming import stateful as stf  # noqa: E402
 
 #: pages that stand for those the events ask for (see q_cache_expiry)
@@ -753,9 +753,10 @@ def q_learned_lexicon(spark, sf):
 
 
 def q_learned_sentiment(spark, sf):
-    """N1/N2 with the learned lexicon."""
+    """N1/N2 with the learned lexicon, written first: its size is known then,
+    and a small one is broadcast instead of dealing out every token."""
     docs = tb.enriched_content(spark, sf)
-    return finalize(ft.lexicon_sentiment(docs, "doc_id", "text", lx.learn(docs)))
+    return finalize(ft.lexicon_sentiment(docs, "doc_id", "text", stored(lx.learn(docs), "lexicon")))
 
 
 def q_source_table(spark, sf):
