@@ -807,3 +807,43 @@ QUERIES.update({
     "subword_truncate": q_subword_truncate,
     "document_classify": q_document_classify,
 })
+
+
+# ---------------------------------------------------------------------------
+# the sinks, written and read back
+# ---------------------------------------------------------------------------
+
+def _written(spark, name):
+    import uuid
+
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def q_response_sink(spark, sf):
+    """The nested response records as JSON, read back."""
+    e, path = _page_explained(spark, sf), _written(spark, "responses")
+    sk.write_responses(e, path, "page_id", run_ts=RUN2_TS)
+    nested = e.select("page_id", sk.response_struct().alias("response"), F.lit(None).cast("timestamp").alias("analysis_timestamp"))
+    r = spark.read.schema(nested.schema).json(path)
+    flat = r.select("page_id", "response.*", "analysis_timestamp")
+    return finalize(flat.select(
+        "page_id", "success", "prediction", "confidence", "credibility_score", "summary",
+        F.size("positive_factors").alias("n_positive"), F.size("negative_factors").alias("n_negative"),
+        F.array_join("key_concerns", "|").alias("key_concerns"), F.array_join("recommendations", "|").alias("recommendations"),
+        "metadata.*", "analysis_timestamp"))
+
+
+def q_evaluation_sink(spark, sf):
+    """Metrics and detailed results as JSON with the run's time, read
+    back: the metrics, and how many details were written."""
+    details = stored(_eval_details(spark, sf), "details")
+    m, path = ev.metrics(details), _written(spark, "evaluation")
+    sk.write_evaluation(m, details, path, RUN2_TS)
+    when = F.lit(None).cast("timestamp").alias("run_ts")
+    back = spark.read.schema(m.select("*", when).schema).json(f"{path}/metrics")
+    rows = spark.read.schema(details.select("*", when).schema).json(f"{path}/detailed_results")
+    n = rows.agg(F.count(F.lit(1)).alias("detailed_results"), F.count(F.when(F.col("is_correct"), 1)).alias("detailed_correct"))
+    return finalize(back.join(n))  # one row each
+
+
+QUERIES.update({"response_sink": q_response_sink, "evaluation_sink": q_evaluation_sink})

@@ -578,3 +578,9 @@ b AS (SELECT h.page_id, arg_max(name, length(name)) AS name, arg_max(kind, lengt
 SELECT h.page_id, h.domain, b.name AS domain_name, b.kind AS domain_kind, CASE WHEN b.kind = 'trusted' THEN 1 ELSE 0 END AS is_trusted_domain,
   CASE WHEN b.kind = 'unreliable' THEN 1 ELSE 0 END AS is_unreliable_domain FROM h LEFT JOIN b ON b.page_id = h.page_id""",
 })
+
+SQL["response_sink"] = lambda: f"SELECT *, TIMESTAMP '2024-01-02 00:00:00' AS analysis_timestamp FROM ({SQL['analysis_response']()})"
+SQL["evaluation_sink"] = lambda: with_ctes(
+    [f"cm AS ({SQL['classification_metrics']()})"] + EVAL,
+    """SELECT cm.*, TIMESTAMP '2024-01-02 00:00:00' AS run_ts, (SELECT count(*) FROM details) AS detailed_results,
+  (SELECT count(*) FROM details WHERE is_correct) AS detailed_correct FROM cm""")

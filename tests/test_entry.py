@@ -12,7 +12,8 @@ factor_preview cache_key cache_upsert cache_lookup cache_misses cache_stats stre
 eval_details confusion_matrix classification_metrics latency_stats prediction_distribution eval_report
 tolerant_accuracy credibility_gap enriched_features enriched_verdict enriched_explanation enriched_details
 evaluation_record classifier_verdict cache_serve cache_expiry rolling_rate learned_abbreviations
-learned_sentence_stats learned_lexicon learned_sentiment source_table subword_truncate document_classify""".split()
+learned_sentence_stats learned_lexicon learned_sentiment source_table subword_truncate document_classify
+response_sink evaluation_sink""".split()
 #: trained models and a tokenizer are beyond SQL
 NO_SQL = {"base_classifier", "classifier_verdict", "subword_truncate", "document_classify"}
 
