@@ -221,3 +221,38 @@ def test_rules_of_every_kind_fire(spark):
             assert got[i] == brute(u), u
     assert got[8] == ("/tmp/x", "block", None)  # the longer rule
     assert got[0][1] == got[3][1] == got[6][1] == got[11][1] == got[12][1] == got[13][1] == "block"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_reply_forests(spark, seed):
+    """Ties, missing parents, cycles, repeated nodes, chains of over 64 replies, against a walk."""
+    import random
+    r = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        n = r.choice((1, 5, 20, 90))
+        for i in range(n):
+            parent = None if i == 0 else (i - 1 if n == 90 else r.choice((r.randrange(i), r.randrange(i), r.randrange(n), 1000, None)))
+            rows.append((conv, i, r.choice(("user", "assistant")), f"c{conv} n{i} ### x", parent, r.choice((0.0, 0.5, 0.5, -1.0, None))))
+    rows += [(3, 0, "zzz", "a second row of node 0", None, 9.0), (50, 1, "user", "loop", 2, 1.0), (50, 2, "user", "loop", 1, 1.0), (50, 3, "user", "hangs on it", 1, 1.0)]
+    d = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING, parent LONG, score DOUBLE").repartition(4)
+    got = sorted((x.conv_id, x.path_rank, x.formatted) for x in chat.format_paths(d, "parent", "score", keep=3).collect())
+    want = []
+    for conv in {c for c, *_ in rows}:
+        nodes = {}
+        for _, i, role, text, parent, score in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2], x[3])):
+            nodes.setdefault(i, (role, text, parent if parent is not None else None, score or 0.0))
+        inner = {v[2] for v in nodes.values()}
+        paths = []
+        for leaf in nodes:
+            if leaf in inner:
+                continue
+            path, at = [], leaf
+            while at in nodes and at not in path:
+                path.append(at)
+                at = nodes[at][2]
+            if at not in path:
+                paths.append((-round(sum(nodes[p][3] for p in path), 6), leaf, path[::-1]))
+        for rank, (_, _, path) in enumerate(sorted(paths)[:3], 1):
+            want.append((conv, rank, "".join(f"### {nodes[p][0]}\n{nodes[p][1].replace('### ', chr(92) + '### ')}\n</turn>\n" for p in path)))
+    assert got == sorted(want) and len(want) > 12

@@ -208,6 +208,31 @@ def test_decontamination_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_descent_reaches_the_hinge_optimum(seed):
+    """The gap between the loss and its dual, with the multipliers read off the weights."""
+    g = np.random.default_rng(seed)
+    n, dim = 40, 400
+    lists = [np.sort(g.choice(dim, g.integers(5, 30), replace=False)) for _ in range(n)]
+    off, cols = np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.concatenate(lists)
+    y = np.where(g.random(n) < 0.35, 1, -1)
+    r = g.normal(size=dim)
+    w, bias = quality.descend(off, cols, y, r, quality.COST, quality.EPOCHS)
+    scale = quality.unit_rows(off, r[cols])
+    x = np.zeros((n, dim + 1))
+    for i, c in enumerate(lists):
+        x[i, c] = r[c] * scale[i]
+        x[i, dim] = quality.BIAS * scale[i]
+    assert np.allclose((x ** 2).sum(axis=1), 1)
+    full = np.concatenate((w, [bias]))
+    a, *_ = np.linalg.lstsq((x * y[:, None]).T, full, rcond=None)
+    upper = quality.COST * n / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+    assert np.allclose((x * y[:, None]).T @ a, full, atol=1e-8) and (a > -1e-6).all() and (a < upper + 1e-6).all()
+    primal = 0.5 * full @ full + (upper * np.maximum(0, 1 - y * (x @ full))).sum()
+    dual = a.sum() - 0.5 * full @ full
+    assert 0 <= primal - dual + 1e-9 and primal - dual < 1e-3 * max(1.0, primal)
+
+
 # -- 6 ------------------------------------------------------------------------
 
 def test_compact_windows_against_brute_force():
