@@ -11,13 +11,14 @@ The whole text is read: hashed counts have no length limit, so the token cut
 of P18 is left to models that have one (``external_model``).
 
 All stages are distributed Spark ML stages; fitting makes a few passes over
-the (cached) labelled rows, scoring is a per-row ``transform``.  A user model
+the term counts of the labelled rows (cached, not their texts), scoring is a per-row ``transform``.  A user model
 can be plugged in instead with ``predict_batch_udf`` (Arrow batches) as long
 as it yields a ``base_fake_probability`` column.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
@@ -44,14 +45,18 @@ def build_pipeline(text_col: str = "text", params: Params = DEFAULT, num_feature
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", params: Params = DEFAULT,
         **kw) -> PipelineModel:
-    """Fit on rows labelled REAL/FAKE (FAKE is the positive class)."""
+    """Fit on rows labelled REAL/FAKE (FAKE is the positive class).  The
+    texts are read once: what the two fits share, and what is kept between
+    them, are the hashed term counts."""
     train = labelled.where(F.col(label_col).isin("REAL", "FAKE")).select(
         F.col(text_col), (F.col(label_col) == "FAKE").cast("double").alias("_y"))
-    train = train.persist()
+    *before, idf, regression = build_pipeline(text_col, params, **kw).getStages()
+    counts = PipelineModel(before).transform(train).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(text_col, params, **kw).fit(train)
+        weights = idf.fit(counts)
+        return PipelineModel([*before, weights, regression.fit(weights.transform(counts))])
     finally:
-        train.unpersist()
+        counts.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, params: Params = DEFAULT, batch: bool = False) -> DataFrame:
