@@ -274,8 +274,9 @@ def _labelled(docs: DataFrame, k: int, max_bits: int, block: int, keyed: bool) -
     ids = stored(distinct.join(comp, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", "least_key", F.coalesce("root", "fp").alias("root")))
     least = F.min(F.struct(F.col("least").isNull(), "least", "least_key"))
-    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), least["least_key"].alias("first_key"))
-    return fp.join(ids.join(roots, "root").select("fp", "component_id", "first_key"), "fp")
+    # written, so that both joins back are of two plain scans, whose skewed keys Spark splits
+    roots = stored(ids.groupBy("root").agg(F.min("least").alias("component_id"), least["least_key"].alias("first_key")))
+    return fp.join(stored(ids.join(roots, "root").select("fp", "component_id", "first_key")), "fp")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
