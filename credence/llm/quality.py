@@ -202,18 +202,24 @@ def solve_rows(off, cols, y, bits, alpha, cost, epochs) -> list[np.ndarray]:
     return [r, w, np.array([bias, slope, at, share])]
 
 
+def score_texts(texts: list, model: dict, step: int = 512) -> np.ndarray:
+    """Scores of a batch, ``step`` texts at a time: the indicators of few
+    texts are in memory at once."""
+    if len(model.get("weights", ())) < 2:
+        return np.full(len(texts), model["prior"])
+    spans, out = tv.Spans(), [np.zeros(0)]
+    for lo in range(0, len(texts), step):
+        off, cols = features(texts[lo:lo + step], model["bits"], spans)
+        m = margins(off, cols, (model["ratios"], model["weights"], model["bias"]))
+        out.append(1 / (1 + np.exp(-np.clip(model["slope"] * m + model["offset"], -30, 30))))
+    return np.concatenate(out)
+
+
 def score_column(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with the columns ``_text`` and ``_id`` replaced by score."""
+    """(doc_id, score) of the rows of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]):
-        spans = tv.Spans()
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            if "weights" in model and len(model["weights"]) > 1:
-                off, cols = features(texts, model["bits"], spans)
-                m = margins(off, cols, (model["ratios"], model["weights"], model["bias"]))
-                s = 1 / (1 + np.exp(-np.clip(model["slope"] * m + model["offset"], -30, 30)))
-            else:
-                s = np.full(len(texts), model["prior"])
+            s = score_texts(b.column("text").cast(pa.binary()).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     d = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -233,12 +239,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **para
 
     @F.pandas_udf("double")
     def score(texts):
-        t = [None if x is None else x.encode() for x in texts.tolist()]
         import pandas as pd
-        if "weights" not in model or len(model["weights"]) < 2:
-            return pd.Series(np.full(len(t), model["prior"]))
-        off, cols = features(t, model["bits"], tv.Spans())
-        m = margins(off, cols, (model["ratios"], model["weights"], model["bias"]))
-        return pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * m + model["offset"], -30, 30))))
+        return pd.Series(score_texts([None if x is None else x.encode() for x in texts], model))
 
     return docs.filter(score(F.col("text").cast("string")) >= threshold)
