@@ -11,7 +11,7 @@ Spark ML on all labelled rows given; it predicts through
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import predict_batch_udf
@@ -23,6 +23,8 @@ from credence.operators.score import base_label
 from credence.params import BATCH_SIZE, DEFAULT, Params
 
 PAD = -1
+#: texts that are Python objects at a time; the rest of a batch stays in Arrow
+ENCODE_ROWS = 64
 
 
 def default_tokenizer() -> str:
@@ -37,16 +39,27 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+def encode_texts(texts: pa.Array, tok, max_tokens: int) -> pa.Array:
+    """struct(n, ids) of every text, ``ENCODE_ROWS`` texts at a time."""
+    n, cut = np.zeros(len(texts), np.int32), []
+    for lo in range(0, len(texts), ENCODE_ROWS):
+        for i, t in enumerate(texts.slice(lo, ENCODE_ROWS).to_pylist(), lo):
+            ids = tok.encode(t or "", add_special_tokens=False).ids
+            n[i] = len(ids)
+            cut.append(np.array(ids[:max_tokens], np.int32))
+    edge = np.concatenate(([0], np.cumsum([len(x) for x in cut]))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, np.int32), *cut])))
+    return pa.StructArray.from_arrays([pa.array(n), ids], ["n", "ids"])
+
+
 def subword_ids(text: Column, path: str, max_tokens: int = DEFAULT.max_tokens) -> Column:
     """struct(n, ids): how many ids the whole text has, and the first
     ``max_tokens`` of them, without special tokens."""
-    @F.pandas_udf("n int, ids array<int>")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("n int, ids array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         from tokenizers import Tokenizer
 
-        tok = _loaded(path, Tokenizer)
-        out = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
-        return pd.DataFrame({"n": np.array([len(x) for x in out], np.int32), "ids": [x[:max_tokens] for x in out]})
+        return encode_texts(texts, _loaded(path, Tokenizer), max_tokens)
 
     return encode.asNondeterministic()(text)
 

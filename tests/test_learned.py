@@ -106,6 +106,20 @@ def test_subwords_against_the_tokenizer(spark):
         assert r.s.n == len(ids) and r.s.ids == ids[:512]
 
 
+def test_subwords_hold_few_texts_as_objects():
+    import tracemalloc
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(sw.default_tokenizer())
+    texts = pa.array(["zq " * 1500, None, ""] * 700)
+    tracemalloc.start()
+    out = sw.encode_texts(texts, tok, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2100 and out[1].as_py() == {"n": 0, "ids": []} and out[0].as_py()["n"] >= 1500
+    assert peak < 10e6, peak  # all ids of all texts as lists: 14 MB at least
+
+
 def test_batch_classifier_on_held_out_documents(spark):
     from credence.plans import catalog as ct
     out = ct.q_document_classify(spark, SF01)
