@@ -19,9 +19,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from credence.functions.text import words
 from credence.operators.keywords import with_summary, with_top_terms
@@ -41,9 +43,17 @@ PAGE_TYPE = T.StructType([T.StructField(name, T.ArrayType(T.StringType()) if nam
 MEDIA = ("top_image", "videos", "meta_keywords", "source_url")
 
 
-@F.pandas_udf(PAGE_TYPE)
-def _read_pages(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(x, u) for x, u in zip(html, url, strict=True)], columns=PAGE_TYPE.names)
+#: pages that are Python objects at a time; the rest of a batch stays in Arrow
+READ_ROWS = 64
+
+
+@F.arrow_udf(PAGE_TYPE)
+def _read_pages(html: pa.Array, url: pa.Array) -> pa.Array:
+    made = [pa.array([], to_arrow_type(PAGE_TYPE))]
+    for lo in range(0, len(html), READ_ROWS):
+        part = zip(html.slice(lo, READ_ROWS).to_pylist(), url.slice(lo, READ_ROWS).to_pylist(), strict=True)
+        made.append(pa.array([read_page(x, u) for x, u in part], made[0].type))
+    return pa.concat_arrays(made)
 
 
 def page_record(html: Column, url: Column) -> Column:

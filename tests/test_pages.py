@@ -189,3 +189,18 @@ def test_file_source_never_opens_large_pages(spark, tmp_path):
     assert got["https://a.example/n/one.html"].text == "Größe one." and got["https://a.example/two.html"].text == "Zwei."
     assert got["https://b.example/big.html"].error == "Content too large" and got["https://b.example/big.html"].text == ""
     assert len({r.page_id for r in got.values()}) == 3
+
+
+def test_pages_are_read_in_slices():
+    import tracemalloc
+    import pyarrow as pa
+    from credence.sources import pages as pg
+    html, urls = ["<title>t</title><p>" + "word " * 2000 + "</p>", None] * 700, ["https://a.example/x", None] * 700
+    tracemalloc.start()
+    out = pg._read_pages.func(pa.array(html), pa.array(urls))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    from credence.sources.html import read_page
+    assert out.to_pylist()[:2] == [read_page(h, u) for h, u in zip(html[:2], urls[:2])] and len(out) == 1400
+    assert len(pg._read_pages.func(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+    assert peak < 8e6, peak  # the records of all pages at once: 14 MB at least
