@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import predict_batch_udf
@@ -109,7 +110,11 @@ def batch_classify(df: DataFrame, labelled: DataFrame, key: str, text_col: str =
     path = path or default_tokenizer()
     cut = lambda d, *more: d.select(*more, subword_ids(F.col(text_col), path, params.max_tokens).alias("s"))
     train = cut(labelled, label_col).select(label_col, F.col("s.ids").alias("ids"))
-    weights, intercept = fit(train, "ids", label_col, vocabulary_size(path))
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads it more than once
+    try:
+        weights, intercept = fit(train, "ids", label_col, vocabulary_size(path))
+    finally:
+        train.unpersist()
     p = probability(weights, intercept, params.max_tokens, 64)
     out = cut(df, key).select(key, F.col("s.n").alias("n_ids"), p(padded(F.col("s.ids"), params.max_tokens)).alias("p"))
     return out.select(key, "n_ids", base_label(F.col("p"), uncertain=False).alias("prediction"),
