@@ -377,3 +377,42 @@ def test_all_places_of_a_key():
     key, ctx = np.array([5, 5, 5, 5]), np.array([1, 1, 1, 2])
     kept = passages.widest(doc, key, ctx, np.array([30, 20, 10, 0]), np.array([10, 20, 15, 9]))
     assert sorted(kept.tolist()) == [0, 1, 3]
+
+
+@pytest.mark.parametrize("few, block", [(passages.FEW, passages.BLOCK), (2, 7), (40, 512)])
+def test_all_links_of_a_passage_count(spark, few, block):
+    """30 texts around one passage, some with a second one that the group's head lacks."""
+    rows = [(i, prose(2000 + i, 20 + i) + " " + prose(700, 60) + " " + prose(3000 + i, 40) + (" " + prose(701, 55) if i % 3 == 1 else ""))
+            for i in range(30)]
+    docs = spark.createDataFrame(rows + [(90, rows[4][1])], "doc_id LONG, text STRING").repartition(3)
+    got = {r.doc_id: r for r in passages.shared_passages(docs, few=few, block=block).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: 30 if i in (4, 90) else 29 for i in [*range(30), 90]}
+    assert {r.class_id for r in got.values()} == {0}
+    assert all(len(got[i].passages) == (2 if i % 3 == 1 else 1) for i in range(30) if i != 4)
+
+
+def test_blocks_verify_like_single_pairs():
+    import random
+    r, spans = random.Random(9), tv.Spans()
+    texts = []
+    for i in range(40):
+        w = (prose(50 + i % 4, 90 + 30 * (i % 3)) + " " + prose(50 + i % 4, 20)).split()
+        for at in r.sample(range(len(w)), i % 7):
+            w[at] = f"edit{i}x{at}"
+        texts.append(" ".join(w if i % 5 else w[:20]))
+    own = [passages.shingles(t.encode(), passages.SHINGLE, spans) for t in texts]
+    x, y = np.triu_indices(len(own), 1)
+    found = 0
+    for part in (np.arange(len(x)), *np.array_split(np.arange(len(x)), 60)):
+        b = passages.Block(own, passages.WIDTH, passages.SIMILARITY)
+        good, cover = b.verify(x[part], y[part])
+        want, on = [], [np.zeros(len(o), bool) for o in own]
+        for i, j in zip(x[part], y[part]):
+            v = passages.verify(own[i], own[j], passages.WIDTH, passages.SIMILARITY)
+            want.append(v is not None)
+            if v:
+                on[i] |= v[1]
+                on[j] |= v[2]
+        assert good.tolist() == want and (cover == np.concatenate(on)).all()
+        found += sum(want)
+    assert found > 50
