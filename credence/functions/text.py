@@ -24,16 +24,19 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u20
             "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+WS_OTHER_CLASS = WS_CLASS.replace(" ", "")
 WHITESPACE = WS_CLASS + "+"
-# every whitespace character but the space, and as many spaces: translate()
-# maps them to ' ' with a per-character table lookup (no regex)
-WS_OTHER = WS_CHARS.replace(" ", "")
-SPACES = " " * len(WS_OTHER)
-
-
-def spaces_only(text: Column) -> Column:
-    """The text with every whitespace character replaced by a space."""
-    return F.translate(text, WS_OTHER, SPACES)
+NOT_WS_CLASS = WS_CLASS.replace("[", "[^", 1)
+# Java tests a class of single Latin-1 characters with one look into a bit
+# set, but ranges one after another: the patterns that meet every character
+# of a text list theirs singly
+LATIN = "".join(rf"\x{i:02X}" for i in range(256) if chr(i) not in WS_CHARS)
+# a space before more white space, or a run that starts with another one
+GAP = rf" (?![{LATIN}]){WS_CLASS}+|(?![ {LATIN}]){WS_OTHER_CLASS}{WS_CLASS}*"
+AZ = "abcdefghijklmnopqrstuvwxyz"
+CONSONANT = "[bcdfghjklmnpqrstvwxz]"
+# first characters that can be upper case (see is_capitalised, which decides)
+UPPER_FIRST = r"[A-Z\x{80}-\x{10FFFF}&&[^\p{Ll}\p{Lo}]]"
 
 
 def materialize(c: Column) -> Column:
@@ -48,14 +51,20 @@ def materialize(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def words(text: Column) -> Column:
-    """Whitespace split, no empty tokens, punctuation kept."""
-    return F.array_remove(F.split(spaces_only(text), " +"), "")
+def spaced(text: Column) -> Column:
+    """The text's tokens with one space between them: every run of white
+    space but a lone space is replaced, so most gaps are no match."""
+    return F.trim(F.regexp_replace(text, GAP, " "))
 
 
-def non_space_chars(text: Column) -> Column:
-    """Sum of the token lengths: the text's length without whitespace."""
-    return F.length(F.translate(text, WS_CHARS, ""))
+def split_spaced(spaced_text: Column) -> Column:
+    """The tokens of a text from :func:`spaced` (a one-character split needs no regex)."""
+    return F.array_remove(F.split(spaced_text, " "), "")
+
+
+def words(text: Column) -> Column:
+    """Whitespace split, no empty tokens, punctuation kept."""
+    return split_spaced(spaced(text))
 
 
 def sentence_end_flags(ws: Column) -> Column:
@@ -82,6 +91,32 @@ def sentence_starts_from_flags(ws: Column, flags: Column) -> Column:
     return F.array_distinct(F.filter(firsts, lambda w: w.isNotNull()))
 
 
+def sentence_count(spaced_text: Column) -> Column:
+    """T2 from a text of :func:`spaced`: what ends a token and is followed by
+    a space ends a sentence."""
+    inner = F.regexp_count(spaced_text, F.lit(r"""[.!?]["')\]]*+ """))
+    return F.when(spaced_text == "", F.lit(0)).otherwise(inner + 1)
+
+
+def capitalised(spaced_text: Column) -> Column:
+    """Capitalised tokens of two characters and more, in order."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), spaced_text), F.lit(f" ({UPPER_FIRST}[^ ]+)"), 1)
+    return F.filter(found, is_capitalised)
+
+
+def capitalised_starts(spaced_text: Column) -> Column:
+    """Those that start a sentence (T3), each once."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), spaced_text),
+                                 F.lit(rf"""(?:^|[.!?]["')\]]*+) (?=({UPPER_FIRST}[^ ]+))"""), 1)
+    return F.array_distinct(F.filter(found, is_capitalised))
+
+
+def all_caps_count(spaced_text: Column) -> Column:
+    """Tokens of two characters and more in capitals; only those without a-z are looked at."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), spaced_text), F.lit(f" ([^ {AZ}]{{2,}}+)(?![^ ])"), 1)
+    return F.size(F.filter(found, is_all_caps))
+
+
 def is_capitalised(w: Column) -> Column:
     """First character is an upper-case letter."""
     c = F.substring(w, 1, 1)
@@ -101,8 +136,17 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(c) <= 3, F.lit(1)).otherwise(F.greatest(F.lit(1), groups - silent_e))
 
 
-def total_syllables(ws: Column) -> Column:
-    return F.aggregate(F.transform(ws, syllables), F.lit(0), lambda acc, x: acc + x)
+def total_syllables(letters: Column, n: Column) -> Column:
+    """T4 summed over a text of ``n`` tokens, without a look at each token.
+    ``letters``: the text in lower case, only a-z and the spaces kept.
+
+    Every token has one syllable; a longer one has another for each vowel
+    group after its first that is no final silent e.  Such groups follow a
+    vowel and consonants; of the tokens of up to three letters only
+    vowel-consonant-vowel has one, which is taken off again."""
+    more = F.regexp_count(letters, F.lit(f"[aeiouy]{CONSONANT}++(?=[aeiouy]++(?:{CONSONANT}|(?<!e)))"))
+    short = F.regexp_count(F.concat(F.lit(" "), letters, F.lit(" ")), F.lit(f" [aeiouy]{CONSONANT}[aiouy](?= )"))
+    return n + more - short
 
 
 def keyword_hits(text_lower: Column, keywords: Iterable[str]) -> Column:

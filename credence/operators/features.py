@@ -97,12 +97,17 @@ def _lexicon_parts(params: Params):
     return sentiment_words, intensifiers, pol, sub, inten
 
 
+def sentiment_letters(lower_spaced: Column) -> Column:
+    """A lower-cased text of ``tx.spaced`` without every character but a-z,
+    apostrophe and space."""
+    return F.regexp_replace(lower_spaced, f"[^{tx.AZ}' ]+", "")
+
+
 def sentiment_tokens(text: Column) -> Column:
     """Sentiment tokens: the whitespace-separated tokens of the lower-cased
     text after removing every character but a-z, apostrophe and whitespace
     (one regex per text; tokens made only of other characters vanish)."""
-    cleaned = F.regexp_replace(F.lower(tx.spaces_only(text)), "[^a-z' ]", "")
-    return F.array_remove(F.split(cleaned, " +"), "")
+    return tx.split_spaced(sentiment_letters(F.lower(tx.spaced(text))))
 
 
 def sentiment_scores(tk: Column, params: Params = DEFAULT) -> Column:
@@ -165,11 +170,10 @@ def _flag(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0))
 
 
-def _proper_nouns(w: Column, starts: Column) -> Column:
+def _proper_nouns(caps: Column, starts: Column) -> Column:
     """U4: capitalised words of two characters and more that start no
     sentence.  Starts and words are sorted together, a start before its
     words, and one fold counts the words that differ from the last start."""
-    caps = F.filter(w, lambda x: tx.is_capitalised(x) & (F.length(x) > 1))
     both = F.sort_array(F.concat(
         F.transform(starts, lambda x: F.struct(x.alias("w"), F.lit(0).alias("t"))),
         F.transform(caps, lambda x: F.struct(x.alias("w"), F.lit(1).alias("t")))))
@@ -218,40 +222,42 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
     passthrough = [c for c in base.columns if keep_content or c not in CONTENT_COLUMNS]
     need_content = list(CONTENT_COLUMNS)
 
-    # stage 1: tokens
+    # stage 1: texts with one space between tokens
     s1 = base.select(
         *[F.col(c) for c in dict.fromkeys(passthrough + need_content)],
-        tx.words(F.col("text")).alias("_w"),
-        tx.words(F.col("title")).alias("_tw"),
+        tx.spaced(F.col("text")).alias("_t"),
+        tx.spaced(F.col("title")).alias("_tt"),
         F.replace(F.lower(F.col("domain")), F.lit("www."), F.lit("")).alias("_dom"),
     )
-    # stage 2: per-row intermediates used by several features
-    s2_cols = [F.col(c) for c in s1.columns]
-    s2_cols += [F.size("_w").alias("_n"), tx.sentence_end_flags(F.col("_w")).alias("_ends"),
-                tx.materialize(tx.words(F.lower(F.col("text")))).alias("_lw"),
-                F.lower(F.col("text")).alias("_lt"), F.lower(F.col("title")).alias("_ltt")]
+    # stages 2 and 3: per-row intermediates used by several features
+    s2 = s1.select("*", tx.materialize(F.lower(F.col("_t"))).alias("_lt"), F.lower(F.col("title")).alias("_ltt"),
+                   tx.materialize(F.length("text")).alias("_len"))
+    s2_cols = [F.col(c) for c in s2.columns]
+    s2_cols += [tx.materialize(tx.split_spaced(F.col("_lt"))).alias("_lw"),
+                tx.materialize(sentiment_letters(F.col("_lt"))).alias("_letters"),
+                tx.sentence_count(F.col("_t")).alias("_s")]
+    if "structural" in groups:
+        s2_cols.append(tx.materialize(tx.capitalised(F.col("_t"))).alias("_caps"))
+        s2_cols.append(tx.materialize(tx.capitalised_starts(F.col("_t"))).alias("_starts"))
+        s2_cols.append(F.size(F.filter(F.split(F.col("text"), "\n\n"),
+                                       lambda p: p.rlike(tx.NOT_WS_CLASS))).alias("_paras"))
+    s2 = s2.select(*s2_cols)
+    s3_cols = [F.col(c) for c in s2.columns] + [F.size("_lw").alias("_n")]
     if "sentiment" in groups:
-        s2_cols.append(tx.materialize(sentiment_tokens(F.col("text"))).alias("_tk"))
-        s2_cols.append(tx.materialize(sentiment_tokens(F.col("title"))).alias("_ttk"))
-    s2 = s1.select(*s2_cols)
+        s3_cols.append(tx.materialize(tx.split_spaced(F.col("_letters"))).alias("_tk"))
+        s3_cols.append(tx.materialize(sentiment_tokens(F.col("title"))).alias("_ttk"))
+    s2 = s2.select(*s3_cols)
     s3_cols = [F.col(c) for c in s2.columns]
-    s3_cols.append(tx.sentence_count_from_flags(F.col("_ends")).alias("_s"))
     if "readability" in groups:
-        s3_cols.append(tx.total_syllables(F.col("_w")).alias("_syl"))
-    if "structural" in groups:
-        caps_starts = F.filter(tx.sentence_starts_from_flags(F.col("_w"), F.col("_ends")),
-                               lambda w: tx.is_capitalised(w) & (F.length(w) > 1))
-        s3_cols.append(tx.materialize(caps_starts).alias("_starts"))
-        s3_cols.append(F.size(F.filter(F.split(F.col("text"), "\n\n"),
-                                        lambda p: F.btrim(p, F.lit(tx.WS_CHARS)) != "")).alias("_paras"))
+        s3_cols.append(tx.total_syllables(F.replace(F.col("_letters"), F.lit("'"), F.lit("")), F.col("_n")).alias("_syl"))
     if "sentiment" in groups:
         s3_cols.append(sentiment_scores(F.col("_tk"), params).alias("_sc"))
         s3_cols.append(sentiment_scores(F.col("_ttk"), params).alias("_tsc"))
     s2 = s2.select(*s3_cols)
 
-    w, tw, n, s = F.col("_w"), F.col("_tw"), F.col("_n"), F.col("_s")
+    t, tt, n, s = F.col("_t"), F.col("_tt"), F.col("_n"), F.col("_s")
     text, title, dom = F.col("text"), F.col("title"), F.col("_dom")
-    length = F.length(text)
+    length = F.col("_len")
     feats: dict[str, Column] = {}
 
     if "linguistic" in groups:
@@ -261,19 +267,21 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
             "text_length": length,
             "title_length": F.length(title),
             "word_count": n,
-            "avg_word_length": tx.ratio(tx.non_space_chars(text), n),
+            "avg_word_length": tx.ratio(F.length(t) - F.greatest(n - 1, F.lit(0)), n),
             "sentence_count": s,
             "avg_sentence_length": tx.ratio(n, s),
             "exclamation_count": excl,
             "question_count": tx.char_count(text, "?"),
             "exclamation_ratio": tx.ratio(excl, length),
-            "capital_ratio": tx.ratio(length - F.length(F.regexp_replace(text, "[A-Z]", "")), length),
-            "title_caps_ratio": tx.ratio(F.size(F.filter(tw, lambda x: tx.is_all_caps(x) & (F.length(x) > 1))), F.size(tw)),
+            "capital_ratio": tx.ratio(F.regexp_count(text, F.lit("[A-Z]")), length),
+            "title_caps_ratio": tx.ratio(tx.all_caps_count(tt), F.size(tx.split_spaced(tt))),
             "unique_word_ratio": tx.ratio(F.size(F.array_distinct(F.col("_lw"))), n),
             "stopword_ratio": tx.ratio(F.size(F.filter(F.col("_lw"), lambda x: x.isin(stop))), n),
         })
     if "sentiment" in groups:
-        emo = tx.keyword_hits(F.col("_lt"), params.emotional_words)
+        # _lt has other white space than the text
+        one_word = not any(c in w for w in params.emotional_words for c in tx.WS_CHARS)
+        emo = tx.keyword_hits(F.col("_lt") if one_word else F.lower(text), params.emotional_words)
         feats.update({
             "text_polarity": _avg_field(F.col("_sc"), "p", -1.0, 1.0),
             "text_subjectivity": _avg_field(F.col("_sc"), "s", 0.0, 1.0),
@@ -293,9 +301,9 @@ def extract_features(df: DataFrame, params: Params = DEFAULT, groups=None, keep_
             "avg_syllables_per_word": F.when(ok, spw).otherwise(F.lit(0.0)),
         })
     if "structural" in groups:
-        urls = F.size(F.regexp_extract_all(text, F.lit(URL_PATTERN), 0))
+        urls = F.when(text.contains("http"), F.size(F.regexp_extract_all(text, F.lit(URL_PATTERN), 0))).otherwise(0)
         quotes = tx.char_count(text, '"')
-        proper = _proper_nouns(w, F.col("_starts"))
+        proper = _proper_nouns(F.col("_caps"), F.col("_starts"))
         paras = F.col("_paras")
         feats.update({
             "url_count": urls,

@@ -133,3 +133,34 @@ def test_feature_summary(spark):
     s = df.select(feature_summary(df).alias("s")).first()["s"]
     assert s.startswith("Text length: 4 words | Sentiment: ")
     assert s.endswith("Clickbait indicators: 0 | Trusted domain: Yes")
+
+
+ODD = ["", " ", "Ate an apple. Ago era. Aba 'ice' -- don't queue!", "One.Two. 'Three.') Four?! five ... Six", "x　Y z\x85 \x1c w\n\n\n v.",
+       "Été été ǅx Ⓐb ⓐb ßa İstanbul 漢字 NASA U.S. ΟΔΟΣ.", "  lead.  trail. ", ".)!) a. \". b", "aaaa eeee bcdf theee queue's"]
+
+
+def test_text_primitives_without_a_look_at_each_token(spark):
+    """The whole-text forms against the token by token ones, in Spark."""
+    from credence.functions import text as tx
+    from credence.operators.features import sentiment_letters
+    df = spark.createDataFrame([(t,) for t in ODD], "t STRING")
+    w = F.array_remove(F.split(F.translate("t", tx.WS_CHARS, " " * len(tx.WS_CHARS)), " +"), "")
+    d = df.select("t", tx.materialize(w).alias("w"), tx.spaced(F.col("t")).alias("s"))
+    ends = tx.sentence_end_flags(F.col("w"))
+    cap = lambda x: tx.is_capitalised(x) & (F.length(x) > 1)
+    letters = F.replace(sentiment_letters(F.lower("s")), F.lit("'"), F.lit(""))
+    got = d.select(
+        "w", tx.words(F.col("t")).alias("w2"),
+        tx.sentence_count_from_flags(ends).alias("s1"), tx.sentence_count(F.col("s")).alias("s2"),
+        F.filter("w", cap).alias("c1"), tx.capitalised(F.col("s")).alias("c2"),
+        F.filter(tx.sentence_starts_from_flags(F.col("w"), ends), cap).alias("b1"), tx.capitalised_starts(F.col("s")).alias("b2"),
+        F.size(F.filter("w", lambda x: tx.is_all_caps(x) & (F.length(x) > 1))).alias("a1"), tx.all_caps_count(F.col("s")).alias("a2"),
+        F.aggregate(F.transform("w", tx.syllables), F.lit(0), lambda a, x: a + x).alias("y1"),
+        tx.total_syllables(letters, F.size("w")).alias("y2")).collect()
+    for r in got:
+        assert (r.w, r.s1, r.c1, r.b1, r.a1, r.y1) == (r.w2, r.s2, r.c2, r.b2, r.a2, r.y2), r
+
+
+def test_features_look_at_no_token_with_a_regex(spark):
+    plan = extract_features(spark.createDataFrame([row(1, "a")], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "transform(split" not in plan and "regexp_replace(lower(lambda" not in plan
