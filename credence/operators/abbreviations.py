@@ -29,6 +29,9 @@ LEAST_SCORE, PERIOD_CHANCE = 0.3, 0.99
 MOST_LISTED = 50_000
 
 OPENING, CLOSING = r"""^["'(\[]+""", r"""[,;:!?"')\]]+$"""
+#: the same in a text of one space between tokens and one in front
+OPENINGS, CLOSINGS = r""" ["'(\[]++""", r"""[,;:!?"')\]]++(?![^ ])"""
+ENDING = r""" ([^ ]*[.!?]["')\]]*+)(?= )"""
 FINAL_PERIOD = r"""[.]["')\]]*$"""
 WORD = r"^\p{L}[\p{L}.]*$"
 
@@ -47,12 +50,17 @@ def type_of(token: Column) -> Column:
 
 
 def period_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, with_period, without_period) of the corpus' words."""
-    t = df.select(F.explode(tx.words(F.coalesce(F.col(text_col), F.lit("")))).alias("t")).select(bare(F.col("t")).alias("b"))
+    """(word, with_period, without_period) of the corpus' words.  Texts are
+    cleaned as a whole and tokens counted as they are; what a word is, is
+    asked once for each different token."""
+    t = F.regexp_replace(F.concat(F.lit(" "), tx.spaced(F.coalesce(F.col(text_col), F.lit("")))), OPENINGS, " ")
+    t = F.lower(F.regexp_replace(t, CLOSINGS, ""))  # every token as bare() makes it
+    t = df.select(F.explode(tx.split_spaced(t)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     ends = F.col("b").endswith(".")
-    t = t.select(F.when(ends, F.substr("b", F.lit(1), F.length("b") - 1)).otherwise(F.col("b")).alias("word"), ends.alias("p"))
+    t = t.select(F.when(ends, F.substr("b", F.lit(1), F.length("b") - 1)).otherwise(F.col("b")).alias("word"), ends.alias("p"), "n")
     return t.where(F.col("word").rlike(WORD)).groupBy("word").agg(
-        F.count(F.when(F.col("p"), 1)).alias("with_period"), F.count(F.when(~F.col("p"), 1)).alias("without_period"))
+        F.sum(F.when(F.col("p"), F.col("n")).otherwise(0)).alias("with_period"),
+        F.sum(F.when(F.col("p"), 0).otherwise(F.col("n"))).alias("without_period"))
 
 
 def learn(df: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -71,21 +79,26 @@ def learn(df: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) ->
     return c.select("word", "with_period", "without_period", score.alias("score")).where(F.col("score") >= least)
 
 
-def sentence_ends(ws: Column, abbreviations: list[str]) -> Column:
-    """Per token: does it close a sentence, with a list of abbreviations."""
-    flags = tx.sentence_end_flags(ws)
+def sentence_count(spaced_text: Column, abbreviations: list[str]) -> Column:
+    """T2 from a text of ``tx.spaced`` with a list of abbreviations: only
+    tokens that may end a sentence are looked at."""
     if not abbreviations:
-        return flags
-    return F.zip_with(ws, flags, lambda w, f: f & ~F.coalesce(type_of(w).isin(abbreviations), F.lit(False)))
+        return tx.sentence_count(spaced_text)
+    ends = F.regexp_extract_all(F.concat(F.lit(" "), spaced_text), F.lit(ENDING), 1)
+    inner = F.size(F.filter(ends, lambda w: ~F.coalesce(type_of(w).isin(abbreviations), F.lit(False))))
+    return F.when(spaced_text == "", F.lit(0)).otherwise(inner + 1)
 
 
 def sentence_stats(df: DataFrame, key: str, text_col: str, abbreviations: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
     """(key, n_tokens, sentence_count): T1/T2 with learned abbreviations."""
-    d = df.select(F.col(key), tx.words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     listed = [r.word for r in abbreviations.select("word").limit(most_listed + 1).collect()]
     if len(listed) <= most_listed:
-        d = d.select(key, "w", tx.materialize(sentence_ends(F.col("w"), listed)).alias("e"))
-        return d.select(key, F.size("w").alias("n_tokens"), tx.sentence_count_from_flags(F.col("e")).alias("sentence_count"))
+        t = F.col("t")
+        n = F.when(t == "", F.lit(0)).otherwise(tx.char_count(t, " ") + 1)
+        return df.select(key, tx.materialize(tx.spaced(text)).alias("t")).select(
+            key, n.alias("n_tokens"), sentence_count(t, listed).alias("sentence_count"))
+    d = df.select(F.col(key), tx.words(text).alias("w"))
     d = d.withColumn("_row", F.monotonically_increasing_id())
     d = d.select(key, "_row", "w", tx.materialize(tx.sentence_end_flags(F.col("w"))).alias("e"))
     inner = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))

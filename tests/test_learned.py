@@ -140,3 +140,17 @@ def test_batch_model_equals_its_formula(spark):
     got = [r.p for r in d.select(p(sw.padded(F.col("ids"), 6)).alias("p")).collect()]
     z = [0.25 + w[[1, 2, 49]].sum(), 0.25, 0.25 + w[0]]
     assert got == pytest.approx([1 / (1 + math.exp(-x)) for x in z])
+
+
+def test_tokens_are_counted_before_they_are_looked_at(spark):
+    """Marks, cases and white space as token by token; the patterns run after the first count."""
+    texts = ["(Dr. \"'x'\" e.g., A.) a. A, ΟΔΟΣ. ΟΔΟΣ !!!b b!! [c.] 7. d7", None, "", "a. a\n\na ''' . .."] * 3
+    d = docs(spark, texts)
+    t = d.select(F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\s ]+"), "")).alias("t"))
+    b = t.select(ab.bare(F.col("t")).alias("b")).select(F.regexp_replace("b", r"\.$", "").alias("word"), F.col("b").endswith(".").alias("p"))
+    want = {(r.word, r.n, r.o) for r in b.where(F.col("word").rlike(ab.WORD)).groupBy("word").agg(
+        F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("o")).collect()}
+    counts = ab.period_counts(d)
+    assert {tuple(r) for r in counts.collect()} == want and ("e.g", 0, 0) not in want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # before: one, over a row with two patterns for each token
