@@ -26,9 +26,7 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +84,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.size, self.known = Tokenizer.from_file(path), cache, {}
         self.model, self.alphabet = self.tok.model, byte_level()
+        self.number = [i.to_bytes(4, "little") for i in range(max(self.tok.get_vocab().values()) + 1)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # the special tokens are lower case: fold no text that may hold one in capitals
@@ -95,24 +94,26 @@ class WordIds:
         if len(known) + len(new) > self.size:
             known = self.known = {}
             new = set().union(*pieces)
-        parts = [(w, m) for w in new if (m := TRAIL.fullmatch(w)) and b"<|" not in w]
+        # ASCII letters alone (most new pieces) have no trail
+        parts = [(w, m) for w in new if not w.isalpha() and (m := TRAIL.fullmatch(w)) and b"<|" not in w]
         split = {w for w, _ in parts}
         fresh = new - split
         fresh.update(x for _, m in parts for x in m.groups() if x not in known)
         self.learn(list(fresh))
         for w, m in parts:
             known[w] = known[m[1]] + known[m[2]]
-        return [b"".join([known[w] for w in p]) for p in pieces]
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def learn(self, words: list[bytes]) -> None:
         tokenize, alphabet, plain_words = self.model.tokenize, self.alphabet, LETTERS.fullmatch
+        known, number = self.known, self.number
         rest = []
         for w in words:
-            if plain_words(w):
-                ids = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(alphabet))])
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self.known[w] = ids.tobytes()
+            if (w.isalpha() and w.islower()) or plain_words(w):
+                x = w.decode("latin-1")
+                if not x.isprintable():  # the bytes that do not stand for themselves
+                    x = x.translate(alphabet)
+                known[w] = b"".join([number[t.id] for t in tokenize(x)])
             else:
                 rest.append(w)
         words = rest

@@ -256,3 +256,24 @@ def test_random_reply_forests(spark, seed):
         for rank, (_, _, path) in enumerate(sorted(paths)[:3], 1):
             want.append((conv, rank, "".join(f"### {nodes[p][0]}\n{nodes[p][1].replace('### ', chr(92) + '### ')}\n</turn>\n" for p in path)))
     assert got == sorted(want) and len(want) > 12
+
+
+def test_plain_words_skip_the_patterns(monkeypatch):
+    """Ids as the whole tokenizer's; words of ASCII letters meet no pattern."""
+    class Watch:
+        def __init__(self, pattern):
+            self.pattern, self.seen = pattern, []
+
+        def fullmatch(self, w):
+            self.seen.append(w)
+            return self.pattern.fullmatch(w)
+
+    trail, letters = Watch(packing.TRAIL), Watch(packing.LETTERS)
+    monkeypatch.setattr(packing, "TRAIL", trail)
+    monkeypatch.setattr(packing, "LETTERS", letters)
+    words = packing.WordIds(packing.TOKENIZER)
+    texts = ["plain words Only here", "voilà straße día über garçon naïve ÿ ª", "end. don't, x1 中文 café! ", ""]
+    for t in texts * 2:
+        assert np.frombuffer(words.encode([t.encode()])[0], "<u4").tolist() == ids_of(t)[:-1]
+    assert not [w for w in trail.seen + letters.seen if w.isalpha()]
+    assert "ß".encode() not in words.known and "straße".encode() in words.known
