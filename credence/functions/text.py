@@ -33,6 +33,8 @@ NOT_WS_CLASS = WS_CLASS.replace("[", "[^", 1)
 LATIN = "".join(rf"\x{i:02X}" for i in range(256) if chr(i) not in WS_CHARS)
 # a space before more white space, or a run that starts with another one
 GAP = rf" (?![{LATIN}]){WS_CLASS}+|(?![ {LATIN}]){WS_OTHER_CLASS}{WS_CLASS}*"
+# the same matches as WHITESPACE
+GAPS = f"(?![{LATIN}]){WHITESPACE}"
 AZ = "abcdefghijklmnopqrstuvwxyz"
 CONSONANT = "[bcdfghjklmnpqrstvwxz]"
 # first characters that can be upper case (see is_capitalised, which decides)

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.text import WHITESPACE
+from credence.functions.text import GAPS
 from credence.operators.score import base_label
 from credence.params import BATCH_SIZE, DEFAULT, Params
 
@@ -34,7 +34,7 @@ from credence.params import BATCH_SIZE, DEFAULT, Params
 def build_pipeline(text_col: str = "text", params: Params = DEFAULT, num_features: int = 1 << 18,
                    max_iter: int = 50, reg: float = 0.01) -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=WHITESPACE, toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=GAPS, toLowercase=True),
         StopWordsRemover(inputCol="_tok", outputCol="_tok_kept", stopWords=list(params.stopword_list())),
         HashingTF(inputCol="_tok_kept", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),

@@ -154,3 +154,15 @@ def test_tokens_are_counted_before_they_are_looked_at(spark):
     assert {tuple(r) for r in counts.collect()} == want and ("e.g", 0, 0) not in want
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2  # before: one, over a row with two patterns for each token
+
+
+def test_classifier_tokens_by_the_faster_pattern(spark):
+    from pyspark.ml.feature import RegexTokenizer
+
+    from credence.functions import text as tx
+    from credence.operators.classifier import build_pipeline
+    d = spark.createDataFrame([(f"Aé{c}漢.{c}{c} ÿ᠎​{c}x",) for c in tx.WS_CHARS] + [("",), (" \t",), ("b",)], "text STRING")
+    now = build_pipeline().getStages()[0]
+    assert now.getPattern() == tx.GAPS != tx.WHITESPACE
+    plain = RegexTokenizer(inputCol="text", outputCol="_tok", pattern=tx.WHITESPACE, toLowercase=True)
+    assert now.transform(d).collect() == plain.transform(d).collect()
