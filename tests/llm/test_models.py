@@ -391,6 +391,82 @@ def test_all_links_of_a_passage_count(spark, few, block):
     assert all(len(got[i].passages) == (2 if i % 3 == 1 else 1) for i in range(30) if i != 4)
 
 
+def overlapping_families(n):
+    """Edited copies of one long text, some with a phrase that texts unlike them have, too."""
+    import random
+    r = random.Random(n)
+    base, phrase = prose(40, 200).split(), prose(41, 30)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(200), 4):
+            w[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w) + (" " + phrase if i % 4 == 0 else "")))
+    return rows + [(500 + i, prose(5000 + i, 60) + " " + phrase + " " + prose(6000 + i, 40)) for i in range(n)] + [
+        (900 + i, prose(42, 60) + f" tail{i} " + phrase + " " + prose(7000 + i, 30)) for i in range(n // 2)]
+
+
+def test_texts_of_overlapping_groups_travel_few_times(spark):
+    """A text that has many large groups goes to the few blocks where their texts live, not to each group."""
+    from pyspark.sql import functions as F
+    d = spark.createDataFrame(overlapping_families(40), "doc LONG, text STRING")
+    w = passages.shared_windows(passages.window_table(d, passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE)).cache()
+    large = w.join(w.groupBy("key").agg(F.count("*").alias("n")).filter("n > 16"), "key").cache()
+    got = passages.meeting_blocks(large, passages.BLOCK).collect()
+    assert len(got) == large.select("doc").distinct().count()
+    travels = sum(c.parts for r in got for c in r.cells)
+    assert large.count() > 4 * travels and travels <= 3 * len(got)
+    home = {r.doc: r.home for r in got}
+    members = {}
+    for r in large.collect():
+        members.setdefault(r.key, set()).add(r.doc)
+    for r in got:  # wherever a text with one of its keys lives, and at home
+        assert {c.home for c in r.cells} == {home[o] for k in r["keys"] for o in members[k]} and r.home in {c.home for c in r.cells}
+
+
+@pytest.mark.parametrize("few, block", [(16, passages.BLOCK), (3, 6), (8, 25)])
+def test_links_over_several_blocks(spark, few, block):
+    """Links and spans against every pair of texts with a common key, each pair once."""
+    rows = overlapping_families(24)
+    spans = tv.Spans()
+    own = [passages.shingles(t.encode(), passages.SHINGLE, spans) for _, t in rows]
+    keys = [set() for _ in rows]
+    for d, k, *_ in passages.text_windows([t.encode() for _, t in rows], passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE, spans):
+        for i, key in zip(d.tolist(), k.tolist()):
+            keys[i].add(key)
+    links, on = [0] * len(rows), [np.zeros(len(o), bool) for o in own]
+    for i in range(len(rows)):
+        for j in range(i):
+            v = keys[i] & keys[j] and passages.verify(own[i], own[j], passages.WIDTH, passages.SIMILARITY)
+            if v:
+                links[i] += 1
+                links[j] += 1
+                on[i] |= v[1]
+                on[j] |= v[2]
+    assert 0 in links and max(links) >= 23
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    got = {r.doc_id: r for r in passages.shared_passages(docs, few=few, block=block).collect()}
+    assert {d: r.n_links for d, r in got.items()} == {rows[i][0]: n for i, n in enumerate(links) if n}
+    for i, (d, _) in enumerate(rows):
+        if links[i]:
+            words = np.zeros(len(own[i]) + passages.SHINGLE - 1, bool)
+            for at in np.flatnonzero(on[i]):
+                words[at:at + passages.SHINGLE] = True
+            assert sum(s.end_word - s.first_word for s in got[d].passages) == words.sum()
+
+
+def test_blocks_leave_out_what_no_window_needs():
+    """Places with too few shingles that another text has are not compared; repeats inside a text are no such shingles."""
+    spans, alone = tv.Spans(), " ".join(["same"] * 60)
+    own = [passages.shingles(t.encode(), passages.SHINGLE, spans) for t in (
+        prose(1, 300) + " " + prose(9, 70) + " " + prose(2, 300), prose(3, 200) + " " + prose(9, 70), prose(9, 20) + " " + prose(4, 90), alone, "")]
+    b = passages.Block(own, passages.WIDTH, passages.SIMILARITY)
+    assert b.n_kept[2:].tolist() == [0, 0, 0] and all(66 <= n <= 66 + 10 for n in b.n_kept[:2])
+    assert np.argwhere(np.triu(b.may_link(), 1)).tolist() == [[0, 1]]
+    good, cover = b.verify(np.array([0, 0, 3]), np.array([1, 2, 4]))
+    assert good.tolist() == [True, False, False] and len(cover) == sum(map(len, own)) and cover.sum() == 132
+
+
 def test_blocks_verify_like_single_pairs():
     import random
     r, spans = random.Random(9), tv.Spans()
