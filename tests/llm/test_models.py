@@ -1,10 +1,12 @@
 """Operators 3, 4, 5 and 6: held-out accuracy, brute force, awkward rows."""
 
+import os
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from credence.llm import decontaminate, passages, quality, toxicity
 from credence.llm import textvec as tv
@@ -50,7 +52,6 @@ def test_held_out_accuracy(spark, label):
 @pytest.mark.parametrize("label", ["quality", "toxic"])
 def test_held_out_labels_are_never_read(spark, label):
     """Turning every held-out label around changes no score."""
-    from pyspark.sql import functions as F
     docs, labels = labelled(spark, label, 150)
     op, folds, held = (quality, 3, 1) if label == "quality" else (toxicity, 4, 2)
     turned = labels.withColumn(label, F.when(quality.held_out(folds=folds, held=held), 1 - F.col(label)).otherwise(F.col(label)))
@@ -111,7 +112,6 @@ def test_kneser_ney_against_brute_force(spark):
 
 def test_class_counts_of_all_labels(spark):
     """Blocks of labels count as one: each labelled document once, none left out."""
-    from pyspark.sql import functions as F
     docs, labels = labelled(spark, "toxic", 60)
     lab = labels.select("doc_id", F.col("toxic").alias("y"))
     key = lambda block: {r.gram: tuple(r) for r in toxicity.gather(docs, lab, block).collect()}
@@ -408,7 +408,6 @@ def overlapping_families(n):
 
 def test_texts_of_overlapping_groups_travel_few_times(spark):
     """A text that has many large groups goes to the few blocks where their texts live, not to each group."""
-    from pyspark.sql import functions as F
     d = spark.createDataFrame(overlapping_families(40), "doc LONG, text STRING")
     w = passages.shared_windows(passages.window_table(d, passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE)).cache()
     large = w.join(w.groupBy("key").agg(F.count("*").alias("n")).filter("n > 16"), "key").cache()
@@ -455,6 +454,55 @@ def test_links_over_several_blocks(spark, few, block):
             assert sum(s.end_word - s.first_word for s in got[d].passages) == words.sum()
 
 
+@pytest.mark.parametrize("chunk, bucket", [(passages.CHUNK, passages.BUCKET), (3000, 100)])
+def test_only_regions_of_possible_passages_travel(spark, chunk, bucket):
+    """The regions of texts against all shingles that two texts have; a text with a common phrase alone has none."""
+    rows = overlapping_families(20) + [(2000 + i, prose(42, 20) + " " + prose(8000 + i, 300)) for i in range(30)] + [(3000, ""), (3001, "Ünder " * 70)]
+    spans = tv.Spans()
+    own = [passages.shingles(t.encode(), passages.SHINGLE, spans) for _, t in rows]
+    text = np.repeat(np.arange(len(own)), [len(o) for o in own])
+    _, kind = np.unique(np.concatenate(own), return_inverse=True)
+    shared = np.bincount(np.unique(np.stack([kind, text]), axis=1)[0])[kind] > 1
+    want = passages.possible(shared, text, passages.WIDTH, passages.fewest(passages.WIDTH, passages.SIMILARITY))
+    docs = spark.createDataFrame(rows + rows[:5], "doc LONG, text STRING").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    got = {r.doc: r for r in passages.regions(docs, size, passages.WIDTH, passages.SHINGLE, passages.SIMILARITY, chunk, bucket).collect()}
+    for i, (d, t) in enumerate(rows):
+        at = np.zeros(len(own[i]), bool)
+        for a, piece in zip(got[d].at, got[d].pieces) if d in got else ():
+            g = passages.shingles(bytes(piece), passages.SHINGLE, spans)
+            assert (own[i][a:a + len(g)] == g).all()
+            at[a:a + len(g)] = True
+        assert (at == want[text == i]).all()
+    assert {d for d, _ in rows if d < 500} <= got.keys() and not any(d >= 2000 for d in got)
+    assert sum(len(p) for r in got.values() for p in r.pieces) < size / 2
+
+
+def test_blocks_meet_in_rounds(spark):
+    """However little may travel at once, all blocks meet, each two in one round."""
+    rows = overlapping_families(24)
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    want = passages.shared_passages(docs, few=3, block=6).collect()
+    assert sorted(passages.shared_passages(docs, few=3, block=6, most=30_000).collect()) == sorted(want) and len(want) > 24
+    d = docs.withColumnRenamed("doc_id", "doc")
+    w = passages.shared_windows(passages.window_table(d, passages.HASHES, passages.WIDTH, passages.SIDE, passages.SHINGLE)).cache()
+    large = w.join(w.groupBy("key").agg(F.count("*").alias("n")).filter("n > 3"), "key")
+    parts = passages.regions(d, 100_000, passages.WIDTH, passages.SHINGLE, passages.SIMILARITY)
+    large = large.join(parts.select("doc"), "doc").select("key", "doc", "n").cache()
+    got = [passages.met_in_place(large, parts, passages.WIDTH, passages.SHINGLE, passages.SIMILARITY, 6, most) for most in (1 << 30, 30_000)]
+    rounds = [len({os.path.dirname(f) for f in x.inputFiles()}) for x in got]
+    assert rounds[0] == 1 and rounds[1] > 3
+    assert len({str(sorted((r.doc, r.rep, r.links, r.spans) for r in x.collect())) for x in got}) == 1
+
+
+def test_shuffle_files_go_with_what_is_written(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with passages.released(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+
+
 def test_blocks_leave_out_what_no_window_needs():
     """Places with too few shingles that another text has are not compared; repeats inside a text are no such shingles."""
     spans, alone = tv.Spans(), " ".join(["same"] * 60)
